@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm.leaks import find_leaks
 from quillspark.llm.packing import chunk_windows
 from quillspark.llm.pieces import chunk_and_block_pieces, oversized_ids
+from quillspark.llm.quality import document_kinds, not_prose
 from quillspark.llm.sentences import body_sentence_ends
 from quillspark.session import table
 
@@ -20,6 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_pieces": lambda s, d: chunk_and_block_pieces(table(s, d, "chunks"), table(s, d, "blocks")),
         "p3_windows": lambda s, d: chunk_windows(table(s, d, "chunks")),
         "p5_found": lambda s, d: body_sentence_ends(table(s, d, "blocks")),
+        "p6_found": lambda s, d: find_leaks(table(s, d, "documents"), table(s, d, "heldout_items")).select("doc_id", "item_id"),
+        "p6_stretches": lambda s, d: find_leaks(table(s, d, "documents"), table(s, d, "heldout_items")),
+        "p8_found": lambda s, d: not_prose(table(s, d, "documents")),
+        "p8_statistics": lambda s, d: document_kinds(table(s, d, "documents")),
     }
 
 
