@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.leaks import find_leaks
+from quillspark.llm.overlap import found_pairs, overlap_report
 from quillspark.llm.packing import chunk_windows
 from quillspark.llm.pieces import chunk_and_block_pieces, oversized_ids
 from quillspark.llm.quality import document_kinds, not_prose
@@ -18,6 +19,8 @@ _TOKENS = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{0E00}-\x{0E7F}]|[^\x{3040}-\x{
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": lambda s, d: found_pairs(table(s, d, "golden")),
+        "p1_report": lambda s, d: overlap_report(table(s, d, "golden")),
         "p2_found": lambda s, d: oversized_ids(table(s, d, "chunks"), table(s, d, "blocks")),
         "p2_pieces": lambda s, d: chunk_and_block_pieces(table(s, d, "chunks"), table(s, d, "blocks")),
         "p3_windows": lambda s, d: chunk_windows(table(s, d, "chunks")),
