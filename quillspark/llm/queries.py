@@ -11,6 +11,7 @@ from quillspark.llm.overlap import found_pairs, overlap_report
 from quillspark.llm.packing import chunk_windows
 from quillspark.llm.pieces import chunk_and_block_pieces, oversized_ids
 from quillspark.llm.quality import document_kinds, not_prose
+from quillspark.llm.replies import defects
 from quillspark.llm.sentences import body_sentence_ends
 from quillspark.session import table
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": lambda s, d: oversized_ids(table(s, d, "chunks"), table(s, d, "blocks")),
         "p2_pieces": lambda s, d: chunk_and_block_pieces(table(s, d, "chunks"), table(s, d, "blocks")),
         "p3_windows": lambda s, d: chunk_windows(table(s, d, "chunks")),
+        "p4_found": lambda s, d: defects(table(s, d, "gen_results")),
         "p5_found": lambda s, d: body_sentence_ends(table(s, d, "blocks")),
         "p6_found": lambda s, d: find_leaks(table(s, d, "documents"), table(s, d, "heldout_items")).select("doc_id", "item_id"),
         "p6_stretches": lambda s, d: find_leaks(table(s, d, "documents"), table(s, d, "heldout_items")),
