@@ -103,7 +103,9 @@ def pack_windows(items: DataFrame, capacity: int = CAPACITY, segment_items: int
         part = part.sort_values(["chunk_index", "id", "piece_no"], kind="stable")
         return part[["doc_id", "segment", "id", "piece_no", "tokens"]].assign(window_no=assign_windows(part["tokens"].to_numpy(), capacity) + 1)
 
-    placed = keyed.groupBy("doc_id", "segment").applyInPandas(
+    # the rows are few bytes but much work, so the tasks are not left to be merged by size
+    ways = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = keyed.repartition(ways, "doc_id", "segment").groupBy("doc_id", "segment").applyInPandas(
         pack, "doc_id string, segment string, id string, piece_no int, tokens long, window_no long"
     )
     carried = placed.join(items.select("id", "piece_no", "chunk_index", "sections", "block_ids"), ["id", "piece_no"])
