@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.leaks import find_leaks
+from quillspark.llm.mixing import mixed_documents, mixing_report
 from quillspark.llm.overlap import found_pairs, overlap_report
 from quillspark.llm.packing import chunk_windows
 from quillspark.llm.pieces import chunk_and_block_pieces, oversized_ids
@@ -29,6 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": lambda s, d: body_sentence_ends(table(s, d, "blocks")),
         "p6_found": lambda s, d: find_leaks(table(s, d, "documents"), table(s, d, "heldout_items")).select("doc_id", "item_id"),
         "p6_stretches": lambda s, d: find_leaks(table(s, d, "documents"), table(s, d, "heldout_items")),
+        "p7_mixture": lambda s, d: mixed_documents(table(s, d, "documents"), table(s, d, "source_targets")),
+        "p7_shares": lambda s, d: mixing_report(table(s, d, "documents"), table(s, d, "source_targets")),
         "p8_found": lambda s, d: not_prose(table(s, d, "documents")),
         "p8_statistics": lambda s, d: document_kinds(table(s, d, "documents")),
     }
