@@ -223,9 +223,12 @@ def question_classes(golden: DataFrame, question: str = "question", item: str =
 def class_vectors(classes: DataFrame) -> DataFrame:
     """``class, held, tuned, vector``: features by falling weight with their weight and the norm of the vector from
     there on; unit vectors of inverse document frequencies."""
-    features = F.udf(_features, "array<string>")
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(c, f) for c, ts in zip(batch["class"], batch["terms"]) for f in dict.fromkeys(_features(list(ts)))], columns=["class", "t"])
+
     total = max(classes.count(), 1)
-    flat = classes.select("class", F.explode(F.array_distinct(features("terms"))).alias("t"))
+    flat = classes.select("class", "terms").mapInPandas(features, "class string, t string")
     idf = flat.groupBy("t").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + F.lit(total) / F.col("df")))
     rated = flat.join(idf, "t")
     vectors = rated.groupBy("class").agg(
