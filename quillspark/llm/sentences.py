@@ -60,7 +60,8 @@ def _mask_pattern() -> str:
     )
     # bare ? and ! do end a sentence before lower case; quoted ones do not, nor do they before a letter without case
     quoted = rf"(?={_TAIL}{{1,3}}\s{{0,3}}(?:[\p{{Ll}},;:，、；：]|{_CASELESS}))"
-    return rf"\.(?:{point}|{quoted})|…(?={_TAIL}{{0,3}}\s{{0,3}}[\p{{Ll}},;:])|[．。!！?？।॥؟۔…‽]{quoted}"
+    # one character class for all of them, so that other characters cost one test
+    return rf"{_STOP}(?:(?<=\.)(?:{point})|(?<=…)(?={_TAIL}{{0,3}}\s{{0,3}}[\p{{Ll}},;:])|{quoted})"
 
 
 def masked(text: Column) -> Column:
@@ -75,10 +76,12 @@ def marked(text: Column) -> Column:
     """The masked text with a boundary mark after each sentence."""
     ends = F.regexp_replace(masked(text), rf"({_STOP}+(?:[\s]{{0,1}}{_STOP})*{_TAIL}*)", "$1" + CUT)
     # Thai puts a space, not a stop, between sentences
-    return F.regexp_replace(ends, r"(?<=[฀-๿])(\s+)(?=[฀-๿\p{Lu}])", CUT + "$1")
+    thai = F.regexp_replace(ends, r"(?<=[฀-๿])(\s+)(?=[฀-๿\p{Lu}])", CUT + "$1")
+    return F.when(text.rlike("[฀-๿]"), thai).otherwise(ends)
 
 
-_WHITE = r"(?U)\s+$"
+# Unicode white space, as an SQL string.
+_WHITE = "".join(f"\\u{c:04X}" for c in (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def split_sentences(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -97,14 +100,17 @@ def split_sentences(df: DataFrame, text: str = "text", keep: list[str] | None =
             *keep,
             "__text",
             F.expr(
-                "aggregate(__parts, named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int>>)), (a, p) -> "
-                "named_struct('at', a.at + length(p), 'out', if(length(regexp_replace(p, '(?U)\\\\s+$', '')) = 0, a.out, "
-                "concat(a.out, array(named_struct('s', a.at + length(p) - length(regexp_replace(p, '(?U)^\\\\s+', '')), "
-                "'e', a.at + length(regexp_replace(p, '(?U)\\\\s+$', ''))))))), a -> a.out)"
+                # trailing and leading blanks are trimmed by character, which is far cheaper than a pattern on each part
+                f"aggregate(__parts, named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int>>)), (a, p) -> "
+                f"named_struct('at', a.at + length(p), 'out', if(length(trim(LEADING '{_WHITE}' FROM p)) = 0, a.out, "
+                f"concat(a.out, array(named_struct('s', a.at + length(p) - length(trim(LEADING '{_WHITE}' FROM p)), "
+                f"'e', a.at + length(trim(TRAILING '{_WHITE}' FROM p))))))), a -> a.out)"
             ).alias("__spans"),
         )
     )
-    return rows.select(*keep, "__text", F.posexplode("__spans").alias("__i", "__span")).select(
+    # the outer form, as the plain one would have the whole expression evaluated once more in a filter below it
+    found = rows.select(*keep, "__text", F.posexplode_outer("__spans").alias("__i", "__span")).filter("__span IS NOT NULL")
+    return found.select(
         *keep,
         (F.col("__i") + 1).alias("sentence_no"),
         F.col("__span.s").alias("start_char"),
