@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.pieces import split_oversized, token_count
+from quillspark.session import cut_lineage
 
 CAPACITY = 2048
 SEGMENT_ITEMS = 4096
@@ -74,7 +75,8 @@ def sized_chunks(chunks: DataFrame, capacity: int = CAPACITY, text: str = "embed
     Repeated rows count once. A null text has size 0 and is packed like any other.
     """
     light = chunks.select("doc_id", "id", "chunk_index", "sections", "block_ids", token_count(F.col(text)).alias("tokens"))
-    light = light.withColumn("tokens", F.coalesce("tokens", F.lit(0))).dropDuplicates(["id"])
+    # counted once; the texts are not needed after this
+    light = cut_lineage(light.withColumn("tokens", F.coalesce("tokens", F.lit(0))).dropDuplicates(["id"]))
     fits = light.filter(F.col("tokens") <= capacity).withColumn("piece_no", F.lit(1))
     pieces = split_oversized(chunks, ["id"], text, capacity, 0).select("id", "piece_no", F.col("tokens").alias("own"))
     cut = light.filter(F.col("tokens") > capacity).join(pieces, "id").withColumn("tokens", F.col("own")).drop("own")
