@@ -75,19 +75,35 @@ def _plain(text: str) -> str:
 
 
 _FRAME = re.compile(rf"(?<!\w)(?:{FRAMES})(?!\w)|(?:请问|谢谢|您好|你好|麻烦问一下|请告诉我|请简要回答)")
+_FRAME_SKELETON = re.compile(_FRAME.pattern.translate(_SKELETON))
+_CLASS_NAMES = ("class", "klasse", "classe", "kлacca", "kлacc", "kлacce")
+_CLASS_LIKE = re.compile(r"\b([^\W\d_]{4,8})\s+(i{1,3}|iv|v|[a-d])\b")
 _SHAPE_WORDS = frozenset(w.translate(_SKELETON) for w in SHAPE.split())
 _EVEN_WORDS = {w.translate(_SKELETON): k for k, v in EVEN.items() for w in (*v.split(), k)}
 
 
+def without_frames(text: str) -> str:
+    """A text in plain lower case without the phrases that only frame a question."""
+    return _FRAME.sub(" ", re.sub(r"\s+", " ", _plain(text)))
+
+
+def _class_like(m: re.Match) -> str:
+    """A class word with a slip before a class letter is a class, too."""
+    near = m[1][0] in "ck" and any(_within(m[1], name, 1 if len(name) < 6 else 2) for name in _CLASS_NAMES)
+    return f" class:{m[2]} " if near else m[0]
+
+
 def question_terms(text: str | None) -> list[str]:
     """Terms of a question: figures in one writing, classes with their letter, words by the shape of their letters,
     single characters of scripts without blanks. Empty for a null or wordless text."""
     if not text:
         return []
-    text = _FRAME.sub(" ", _plain(text)).translate(_SKELETON)
+    text = re.sub(r"\s+", " ", _plain(text)).translate(_SKELETON)
+    text = _FRAME_SKELETON.sub(" ", text)
     text = _THOUSANDS.sub("", text)
     text = re.sub(r"(?<=\d),(?=\d)", ".", text)
     text = _CLASS.sub(lambda m: f" class:{m[2]} ", text)
+    text = _CLASS_LIKE.sub(_class_like, text)
     text = _CLASS_CJK.sub(lambda m: f" class:{m[1]} ", text)
     terms = _WORD.findall(text)
     if any(map(_CJK.match, terms)):
@@ -151,7 +167,9 @@ class Speller:
         if (word, count) not in self.memory:
             near = {w for d in _drops(word, self._depth(word)) for w in self.by_drop.get(d, ())}
             near = [w for w in near if self.known[w] >= SLIP_RATIO * count and _within(word, w, self._depth(w))]
-            self.memory[word, count] = min(near, key=lambda w: (not _within(word, w, 1), -self.known[w], w)) if near else word
+            # slips double, drop and swap letters more than they bring in new ones
+            apart = lambda w: sum(((Counter(word) - Counter(w)) + (Counter(w) - Counter(word))).values())
+            self.memory[word, count] = min(near, key=lambda w: (apart(w), not _within(word, w, 1), -self.known[w], w)) if near else word
         return self.memory[word, count]
 
 
