@@ -78,7 +78,7 @@ def breadcrumbs(blocks: DataFrame, profile: ScopeProfile = ScopeProfile()) -> Da
     """``doc_id, id, ordinal, scope, section, crumbs``: the open sections of each body block.
 
     A numbered block is open until one comes that does not lie under it. So the crumb of depth k is the last label of
-    depth k within the run of numbered blocks that share their first k parts: one running frame for each depth.
+    depth k within the run of numbered blocks that share their first k parts.
     """
     events = section_events(blocks, profile).withColumn("path", T.number_path(F.col("number")))
     run = _running("doc_id", "segment")
@@ -87,11 +87,12 @@ def breadcrumbs(blocks: DataFrame, profile: ScopeProfile = ScopeProfile()) -> Da
     for k in range(1, MAX_DEPTH + 1):
         cut = F.col("path").isNotNull() & (F.col("earlier").isNull() | (F.size("path") < k) | ~F.slice("path", 1, k).eqNullSafe(F.slice("earlier", 1, k)))
         events = events.withColumn(f"run{k}", F.sum(cut.cast("int")).over(run))
+    # the last label of each depth with the run it stands in; all frames share one sort
     for k in range(1, MAX_DEPTH + 1):
-        mark = F.when(F.size("path") == k, F.col("label"))
-        events = events.withColumn(f"crumb{k}", F.last(mark, ignorenulls=True).over(_running("doc_id", "segment", f"run{k}")))
+        mark = F.when(F.size("path") == k, F.struct(F.col(f"run{k}").alias("run"), F.col("label").alias("label")))
+        events = events.withColumn(f"last{k}", F.last(mark, ignorenulls=True).over(run))
     # a label is open while the latest number starts with its own
-    crumbs = F.array_compact(F.array(*[F.col(f"crumb{k}") for k in range(1, MAX_DEPTH + 1)]))
+    crumbs = F.array_compact(F.array(*[F.when(F.col(f"last{k}.run") == F.col(f"run{k}"), F.col(f"last{k}.label")) for k in range(1, MAX_DEPTH + 1)]))
     return events.select("doc_id", "id", "ordinal", F.col("scope_now").alias("scope"), "number", crumbs.alias("crumbs"))
 
 

@@ -92,6 +92,20 @@ _DIFF = (
     "old AS (SELECT point_id, doc_id, CASE WHEN m % 7 = 0 THEN 'old' ELSE sha END AS sha FROM now WHERE m % 11 <> 0 UNION ALL SELECT point_id || '-stale', doc_id, sha FROM now WHERE m % 13 = 0), "
     "diff AS (SELECT coalesce(now.point_id, old.point_id) AS point_id, coalesce(now.doc_id, old.doc_id) AS doc_id, CASE WHEN old.point_id IS NULL THEN 'insert' WHEN now.point_id IS NULL THEN 'delete' WHEN now.sha IS NOT DISTINCT FROM old.sha THEN 'unchanged' ELSE 'update' END AS action FROM now FULL JOIN old ON now.point_id = old.point_id)"
 )
+def _match(x: str) -> str:
+    even = f"regexp_replace(translate({x}, '“”‘’–—', '\"\"''''--'), '{_S}+', ' ', 'g')"
+    return f"lower({_strip(even)})"
+
+
+def _reference(group: int) -> str:
+    pattern = r"(?i)paragraphs?\s+(\d+(?:\.\d+)*)\.?\s+(?:of|to|in)\s+(Annex\s+\d+|this\s+annex|this\s+Regulation)"
+    return f"regexp_extract_all(text, '{pattern}', {group})"
+
+
+_EVEN_T = r"lower(regexp_replace(t, '\s+', ' ', 'g'))"
+_TITLE_PART = f"CASE WHEN heads IS NOT NULL THEN regexp_replace(regexp_replace(text, $p${_SCOPE_RE}$p$, ''), '^[ \\-–—:]+|[ \\-–—:]+$', '', 'g') ELSE {_strip('text')} END"
+
+
 _OUTCOME = (
     "CASE WHEN error IS NOT NULL THEN 'error' WHEN NOT answerable THEN CASE WHEN covered THEN 'hallucinated' ELSE 'correct_refusal' END WHEN NOT covered THEN 'false_refusal' WHEN judge IS NULL THEN 'judge_error' ELSE 'answered' END"
 )
@@ -179,4 +193,16 @@ ORACLES: dict[str, str] = {
     "m AS (SELECT id, j - i AS d, i FROM x JOIN y USING (id, w)), n AS (SELECT id, d, i - row_number() OVER (PARTITION BY id, d ORDER BY i) AS k FROM m), z AS (SELECT id, max(c) AS run FROM (SELECT id, d, k, count(*) AS c FROM n GROUP BY ALL) GROUP BY id) SELECT t.id, coalesce(run, 0) AS run FROM t LEFT JOIN z USING (id)",
     "not_fully_correct": f"WITH {_RESULTS} SELECT run_id, outcome, count(*) AS n FROM r WHERE score IS NULL OR score < 1 GROUP BY ALL",
     "role_samples": f"WITH {_BLOCKS}, f AS (SELECT doc_id, role, text, min(ordinal) AS first_at FROM b GROUP BY ALL) SELECT doc_id, role, text, row_number() OVER (PARTITION BY doc_id, role ORDER BY first_at, text)::INT AS n FROM f QUALIFY n <= 5",
+    "judge_cache_keys": f"WITH {_RESULTS}, k AS (SELECT question, coalesce(answer, '') AS a, count(*) AS uses FROM r GROUP BY ALL) SELECT uses, count(*) AS keys FROM k GROUP BY uses",
+    "parse_replies": f"WITH {_RESULTS}, k AS (SELECT CASE WHEN answer IS NULL OR covered IS NULL OR coalesce(prompt_tokens % 5 = 0, false) THEN 'invalid_reply' END AS error, covered FROM r) SELECT error, count(*) AS n, count_if(error IS NULL AND covered) AS covered FROM k GROUP BY error",
+    "verify_citations": f"WITH {_RESULTS}, {_CHUNKS}, t AS (SELECT run_id, id, citations, unnest(range(1, len(citations) + 1)) AS k FROM r), e AS (SELECT run_id, id, (k - 1)::INT AS seq, citations[k].chunk_id AS chunk_id, citations[k].quote AS quote FROM t) "
+    f"SELECT e.run_id, e.id, e.seq, coalesce({_match('e.quote')} <> '' AND contains({_match('c.text')}, {_match('e.quote')}), false) AS verified FROM e LEFT JOIN c ON c.id = e.chunk_id",
+    "scope_titles": f"WITH {_EVENTS}, o AS (SELECT *, heads IS NULL AND num IS NULL AND coalesce(heading_level, 0) > 0 AS opens FROM ev), k AS (SELECT *, sum(CASE WHEN heads IS NULL AND NOT opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, segment ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS closed FROM o), "
+    f"p AS (SELECT doc_id, segment, heads, ordinal, {_TITLE_PART} AS part FROM k WHERE closed = 0 AND segment > 1), "
+    "l AS (SELECT doc_id, segment, max(heads) AS scope, min(ordinal) AS first_ordinal, list(part ORDER BY ordinal) FILTER (WHERE part <> '') AS parts FROM p GROUP BY doc_id, segment) "
+    "SELECT doc_id, segment::INT AS segment, scope, coalesce(substr(list_reduce(parts, lambda a, b: CASE WHEN ends_with(a, '-') AND regexp_matches(b, '^\\p{Ll}') THEN a || b ELSE a || ' ' || b END), 1, 200), '') AS title, first_ordinal FROM l",
+    "resolve_scoped": f"WITH {_CHUNKS}, m AS (SELECT id, doc_id, {_reference(1)} AS s, {_reference(2)} AS t FROM c), u AS (SELECT id, doc_id, unnest(s) AS section, unnest(t) AS t FROM m), "
+    f"f AS (SELECT DISTINCT id, doc_id, section, CASE WHEN {_EVEN_T} = 'this regulation' THEN 'Regulation' ELSE 'Annex ' || regexp_extract(t, '([0-9]+)', 1) END AS scope FROM u WHERE {_EVEN_T} <> 'this annex'), "
+    "j AS (SELECT f.id, f.scope || '/' || f.section AS reference, c.id AS target_id, c.chunk_index AS ci, CASE WHEN list_contains(c.sections, f.section) THEN 0 WHEN len(list_filter(c.sections, lambda x: starts_with(x, f.section || '.'))) > 0 THEN 1 END AS match FROM f JOIN c ON c.doc_id = f.doc_id AND c.scope = f.scope) "
+    "SELECT id, reference, target_id, match FROM j WHERE match IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, reference ORDER BY match, ci, target_id) = 1",
 }

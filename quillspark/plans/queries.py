@@ -348,6 +348,17 @@ def resolve_references(s, d):
     return references.resolve_references(references.find_references(chunks), chunks)
 
 
+@query
+def resolve_scoped(s, d):
+    """Where the references lead that name paragraph and scope."""
+    chunks = _chunks(s, d)
+    found = references.scoped_references(chunks).filter("target <> 'this annex'").distinct()
+    refs = found.join(chunks.select("id", "doc_id"), "id").select(
+        "id", "doc_id", F.col("target").alias("scope"), "section", F.lit(None).cast("string").alias("figure"), F.concat_ws("/", "target", "section").alias("seq")
+    )
+    return references.resolve_references(refs, chunks).select("id", F.col("seq").alias("reference"), "target_id", "match")
+
+
 def _context(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     chunks = _chunks(s, d)
     return references.build_context(retrieval.final_hits(_pool(s, d), top_k=10), chunks), chunks
@@ -483,8 +494,9 @@ def longest_shared_run(s, d):
 
 @query
 def judge_cache_keys(s, d):
+    """How many distinct judge inputs are used how often, by their cache key."""
     key = answers.cache_key(F.lit("1"), F.lit("model-1"), F.col("question"), F.coalesce("answer", F.lit("")))
-    return _results(s, d).groupBy(key.alias("key")).agg(F.count("*").alias("uses"))
+    return _results(s, d).groupBy(key.alias("key")).agg(F.count("*").alias("uses")).groupBy("uses").agg(F.count("*").alias("keys"))
 
 
 @query
