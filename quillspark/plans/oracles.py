@@ -76,14 +76,14 @@ _SCORES = (
     "hits AS (SELECT s.*, c.doc_id, c.scope, c.sections, c.page_start, c.page_end FROM stages s JOIN c ON c.id = s.chunk_id), "
     "best AS (SELECT h.query_id, stage, ref_no, min(rank) AS rank FROM hits h JOIN asked a ON a.id = h.query_id AND a.doc_id = h.doc_id AND a.scope IS NOT DISTINCT FROM h.scope "
     f"WHERE CASE WHEN a.section IS NOT NULL THEN coalesce(len(list_filter(h.sections, lambda x: {_COVERS.format('x', 'a.section')})) > 0, false) ELSE coalesce(a.page BETWEEN h.page_start AND h.page_end, false) END GROUP BY ALL), "
-    "per AS (SELECT query_id, stage, min(rank) AS first_rank, count_if(rank <= 5) AS n5, count_if(rank <= 10) AS n10, count_if(rank <= 20) AS n20 FROM best GROUP BY ALL), "
+    "per AS (SELECT query_id, stage, min(rank) AS first_rank, count(*) FILTER (WHERE rank <= 5) AS n5, count(*) FILTER (WHERE rank <= 10) AS n10, count(*) FILTER (WHERE rank <= 20) AS n20 FROM best GROUP BY ALL), "
     "grid AS (SELECT id AS query_id, count(*) AS n FROM asked GROUP BY id), "
     "scores AS (SELECT query_id, s.stage, coalesce(n5, 0) / n AS recall_5, coalesce(n10, 0) / n AS recall_10, coalesce(n20, 0) / n AS recall_20, CASE WHEN first_rank <= 20 THEN 1.0::DOUBLE / first_rank ELSE 0 END AS reciprocal_rank, first_rank "
     "FROM grid CROSS JOIN (VALUES ('dense'), ('sparse'), ('fused'), ('reranked')) s(stage) LEFT JOIN per USING (query_id, stage))"
 )
 _SWEEP = (
     _RESULTS + ", x AS (SELECT round(prompt_tokens / 4096.0::DOUBLE, 6) AS t, answerable FROM r WHERE prompt_tokens IS NOT NULL AND answerable IS NOT NULL), "
-    "k AS (SELECT t AS threshold, count_if(answerable) AS p, count_if(NOT answerable) AS n FROM x GROUP BY t), "
+    "k AS (SELECT t AS threshold, count(*) FILTER (WHERE answerable) AS p, count(*) FILTER (WHERE NOT answerable) AS n FROM x GROUP BY t), "
     "sw AS (SELECT threshold, round(((sum(p) OVER () - (sum(p) OVER (ORDER BY threshold) - p)) / sum(p) OVER () + (sum(n) OVER (ORDER BY threshold) - n) / sum(n) OVER ()) / 2, 9) AS accuracy FROM k)"
 )
 _DIFF = (
@@ -125,7 +125,7 @@ ORACLES: dict[str, str] = {
     "heading_labels": f"SELECT DISTINCT id, {_IS_LABEL} AS is_label FROM blocks WHERE section_number IS NOT NULL",
     "sentence_split": f"WITH {_BLOCKS}, s AS (SELECT id, string_split(regexp_replace(text, '([.;:])[{_B}]+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM b WHERE role = 'body') SELECT id, (i - 1)::INT AS pos, l[i] AS sentence FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM s)",
     "word_tokens": f"SELECT term, count(DISTINCT id) AS chunks FROM (SELECT id, unnest({_TOKENS.format('text')}) AS term FROM chunks) GROUP BY term",
-    "token_stats": f"WITH {_CHUNKS}, w AS (SELECT doc_id, len({_words('embed_text')}) AS n FROM c) SELECT doc_id, count(n) AS chunks, min(n)::INT AS min_tokens, floor(median(n))::INT AS median_tokens, list_sort(list(n))[least(count(n) - 1, floor(0.9::DOUBLE * count(n))::BIGINT) + 1]::INT AS p90_tokens, max(n)::INT AS max_tokens, count_if(n < 64) AS below_min FROM w GROUP BY doc_id",
+    "token_stats": f"WITH {_CHUNKS}, w AS (SELECT doc_id, len({_words('embed_text')}) AS n FROM c) SELECT doc_id, count(n) AS chunks, min(n)::INT AS min_tokens, floor(median(n))::INT AS median_tokens, list_sort(list(n))[least(count(n) - 1, floor(0.9::DOUBLE * count(n))::BIGINT) + 1]::INT AS p90_tokens, max(n)::INT AS max_tokens, count(*) FILTER (WHERE n < 64) AS below_min FROM w GROUP BY doc_id",
     "text_sha256": "SELECT DISTINCT id, sha256(embed_text) AS sha FROM chunks",
     "answer_hashes": "SELECT DISTINCT run_id, id, substr(sha256(coalesce(answer, '')), 1, 16) AS hash FROM gen_results",
     "point_ids": "WITH h AS (SELECT DISTINCT id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(id)) AS h FROM chunks) SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex(((('0x' || substr(h, 17, 1))::INT & 3) | 8))) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h",
@@ -157,9 +157,9 @@ ORACLES: dict[str, str] = {
     "chunk_pack": f"WITH RECURSIVE {_BLOCKS}, w AS (SELECT doc_id, ordinal, len({_words('text')})::BIGINT AS words, ordinal // 4096 AS part, row_number() OVER (PARTITION BY doc_id, ordinal // 4096 ORDER BY ordinal, len({_words('text')})) AS k FROM b WHERE role = 'body'), "
     "f AS (SELECT doc_id, part, ordinal, words, k, 1::BIGINT AS bin, words AS used FROM w WHERE k = 1 UNION ALL SELECT w.doc_id, w.part, w.ordinal, w.words, w.k, CASE WHEN f.used + w.words > 350 THEN f.bin + 1 ELSE f.bin END, CASE WHEN f.used + w.words > 350 THEN w.words ELSE f.used + w.words END FROM f JOIN w ON w.doc_id = f.doc_id AND w.part = f.part AND w.k = f.k + 1) "
     "SELECT doc_id, ordinal::BIGINT AS ordinal, words, (part * 1000000 + bin)::BIGINT AS bin FROM f",
-    "excluded_scopes": f"WITH {_BLOCKS} SELECT doc_id, count_if(scope IS NULL OR scope <> 'Front matter') AS kept, count_if(scope IS NOT NULL AND scope = 'Front matter') AS excluded FROM b WHERE role = 'body' GROUP BY doc_id",
+    "excluded_scopes": f"WITH {_BLOCKS} SELECT doc_id, count(*) FILTER (WHERE scope IS NULL OR scope <> 'Front matter') AS kept, count(*) FILTER (WHERE scope IS NOT NULL AND scope = 'Front matter') AS excluded FROM b WHERE role = 'body' GROUP BY doc_id",
     "index_diff": f"WITH {_DIFF} SELECT point_id, doc_id, action FROM diff",
-    "index_report": f"WITH {_DIFF} SELECT doc_id, count_if(action <> 'delete') AS chunks, count_if(action IN ('insert', 'update')) AS embedded, count_if(action = 'unchanged') AS unchanged, count_if(action = 'delete') AS deleted FROM diff GROUP BY doc_id",
+    "index_report": f"WITH {_DIFF} SELECT doc_id, count(*) FILTER (WHERE action <> 'delete') AS chunks, count(*) FILTER (WHERE action IN ('insert', 'update')) AS embedded, count(*) FILTER (WHERE action = 'unchanged') AS unchanged, count(*) FILTER (WHERE action = 'delete') AS deleted FROM diff GROUP BY doc_id",
     "point_count": "SELECT doc_id, count(DISTINCT id) AS points FROM chunks GROUP BY doc_id",
     "dense_topk": "WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM q, embeddings e) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 30",
     "dense_topk_filtered": "WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM q, embeddings e WHERE e.label IN (1, 3)) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10",
@@ -175,7 +175,7 @@ ORACLES: dict[str, str] = {
     "context_labels": f"WITH {_GOLDEN}, {_REFS}, {_CHUNKS}, n AS (SELECT DISTINCT id, doc_id, scope FROM refs) SELECT n.id, 'C' || row_number() OVER (PARTITION BY n.id ORDER BY n.doc_id, c.chunk_index) AS label, c.id AS chunk_id FROM n JOIN c ON c.doc_id = n.doc_id AND c.scope = n.scope",
     "groundedness": f"WITH {_RESULTS} SELECT run_id, id, NOT coalesce(covered, false) OR coalesce(len(list_filter(citations, lambda x: x.verified)) > 0, false) AS is_grounded FROM r",
     "answer_outcomes": f"WITH {_RESULTS}, o AS (SELECT run_id, id, {_OUTCOME} AS outcome_found, judge.verdict AS v FROM r) SELECT run_id, id, outcome_found, CASE WHEN outcome_found IN ('error', 'hallucinated', 'false_refusal') THEN 0.0::DOUBLE WHEN outcome_found = 'correct_refusal' THEN 1.0 WHEN outcome_found = 'answered' THEN CASE v WHEN 'correct' THEN 1.0 WHEN 'partial' THEN 0.5 WHEN 'incorrect' THEN 0.0 END END AS score_found FROM o",
-    "generation_summary": f"WITH {_RESULTS} SELECT run_id, count(*) AS questions, count_if(answerable) AS answerable, count_if(outcome = 'answered') AS answered, count_if(outcome = 'error') AS errors, count_if(outcome = 'judge_error') AS judge_errors, count_if(outcome = 'false_refusal') AS false_refusals, count_if(outcome = 'hallucinated') AS hallucinations, count_if(outcome = 'correct_refusal') AS correct_refusals, "
+    "generation_summary": f"WITH {_RESULTS} SELECT run_id, count(*) AS questions, count(*) FILTER (WHERE answerable) AS answerable, count(*) FILTER (WHERE outcome = 'answered') AS answered, count(*) FILTER (WHERE outcome = 'error') AS errors, count(*) FILTER (WHERE outcome = 'judge_error') AS judge_errors, count(*) FILTER (WHERE outcome = 'false_refusal') AS false_refusals, count(*) FILTER (WHERE outcome = 'hallucinated') AS hallucinations, count(*) FILTER (WHERE outcome = 'correct_refusal') AS correct_refusals, "
     "round(avg(CASE WHEN answerable THEN score END), 3) AS answer_score, round(avg(CASE WHEN outcome = 'answered' AND judge IS NOT NULL THEN judge.overstated::INT END), 3) AS overstated_rate, round(avg(CASE WHEN outcome = 'answered' AND judge IS NOT NULL THEN judge.missing_condition::INT END), 3) AS missing_rate, round(avg(CASE WHEN outcome = 'answered' AND judge IS NOT NULL THEN judge.contradicts_reference::INT END), 3) AS contradicts_rate, "
     "round(avg(CASE WHEN coalesce(covered, false) AND error IS NULL THEN grounded::INT END), 3) AS grounded_rate, round(sum(citations_verified) / nullif(sum(coalesce(len(citations), 0)), 0), 3) AS citation_verified_rate, round(avg(citation_precision), 3) AS citation_precision, round(avg(context_recall), 3) AS context_recall, "
     f"sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, {_pct(0.5)} AS latency_p50, {_pct(0.95)} AS latency_p95 FROM r GROUP BY run_id",
@@ -194,7 +194,7 @@ ORACLES: dict[str, str] = {
     "not_fully_correct": f"WITH {_RESULTS} SELECT run_id, outcome, count(*) AS n FROM r WHERE score IS NULL OR score < 1 GROUP BY ALL",
     "role_samples": f"WITH {_BLOCKS}, f AS (SELECT doc_id, role, text, min(ordinal) AS first_at FROM b GROUP BY ALL) SELECT doc_id, role, text, row_number() OVER (PARTITION BY doc_id, role ORDER BY first_at, text)::INT AS n FROM f QUALIFY n <= 5",
     "judge_cache_keys": f"WITH {_RESULTS}, k AS (SELECT question, coalesce(answer, '') AS a, count(*) AS uses FROM r GROUP BY ALL) SELECT uses, count(*) AS keys FROM k GROUP BY uses",
-    "parse_replies": f"WITH {_RESULTS}, k AS (SELECT CASE WHEN answer IS NULL OR covered IS NULL OR coalesce(prompt_tokens % 5 = 0, false) THEN 'invalid_reply' END AS error, covered FROM r) SELECT error, count(*) AS n, count_if(error IS NULL AND covered) AS covered FROM k GROUP BY error",
+    "parse_replies": f"WITH {_RESULTS}, k AS (SELECT CASE WHEN answer IS NULL OR covered IS NULL OR coalesce(prompt_tokens % 5 = 0, false) THEN 'invalid_reply' END AS error, covered FROM r) SELECT error, count(*) AS n, count(*) FILTER (WHERE error IS NULL AND covered) AS covered FROM k GROUP BY error",
     "verify_citations": f"WITH {_RESULTS}, {_CHUNKS}, t AS (SELECT run_id, id, citations, unnest(range(1, len(citations) + 1)) AS k FROM r), e AS (SELECT run_id, id, (k - 1)::INT AS seq, citations[k].chunk_id AS chunk_id, citations[k].quote AS quote FROM t) "
     f"SELECT e.run_id, e.id, e.seq, coalesce({_match('e.quote')} <> '' AND contains({_match('c.text')}, {_match('e.quote')}), false) AS verified FROM e LEFT JOIN c ON c.id = e.chunk_id",
     "scope_titles": f"WITH {_EVENTS}, o AS (SELECT *, heads IS NULL AND num IS NULL AND coalesce(heading_level, 0) > 0 AS opens FROM ev), k AS (SELECT *, sum(CASE WHEN heads IS NULL AND NOT opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, segment ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS closed FROM o), "
