@@ -122,25 +122,36 @@ def percentile_at(values: Column, q: float) -> Column:
     return F.get(F.sort_array(values), F.least(n - 1, F.floor(F.lit(q) * n).cast("int")))
 
 
-def generation_summary(results: DataFrame, by: str = "run_id") -> DataFrame:
-    """Counts, rates and means of a run's outcomes; rates to three places, a question without a judge's verdict has no score."""
+def generation_summary(results: DataFrame, by: str = "run_id", steps: tuple[str, ...] = ("retrieve", "llm"), model_step: str = "llm") -> DataFrame:
+    """Counts, rates, means and percentiles of a run; rates to three places, times to one.
+
+    Scores, precision and recall are means over answerable questions that have one; judged are answerable ones with a
+    verdict; groundedness is taken over covered answers without an error; latency is the sum of ``steps``.
+    """
     rows = results.dropDuplicates(["run_id", "id"])
-    verdict = F.when(F.col("outcome") == "answered", F.col("judge"))
-    rate = lambda cond, of=None: F.round(F.avg(F.when(of if of is not None else F.lit(True), cond.cast("double"))), 3)
-    judged = verdict.isNotNull()
-    answered = F.coalesce("covered", F.lit(False)) & F.col("error").isNull()
-    n = lambda name: F.count_if(F.col("outcome") == name)
-    ms = F.aggregate(F.map_values("timings_ms"), F.lit(0.0), lambda a, x: a + x)
+    yes, covered = F.coalesce("answerable", F.lit(False)), F.coalesce("covered", F.lit(False)) & F.col("error").isNull()
+    judged = yes & F.col("judge").isNotNull()
+    rate = lambda cond, of: F.round(F.avg(F.when(of, F.coalesce(cond, F.lit(False)).cast("double"))), 3)
+    mean = lambda c, of: F.round(F.avg(F.when(of, F.col(c))), 3)
+    verdict = lambda name: F.count_if(judged & (F.col("judge.verdict") == name))
+    step = lambda name: F.coalesce(F.try_element_at("timings_ms", F.lit(name)), F.lit(0.0))
+    total = step(steps[0])
+    for name in steps[1:]:
+        total = total + step(name)
+    cites = F.col("citations")
+    good = F.size(F.filter(cites, lambda c: F.coalesce(c["verified"], F.lit(False))))
     return rows.groupBy(by).agg(
-        F.count("*").alias("questions"), F.count_if("answerable").alias("answerable"), n("answered").alias("answered"), n("error").alias("errors"),
-        n("judge_error").alias("judge_errors"), n("false_refusal").alias("false_refusals"), n("hallucinated").alias("hallucinations"), n("correct_refusal").alias("correct_refusals"),
-        F.round(F.avg(F.when(F.col("answerable"), F.col("score"))), 3).alias("answer_score"),
-        rate(F.col("judge.overstated"), judged).alias("overstated_rate"), rate(F.col("judge.missing_condition"), judged).alias("missing_rate"),
-        rate(F.col("judge.contradicts_reference"), judged).alias("contradicts_rate"), rate(F.col("grounded"), answered).alias("grounded_rate"),
-        F.round(F.sum("citations_verified") / F.nullif(F.sum(F.greatest(F.size("citations"), F.lit(0))), F.lit(0)), 3).alias("citation_verified_rate"),
-        F.round(F.avg("citation_precision"), 3).alias("citation_precision"), F.round(F.avg("context_recall"), 3).alias("context_recall"),
-        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
-        F.round(percentile_at(F.collect_list(ms), 0.5), 1).alias("latency_p50"), F.round(percentile_at(F.collect_list(ms), 0.95), 1).alias("latency_p95"),
+        F.count("*").alias("n"), F.count_if(yes).alias("answerable"), mean("score", yes).alias("answer_score"),
+        verdict("correct").alias("correct"), verdict("partial").alias("partial"), verdict("incorrect").alias("incorrect"),
+        rate(F.col("judge.overstated"), judged).alias("overstated_rate"), rate(F.col("judge.missing_condition"), judged).alias("missing_condition_rate"),
+        rate(F.col("judge.contradicts_reference"), judged).alias("contradicts_rate"),
+        rate(F.col("outcome") == "false_refusal", yes).alias("false_refusal_rate"), rate(F.col("outcome") == "correct_refusal", ~yes).alias("refusal_accuracy"),
+        rate(F.col("grounded"), covered).alias("grounded_rate"),
+        F.round(F.sum(F.greatest(good, F.lit(0))) / F.nullif(F.sum(F.greatest(F.size(cites), F.lit(0))), F.lit(0)), 3).alias("citation_verified_rate"),
+        mean("citation_precision", yes).alias("citation_precision"), mean("context_recall", yes).alias("context_recall"),
+        F.count_if(F.col("outcome").isin("error", "judge_error")).alias("errors"),
+        F.round(percentile_at(F.collect_list(total), 0.5), 1).alias("latency_p50"), F.round(percentile_at(F.collect_list(total), 0.95), 1).alias("latency_p95"),
+        F.round(percentile_at(F.collect_list(step(model_step)), 0.5), 1).alias("llm_p50"), F.round(F.avg("completion_tokens"), 3).alias("completion_tokens_mean"),
     )
 
 

@@ -42,7 +42,7 @@ def with_page_size(blocks: DataFrame, pages: DataFrame | None, config: LayoutCon
 def edge_zone(sized: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
     """Adds ``edge`` (top, bottom or null) and ``edge_band``, the distance from that edge in bands; top comes first."""
     y0, y1, h = F.col("bbox.y0"), F.col("bbox.y1"), F.col("height")
-    top, bottom = y0 < F.lit(config.edge_ratio) * h, y1 > (F.lit(1.0) - F.lit(config.edge_ratio)) * h
+    top, bottom = y0 < F.lit(config.edge_ratio) * h, h - y1 < F.lit(config.edge_ratio) * h
     band = F.when(top, F.bround(y0 / config.band)).when(bottom, F.bround((h - y1) / config.band)).cast("int")
     return sized.withColumn("edge", F.when(top, "top").when(bottom, "bottom")).withColumn("edge_band", band)
 
@@ -92,10 +92,11 @@ def body_font_size(blocks: DataFrame) -> DataFrame:
 
 
 def footnote_separators(pages: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
-    """``doc_id, page_number, separator_y``: the lowest short rule of a page that no other rule is near."""
+    """``doc_id, page_number, separator_y``: the lowest short rule in a page's lower half that no other rule is near."""
     alone = F.filter(
         "hlines",
-        lambda l: ((l["x1"] - l["x0"]).between(F.col("width") * config.rule_width[0], F.col("width") * config.rule_width[1]))
+        lambda l: (l["y"] >= F.col("height") / 2)
+        & ((l["x1"] - l["x0"]).between(F.col("width") * config.rule_width[0], F.col("width") * config.rule_width[1]))
         & (F.size(F.filter("hlines", lambda o: F.abs(o["y"] - l["y"]) < config.band)) == 1),
     )
     found = F.array_max(F.transform(alone, lambda l: l["y"]))
@@ -125,7 +126,7 @@ def role_counts(blocks: DataFrame, role: str = "role") -> DataFrame:
 def heading_styles(blocks: DataFrame, config: StyleConfig = StyleConfig()) -> DataFrame:
     """``doc_id, size, bold, chars, is_body, level``: the style inventory with heading levels by falling size.
 
-    A heading style is rare, used enough, and larger than the body's or bold at its size. Sizes go by half points.
+    A heading style is rare, used enough, and larger than the body's or bold at about its size. Sizes go by half points.
     """
     body = blocks.filter("role = 'body' AND text IS NOT NULL AND font_size IS NOT NULL")
     styles = (
@@ -137,7 +138,7 @@ def heading_styles(blocks: DataFrame, config: StyleConfig = StyleConfig()) -> Da
     rated = styles.withColumn("main", most).withColumn("total", F.sum("chars").over(doc))
     rated = rated.withColumn("is_body", (F.col("size") == F.col("main.size")) & (F.col("bold") == F.col("main.bold")))
     larger = F.col("size") >= F.col("main.size") + config.min_size_delta
-    bold = F.col("bold") & ~F.col("main.bold") & (F.col("size") == F.col("main.size"))
+    bold = F.col("bold") & ~F.col("main.bold") & (F.abs(F.col("size") - F.col("main.size")) < config.min_size_delta)
     heading = ~F.col("is_body") & (larger | bold) & (F.col("chars") <= F.lit(config.max_char_share) * F.col("total")) & (F.col("chars") >= config.min_style_chars)
     rated = rated.withColumn("heading", heading)
     rank = F.when(F.col("heading"), F.row_number().over(Window.partitionBy("doc_id", "heading").orderBy(F.desc("size"), F.desc("bold"))))

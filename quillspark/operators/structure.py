@@ -42,25 +42,26 @@ def section_events(blocks: DataFrame, profile: ScopeProfile = ScopeProfile()) ->
     events = events.withColumn("scope_now", F.when(F.col("annexes") > 0, named).when(F.col("numbers") > 0, profile.main).otherwise(profile.front))
     rest = T.strip(F.regexp_replace("text", r"^\s*\p{Nd}+(?:\.\p{Nd}+)*\.", ""))
     title = (F.coalesce("heading_level", F.lit(0)) > 0) | T.is_label(rest, profile.max_label_chars)
-    bare = F.regexp_replace(rest, r'^[ "“”]+|[ "“”]+$', "")
     events = events.withColumn("is_title", F.col("number").isNotNull() & title)
-    label = F.when(F.col("is_title"), bare).otherwise(T.short_label(rest))
+    label = F.when(F.col("is_title"), rest).otherwise(T.short_label(rest))
     return events.withColumn("label", F.when(F.col("number").isNotNull(), F.concat(F.col("number"), F.lit(" "), label)))
 
 
 def scopes(blocks: DataFrame, profile: ScopeProfile = ScopeProfile()) -> DataFrame:
-    """``doc_id, segment, scope, title, first_ordinal``: one row per scope heading with its collected title.
+    """``doc_id, segment, scope, title, first_ordinal``: one row per scope entered, with its collected title.
 
-    The title is what the heading says itself and the headings after it, until a numbered or plain block closes it.
+    The title is what the heading says itself and the headings after it, at most one level below, until another block
+    closes it. The main scope has none.
     """
-    events = section_events(blocks, profile)
-    opens = F.col("heads").isNull() & F.col("number").isNull() & (F.coalesce("heading_level", F.lit(0)) > 0)
-    seen = events.withColumn("closed", F.sum(F.when(F.col("heads").isNull() & ~opens, 1).otherwise(0)).over(_running("doc_id", "segment")))
-    parts = seen.filter((F.col("closed") == 0) & (F.col("segment") > 1)).withColumn(
-        "part", F.when(F.col("heads").isNotNull(), T.scope_title(F.col("text"))).otherwise(T.strip(F.col("text")))
-    )
+    events = section_events(blocks, profile).filter("segment > 0")
+    segment = _running("doc_id", "segment")
+    level = F.first(F.when(F.col("heads").isNotNull(), F.col("heading_level")), ignorenulls=True).over(segment)
+    opens = F.col("heads").isNull() & F.col("number").isNull() & (F.coalesce("heading_level", F.lit(0)) > 0) & (F.col("heading_level") <= F.col("title_level") + 1)
+    seen = events.withColumn("title_level", level).withColumn("closed", F.sum(F.when(F.col("heads").isNull() & ~F.coalesce(opens, F.lit(False)), 1).otherwise(0)).over(segment))
+    part = F.when(F.col("closed") == 0, F.when(F.col("heads").isNotNull(), T.scope_title(F.col("text"))).otherwise(T.strip(F.col("text"))))
+    parts = seen.withColumn("part", part)
     own = F.array_sort(F.collect_list(F.when(F.col("part") != "", F.struct("ordinal", "part"))))
-    got = parts.groupBy("doc_id", "segment").agg(F.max("heads").alias("scope"), own.alias("parts"), F.min("ordinal").alias("first_ordinal"))
+    got = parts.groupBy("doc_id", "segment").agg(F.max("scope_now").alias("scope"), own.alias("parts"), F.min("ordinal").alias("first_ordinal"))
     title = F.substring(T.join_lines(F.transform("parts", lambda p: p["part"])), 1, profile.max_title_chars)
     return got.select("doc_id", "segment", "scope", title.alias("title"), "first_ordinal")
 
@@ -93,7 +94,7 @@ def breadcrumbs(blocks: DataFrame, profile: ScopeProfile = ScopeProfile()) -> Da
         events = events.withColumn(f"last{k}", F.last(mark, ignorenulls=True).over(run))
     # a label is open while the latest number starts with its own
     crumbs = F.array_compact(F.array(*[F.when(F.col(f"last{k}.run") == F.col(f"run{k}"), F.col(f"last{k}.label")) for k in range(1, MAX_DEPTH + 1)]))
-    return events.select("doc_id", "id", "ordinal", F.col("scope_now").alias("scope"), "number", crumbs.alias("crumbs"))
+    return events.select("doc_id", "id", "ordinal", F.col("scope_now").alias("scope"), "number", "is_title", crumbs.alias("crumbs"))
 
 
 def breadcrumbs_by_fold(blocks: DataFrame, profile: ScopeProfile = ScopeProfile()) -> DataFrame:

@@ -41,8 +41,8 @@ _GOLDEN = "g AS (SELECT * FROM golden QUALIFY row_number() OVER (PARTITION BY id
 _RESULTS = "r AS (SELECT * FROM gen_results QUALIFY row_number() OVER (PARTITION BY run_id, id ORDER BY id) = 1)"
 _REFS = "refs AS (SELECT id, i - 1 AS ref_no, gold[i].doc_id AS doc_id, gold[i].scope AS scope, gold[i].section AS section, gold[i].page AS page FROM (SELECT id, gold, unnest(range(1, len(gold) + 1)) AS i FROM g))"
 _ZONED = (
-    _BLOCKS + ", z AS (SELECT *, CASE WHEN bbox.y0 < 0.15::DOUBLE * 842.0::DOUBLE THEN 'top' WHEN bbox.y1 > (1.0::DOUBLE - 0.15::DOUBLE) * 842.0::DOUBLE THEN 'bottom' END AS edge, "
-    "CASE WHEN bbox.y0 < 0.15::DOUBLE * 842.0::DOUBLE THEN round_even(bbox.y0 / 5.0, 0)::INT WHEN bbox.y1 > (1.0::DOUBLE - 0.15::DOUBLE) * 842.0::DOUBLE THEN round_even((842.0 - bbox.y1) / 5.0, 0)::INT END AS edge_band, "
+    _BLOCKS + ", z AS (SELECT *, CASE WHEN bbox.y0 < 0.15::DOUBLE * 842.0::DOUBLE THEN 'top' WHEN 842.0::DOUBLE - bbox.y1 < 0.15::DOUBLE * 842.0::DOUBLE THEN 'bottom' END AS edge, "
+    "CASE WHEN bbox.y0 < 0.15::DOUBLE * 842.0::DOUBLE THEN round_even(bbox.y0 / 5.0, 0)::INT WHEN 842.0::DOUBLE - bbox.y1 < 0.15::DOUBLE * 842.0::DOUBLE THEN round_even((842.0 - bbox.y1) / 5.0, 0)::INT END AS edge_band, "
     f"{_pattern('text')} AS pattern FROM b), np AS (SELECT doc_id, count(DISTINCT page_number) AS n_pages FROM z GROUP BY doc_id), "
     "rep AS (SELECT z.doc_id, edge, edge_band, pattern, count(DISTINCT page_number) AS pages FROM z JOIN np USING (doc_id) WHERE edge IS NOT NULL GROUP BY ALL "
     "HAVING count(DISTINCT page_number) >= greatest(3, ceil(0.3::DOUBLE * any_value(n_pages))::INT))"
@@ -52,7 +52,7 @@ _EVENTS = (
     f"nn AS (SELECT *, CASE WHEN heads IS NULL THEN {_NUMBER} END AS num FROM body), "
     "cc AS (SELECT *, count(heads) OVER w AS annexes, count(num) OVER w AS numbers, last_value(heads IGNORE NULLS) OVER w AS named FROM nn WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)), "
     "ev AS (SELECT *, CASE WHEN annexes > 0 THEN annexes + 1 WHEN numbers > 0 THEN 1 ELSE 0 END AS segment, CASE WHEN annexes > 0 THEN named WHEN numbers > 0 THEN 'Regulation' ELSE 'Front matter' END AS scope_now, "
-    f"CASE WHEN num IS NOT NULL THEN num || ' ' || CASE WHEN coalesce(heading_level, 0) > 0 OR {_IS_LABEL} THEN {_BARE} ELSE {_short(_REST)} END END AS label FROM cc)"
+    f"CASE WHEN num IS NOT NULL THEN num || ' ' || CASE WHEN coalesce(heading_level, 0) > 0 OR {_IS_LABEL} THEN {_REST} ELSE {_short(_REST)} END END AS label FROM cc)"
 )
 _VEC = "list_transform(range(0, 8), lambda i: ('0x' || substr(sha256({}), (2 * i + 1)::INT, 2))::INT / 255.0::DOUBLE + 0.01::DOUBLE)"
 _POOL = (
@@ -109,11 +109,10 @@ _TITLE_PART = f"CASE WHEN heads IS NOT NULL THEN regexp_replace(regexp_replace(t
 _OUTCOME = (
     "CASE WHEN error IS NOT NULL THEN 'error' WHEN NOT answerable THEN CASE WHEN covered THEN 'hallucinated' ELSE 'correct_refusal' END WHEN NOT covered THEN 'false_refusal' WHEN judge IS NULL THEN 'judge_error' ELSE 'answered' END"
 )
-_MS = "list_sum(map_values(timings_ms))"
 
 
-def _pct(q: float) -> str:
-    return f"round(list_sort(list({_MS}))[least(count({_MS}) - 1, floor({q}::DOUBLE * count({_MS}))::BIGINT) + 1], 1)"
+def _pct(x: str, q: float) -> str:
+    return f"round(list_sort(list({x}))[least(count({x}) - 1, floor({q}::DOUBLE * count({x}))::BIGINT) + 1], 1)"
 
 
 ORACLES: dict[str, str] = {
@@ -144,7 +143,7 @@ ORACLES: dict[str, str] = {
     "role_counts": f"WITH {_BLOCKS} SELECT doc_id, coalesce(role, 'unknown') AS role, count(*) AS n FROM b GROUP BY ALL",
     "heading_styles": f"WITH {_BLOCKS}, k AS (SELECT doc_id, round_even(font_size * 2, 0) / 2 AS size, coalesce(is_bold, false) AS bold, sum(length(text)) AS chars, min(ordinal) AS o FROM b WHERE role = 'body' AND text IS NOT NULL AND font_size IS NOT NULL GROUP BY ALL), "
     "m AS (SELECT doc_id, size AS ms, bold AS mb FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, o) = 1), t AS (SELECT doc_id, sum(chars) AS total FROM k GROUP BY doc_id), "
-    "j AS (SELECT k.*, size = ms AND bold = mb AS is_body, NOT (size = ms AND bold = mb) AND (size >= ms + 1 OR (bold AND NOT mb AND size = ms)) AND chars <= 0.05::DOUBLE * total AND chars >= 30 AS heading FROM k JOIN m USING (doc_id) JOIN t USING (doc_id)) "
+    "j AS (SELECT k.*, size = ms AND bold = mb AS is_body, NOT (size = ms AND bold = mb) AND (size >= ms + 1 OR (bold AND NOT mb AND abs(size - ms) < 1)) AND chars <= 0.05::DOUBLE * total AND chars >= 30 AS heading FROM k JOIN m USING (doc_id) JOIN t USING (doc_id)) "
     "SELECT doc_id, size, bold, chars::BIGINT AS chars, is_body, CASE WHEN heading THEN row_number() OVER (PARTITION BY doc_id, heading ORDER BY size DESC, bold DESC)::INT END AS level FROM j",
     "structure_scopes": f"WITH {_EVENTS} SELECT id, segment::INT AS segment, scope_now AS scope_found, num AS number_found FROM ev",
     "breadcrumbs": f"WITH {_EVENTS}, n AS (SELECT doc_id, segment, ordinal, num, label FROM ev WHERE num IS NOT NULL), "
@@ -175,10 +174,13 @@ ORACLES: dict[str, str] = {
     "context_labels": f"WITH {_GOLDEN}, {_REFS}, {_CHUNKS}, n AS (SELECT DISTINCT id, doc_id, scope FROM refs) SELECT n.id, 'C' || row_number() OVER (PARTITION BY n.id ORDER BY n.doc_id, c.chunk_index) AS label, c.id AS chunk_id FROM n JOIN c ON c.doc_id = n.doc_id AND c.scope = n.scope",
     "groundedness": f"WITH {_RESULTS} SELECT run_id, id, NOT coalesce(covered, false) OR coalesce(len(list_filter(citations, lambda x: x.verified)) > 0, false) AS is_grounded FROM r",
     "answer_outcomes": f"WITH {_RESULTS}, o AS (SELECT run_id, id, {_OUTCOME} AS outcome_found, judge.verdict AS v FROM r) SELECT run_id, id, outcome_found, CASE WHEN outcome_found IN ('error', 'hallucinated', 'false_refusal') THEN 0.0::DOUBLE WHEN outcome_found = 'correct_refusal' THEN 1.0 WHEN outcome_found = 'answered' THEN CASE v WHEN 'correct' THEN 1.0 WHEN 'partial' THEN 0.5 WHEN 'incorrect' THEN 0.0 END END AS score_found FROM o",
-    "generation_summary": f"WITH {_RESULTS} SELECT run_id, count(*) AS questions, count(*) FILTER (WHERE answerable) AS answerable, count(*) FILTER (WHERE outcome = 'answered') AS answered, count(*) FILTER (WHERE outcome = 'error') AS errors, count(*) FILTER (WHERE outcome = 'judge_error') AS judge_errors, count(*) FILTER (WHERE outcome = 'false_refusal') AS false_refusals, count(*) FILTER (WHERE outcome = 'hallucinated') AS hallucinations, count(*) FILTER (WHERE outcome = 'correct_refusal') AS correct_refusals, "
-    "round(avg(CASE WHEN answerable THEN score END), 3) AS answer_score, round(avg(CASE WHEN outcome = 'answered' AND judge IS NOT NULL THEN judge.overstated::INT END), 3) AS overstated_rate, round(avg(CASE WHEN outcome = 'answered' AND judge IS NOT NULL THEN judge.missing_condition::INT END), 3) AS missing_rate, round(avg(CASE WHEN outcome = 'answered' AND judge IS NOT NULL THEN judge.contradicts_reference::INT END), 3) AS contradicts_rate, "
-    "round(avg(CASE WHEN coalesce(covered, false) AND error IS NULL THEN grounded::INT END), 3) AS grounded_rate, round(sum(citations_verified) / nullif(sum(coalesce(len(citations), 0)), 0), 3) AS citation_verified_rate, round(avg(citation_precision), 3) AS citation_precision, round(avg(context_recall), 3) AS context_recall, "
-    f"sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, {_pct(0.5)} AS latency_p50, {_pct(0.95)} AS latency_p95 FROM r GROUP BY run_id",
+    "generation_summary": f"WITH {_RESULTS}, x AS (SELECT *, coalesce(answerable, false) AS yes, coalesce(covered, false) AND error IS NULL AS cov, coalesce(answerable, false) AND judge IS NOT NULL AS judged, coalesce(timings_ms['retrieve'], 0) + coalesce(timings_ms['llm'], 0) AS ms, coalesce(timings_ms['llm'], 0) AS llm, "
+    "len(list_filter(citations, lambda c: coalesce(c.verified, false))) AS good, len(citations) AS cites FROM r) SELECT run_id, count(*) AS n, count(*) FILTER (WHERE yes) AS answerable, round(avg(score) FILTER (WHERE yes), 3) AS answer_score, "
+    + ", ".join(f"count(*) FILTER (WHERE judged AND judge.verdict = '{v}') AS {v}" for v in ("correct", "partial", "incorrect"))
+    + ", round(avg(coalesce(judge.overstated, false)::INT) FILTER (WHERE judged), 3) AS overstated_rate, round(avg(coalesce(judge.missing_condition, false)::INT) FILTER (WHERE judged), 3) AS missing_condition_rate, round(avg(coalesce(judge.contradicts_reference, false)::INT) FILTER (WHERE judged), 3) AS contradicts_rate, "
+    "round(avg(coalesce(outcome = 'false_refusal', false)::INT) FILTER (WHERE yes), 3) AS false_refusal_rate, round(avg(coalesce(outcome = 'correct_refusal', false)::INT) FILTER (WHERE NOT yes), 3) AS refusal_accuracy, round(avg(coalesce(grounded, false)::INT) FILTER (WHERE cov), 3) AS grounded_rate, "
+    "round(sum(good) / nullif(sum(cites), 0), 3) AS citation_verified_rate, round(avg(citation_precision) FILTER (WHERE yes), 3) AS citation_precision, round(avg(context_recall) FILTER (WHERE yes), 3) AS context_recall, count(*) FILTER (WHERE outcome IN ('error', 'judge_error')) AS errors, "
+    f"{_pct('ms', 0.5)} AS latency_p50, {_pct('ms', 0.95)} AS latency_p95, {_pct('llm', 0.5)} AS llm_p50, round(avg(completion_tokens), 3) AS completion_tokens_mean FROM x GROUP BY run_id",
     "citation_precision": f"WITH {_RESULTS}, {_GOLDEN}, {_REFS}, t AS (SELECT run_id, id, unnest(citations) AS c FROM r), v AS (SELECT row_number() OVER () AS k, run_id, id, c.scope AS scope, c.sections AS sections FROM t WHERE c.verified), "
     f"m AS (SELECT DISTINCT k FROM v JOIN refs ON refs.id = v.id AND refs.scope IS NOT DISTINCT FROM v.scope WHERE len(list_filter(v.sections, lambda x: {_COVERS.format('x', 'refs.section')})) > 0) SELECT run_id, id, round(count(m.k) / count(*), 6) AS citation_precision FROM v LEFT JOIN m USING (k) GROUP BY run_id, id",
     "threshold_sweep": f"WITH {_SWEEP} SELECT threshold, accuracy FROM sw",
@@ -197,9 +199,10 @@ ORACLES: dict[str, str] = {
     "parse_replies": f"WITH {_RESULTS}, k AS (SELECT CASE WHEN answer IS NULL OR covered IS NULL OR coalesce(prompt_tokens % 5 = 0, false) THEN 'invalid_reply' END AS error, covered FROM r) SELECT error, count(*) AS n, count(*) FILTER (WHERE error IS NULL AND covered) AS covered FROM k GROUP BY error",
     "verify_citations": f"WITH {_RESULTS}, {_CHUNKS}, t AS (SELECT run_id, id, citations, unnest(range(1, len(citations) + 1)) AS k FROM r), e AS (SELECT run_id, id, (k - 1)::INT AS seq, citations[k].chunk_id AS chunk_id, citations[k].quote AS quote FROM t) "
     f"SELECT e.run_id, e.id, e.seq, coalesce({_match('e.quote')} <> '' AND contains({_match('c.text')}, {_match('e.quote')}), false) AS verified FROM e LEFT JOIN c ON c.id = e.chunk_id",
-    "scope_titles": f"WITH {_EVENTS}, o AS (SELECT *, heads IS NULL AND num IS NULL AND coalesce(heading_level, 0) > 0 AS opens FROM ev), k AS (SELECT *, sum(CASE WHEN heads IS NULL AND NOT opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, segment ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS closed FROM o), "
-    f"p AS (SELECT doc_id, segment, heads, ordinal, {_TITLE_PART} AS part FROM k WHERE closed = 0 AND segment > 1), "
-    "l AS (SELECT doc_id, segment, max(heads) AS scope, min(ordinal) AS first_ordinal, list(part ORDER BY ordinal) FILTER (WHERE part <> '') AS parts FROM p GROUP BY doc_id, segment) "
+    "scope_titles": f"WITH {_EVENTS}, t AS (SELECT *, first_value(CASE WHEN heads IS NOT NULL THEN heading_level END IGNORE NULLS) OVER (PARTITION BY doc_id, segment ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS lv FROM ev WHERE segment > 0), "
+    "o AS (SELECT *, coalesce(heads IS NULL AND num IS NULL AND coalesce(heading_level, 0) > 0 AND heading_level <= lv + 1, false) AS opens FROM t), k AS (SELECT *, sum(CASE WHEN heads IS NULL AND NOT opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, segment ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS closed FROM o), "
+    f"p AS (SELECT doc_id, segment, scope_now, ordinal, CASE WHEN closed = 0 THEN {_TITLE_PART} END AS part FROM k), "
+    "l AS (SELECT doc_id, segment, max(scope_now) AS scope, min(ordinal) AS first_ordinal, list(part ORDER BY ordinal) FILTER (WHERE part <> '') AS parts FROM p GROUP BY doc_id, segment) "
     "SELECT doc_id, segment::INT AS segment, scope, coalesce(substr(list_reduce(parts, lambda a, b: CASE WHEN ends_with(a, '-') AND regexp_matches(b, '^\\p{Ll}') THEN a || b ELSE a || ' ' || b END), 1, 200), '') AS title, first_ordinal FROM l",
     "resolve_scoped": f"WITH {_CHUNKS}, m AS (SELECT id, doc_id, {_reference(1)} AS s, {_reference(2)} AS t FROM c), u AS (SELECT id, doc_id, unnest(s) AS section, unnest(t) AS t FROM m), "
     f"f AS (SELECT DISTINCT id, doc_id, section, CASE WHEN {_EVEN_T} = 'this regulation' THEN 'Regulation' ELSE 'Annex ' || regexp_extract(t, '([0-9]+)', 1) END AS scope FROM u WHERE {_EVEN_T} <> 'this annex'), "

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import models
-from quillspark.functions import text as T
 from quillspark.operators import answers, chunking, evaluation, index, layout, references, retrieval, structure
 from quillspark.session import cut_lineage
 
@@ -31,9 +30,9 @@ def annotate_blocks(raw: DataFrame, pages: DataFrame | None = None, layout_confi
         tagged = noted.withColumn("role", F.when(F.col("is_footnote"), "footnote").otherwise(F.col("role"))).select(*blocks.columns)
     tagged = layout.contents_and_noise(tagged, layout_config).withColumn("role", F.col("retagged")).select(*blocks.columns)
     leveled = cut_lineage(layout.with_heading_levels(tagged, styles).withColumn("heading_level", F.when(F.col("role") == "body", F.col("style_level"))).drop("style_level"))
-    crumbs = structure.breadcrumbs(leveled).select("id", F.col("scope"), F.col("number").alias("section_number"), F.col("crumbs"))
+    crumbs = structure.breadcrumbs(leveled).select("id", F.col("scope"), F.col("number").alias("section_number"), "is_title", F.col("crumbs"))
     joined = leveled.join(crumbs, "id", "left")
-    kind = F.when(F.col("role") == "body", F.when(F.col("heading_level").isNotNull() | T.is_label(F.coalesce("section_number", F.lit(""))), "heading").otherwise("text"))
+    kind = F.when(F.col("role") == "body", F.when(F.col("heading_level").isNotNull() | F.col("is_title"), "heading").otherwise("text"))
     crumb = F.when(F.col("scope").isNull(), F.array().cast("array<string>")).otherwise(F.concat(F.array("scope"), F.coalesce("crumbs", F.array().cast("array<string>"))))
     return joined.withColumn("block_type", kind).withColumn("breadcrumb", crumb).select(*BLOCK_FIELDS)
 
