@@ -232,9 +232,8 @@ def question_classes(golden: DataFrame, question: str = "question", item: str =
     spelt = raw.mapInPandas(spell, raw.schema)
     spelt = spelt.withColumn("class", F.sha2(F.to_json(F.array_sort("terms")), 256))
     spelt = cut_lineage(spelt)
-    classes = spelt.groupBy("class").agg(
-        F.first("terms").alias("terms"), F.max((F.col("split") == "test").cast("int")).alias("held"), F.max((F.col("split") != "test").cast("int")).alias("tuned")
-    )
+    held = F.coalesce(F.col("split") == "test", F.lit(False))
+    classes = spelt.groupBy("class").agg(F.first("terms").alias("terms"), F.max(held.cast("int")).alias("held"), F.max((~held).cast("int")).alias("tuned"))
     return spelt.select("id", "split", "source", "class"), cut_lineage(classes), known
 
 

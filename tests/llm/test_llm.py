@@ -61,6 +61,10 @@ def test_cosine_join_equals_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_items_without_split_count_as_tuned_on(spark):
+    assert overlap.found_pairs(golden(spark, [(SAME[0][0], None), (SAME[1][0], "test"), (SAME[0][0], None)])).count() == 2
+
+
 def test_copies_are_compared_once(spark):
     df = golden(spark, [SAME[0]] * 30 + [(SAME[1][0], "test")] * 20)
     assert overlap.found_pairs(df).count() == 600
