@@ -133,3 +133,33 @@ def test_cache_calls_only_for_what_is_missing(spark):
     every, made = answers.with_cache(inputs, cache, lambda prompts: "new " + prompts)
     assert sorted((r["key"], r["verdict"]) for r in every.collect()) == [("k1", "old"), ("k2", "new p2"), ("k2", "new p2")]
     assert made.count() == 1
+
+
+def test_judge_consistency(spark):
+    from quillspark.functions import models
+
+    verdicts = spark.createDataFrame([("correct", "correct"), ("correct", "partial"), ("incorrect", "incorrect"), ("partial", "partial")], "first string, second string")
+    assert tuple(models.judge_consistency(verdicts).first()) == (4, 0.75)
+
+
+def test_gold_text_follows_numbers_within_a_scope(spark):
+    from quillspark import schemas
+
+    def row(i, text, number=None, scope="A", page=1, role="body"):
+        return ("d", i, f"d:{i}", text, page, None, 10.0, False, role, None, "text", number, scope, [])
+
+    rows = [row(0, "a", "7.6.1"), row(1, "a1", "7.6.1.1"), row(2, "table"), row(3, "skip", role="footer"), row(4, "b", "7.6.2"), row(5, "loose", scope="B"), row(6, "late", "7.6.10"), row(7, "fig", scope="C", page=82)]
+    blocks = spark.createDataFrame(rows, schemas.BLOCK)
+    golden = spark.createDataFrame([("q", [("d", "A", "7.6.1", None), ("d", "C", None, 82)])], GOLD)
+    got = {r["ref_no"]: r["text"] for r in evaluation.gold_text(blocks, evaluation.gold_references(golden)).collect()}
+    assert got == {0: "a\na1\ntable", 1: "fig"}
+
+
+def test_references_to_other_scopes_are_walked_first(spark):
+    schema = "id string, doc_id string, chunk_index int, scope string, sections array<string>, text string, header string"
+    chunks = spark.createDataFrame(
+        [("a", "d", 0, "Annex 1", ["1"], "see paragraph 2.", "h"), ("b", "d", 1, "Annex 1", ["2"], "second", "h"), ("c", "d", 2, "Annex 2", ["1"], "see paragraph 3.1 of Annex 3", "h"), ("e", "d", 3, "Annex 3", ["3.1"], "third", "h")], schema
+    )
+    hits = spark.createDataFrame([("q", "a", 1), ("q", "c", 2)], "query_id string, chunk_id string, final_rank int")
+    got = {r["chunk_id"] for r in references.build_context(hits, chunks, max_expansions=1).filter("origin = 'reference'").collect()}
+    assert got == {"e"}
