@@ -108,13 +108,14 @@ def mixture(sizes: DataFrame, shares: DataFrame, weight: str | None = None, seed
     rows = cut_lineage(rows.select("doc_id", "source", "tokens", "copies", "fraction", "available", "q", "bin"))
     part = rows.filter("fraction > 0")
     histogram = part.groupBy("source", "bin").agg(F.sum("tokens").alias("n"))
-    # at most sources x BINS rows
     before = histogram.withColumn("upto", F.expr("sum(n) over (partition by source order by bin)")).withColumn("below", F.col("upto") - F.col("n"))
     need = shares.select("source", (F.col("fraction") * F.col("available")).alias("need"))
-    edge = before.join(need, "source").withColumn("state", F.when(F.col("upto") <= F.col("need"), "in").when(F.col("below") < F.col("need"), "edge").otherwise("out"))
-    placed = part.join(F.broadcast(edge.select("source", "bin", "below", "need", "state")), ["source", "bin"])
-    at_edge = placed.filter("state = 'edge'").withColumn("run", F.expr("below + sum(tokens) over (partition by source order by q, doc_id)"))
-    taken = at_edge.filter(F.col("run") - F.col("tokens") / 2 <= F.col("need")).select("doc_id").unionAll(placed.filter("state = 'in'").select("doc_id"))
+    # the bin in which the allotment ends, one row a source; sources that take all have none
+    cut = before.join(need, "source").filter(F.col("upto") > F.col("need")).groupBy("source").agg(F.min(F.struct("bin", "below", "need")).alias("cut"))
+    placed = part.join(F.broadcast(cut), "source", "left")
+    whole = placed.filter(F.col("cut").isNull() | (F.col("bin") < F.col("cut.bin")))
+    at_edge = placed.filter(F.col("bin") == F.col("cut.bin")).withColumn("run", F.expr("cut.below + sum(tokens) over (partition by source order by q, doc_id)"))
+    taken = at_edge.filter(F.col("run") - F.col("tokens") / 2 <= F.col("cut.need")).select("doc_id").unionAll(whole.select("doc_id"))
     taken = taken.withColumn("more", F.lit(1))
     out = rows.join(taken, "doc_id", "left").withColumn("repeats", F.col("copies") + F.coalesce("more", F.lit(0)))
     return out.filter("repeats > 0").select("doc_id", "source", "tokens", "repeats")
