@@ -1,7 +1,7 @@
 """Unfit prompt and reply pairs: empty, truncated, refusing, copying and foreign-language answers.
 
-Refusals are not looked up in a list. Reply openings, with the question's own words masked, are clustered by verified
-MinHash; an opening that recurs across unrelated questions, mostly ones that cannot be answered, is a refusal template.
+Refusals are not looked up in a list. Reply openings, with the question's own words masked, are clustered by the exact
+Jaccard similarity of their shingles; an opening that recurs across unrelated questions, mostly ones that cannot be answered, is a refusal template.
 The other defects are told by checks of the single pair.
 """
 
@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from itertools import combinations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +22,9 @@ from quillspark.llm.overlap import evened, question_terms, without_frames
 from quillspark.llm.quality import COMMON
 from quillspark.session import cut_lineage
 
-SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 16, 4
+SHINGLE = 5
+#: Shingles that two openings of similarity 0.8 may differ in, to those they share.
+ROOM = 0.25
 MIN_QUESTIONS, UNANSWERABLE_SHARE = 3, 0.5
 OPENING_WORDS, OPENING_SENTENCES = 18, 3
 
@@ -209,49 +210,75 @@ def _shingles(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
 
 
-_rng = np.random.default_rng(17)
-_MUL = _rng.integers(1, 2**31 - 1, BANDS * ROWS, dtype=np.int64) | 1
-_ADD = _rng.integers(0, 2**31 - 1, BANDS * ROWS, dtype=np.int64)
+def _signatures(words: list[str]) -> list[tuple[int, int, int]]:
+    """``(signature, size, left_out)`` of each subset of an opening's shingles that a similar opening may share.
+
+    Two sets that share C and leave out x and y shingles have a similarity of |C| / (|C| + x + y) at least, so for 0.8
+    x + y may be |C| / 4 at most. An opening has at most 14 shingles, so x is at most 2 and subsets at most 106.
+    """
+    codes = [int.from_bytes(blake2b(s.encode(), digest_size=8).digest(), "big") for s in _shingles(words)]
+    n, total = len(codes), sum(codes)
+    out = []
+    for x in range(n):
+        if x > (n - x) * ROOM:
+            break
+        out += [((total - sum(c)) % 2**64 - 2**63, n - x, x) for c in combinations(codes, x)]
+    return out
 
 
-def _bands(words: list[str]) -> list[int]:
-    codes = np.array([zlib.crc32(s.encode()) & 0x7FFFFFFF for s in _shingles(words)], dtype=np.int64)
-    low = ((codes[:, None] * _MUL + _ADD) % 2147483647).min(axis=0).reshape(BANDS, ROWS)
-    return [int.from_bytes(zlib.crc32(row.tobytes()).to_bytes(4, "big") + bytes([b]), "big") for b, row in enumerate(low)]
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root`` of each node of ``a, b`` edges: the smallest node of its connected component.
+
+    Large and small stars in turn until no edge changes; each round is checkpointed, and no neighbourhood is collected.
+    """
+    edges = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = None
+    while True:
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = cut_lineage(small.select("e.a", "e.b").filter("a <> b").distinct())
+        found = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if found == state:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        state = found
+
+
+def opening_clusters(keyed: DataFrame) -> DataFrame:
+    """``key, root`` for distinct openings with ``key, opening``: the connected components of all pairs of openings whose
+    shingles have a Jaccard similarity of 0.8 or more.
+
+    Every such pair shares a subset of shingles (see ``_signatures``), and among the openings that hold a subset each one
+    that is similar to any by it is similar to the one that leaves out least. So one edge to that one a row and subset
+    gives the same components as all pairs, without a bucket being paired.
+    """
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *s) for k, o in zip(batch["id"], batch["opening"]) for s in _signatures(list(o))]
+            yield pd.DataFrame(rows, columns=["id", "sign", "size", "x"])
+
+    ids = keyed.withColumn("id", F.xxhash64("key"))
+    signed = cut_lineage(ids.select("id", "opening").mapInPandas(sign, "id long, sign long, size int, x int"))
+    heads = signed.groupBy("sign", "size").agg(F.min(F.struct("x", "id")).alias("h"), F.count("*").alias("n")).filter("n > 1")
+    near = signed.join(heads, ["sign", "size"]).filter((F.col("x") + F.col("h.x")) <= F.col("size") * F.lit(ROOM))
+    roots = components(near.select(F.col("id").alias("a"), F.col("h.id").alias("b")))
+    return ids.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"))
 
 
 def refusal_openings(replies: DataFrame) -> DataFrame:
     """``opening`` of each refusal template among replies with ``opening, question, answerable``.
 
-    Distinct openings are counted first, so a template that a third of all replies use is one row. In each MinHash
-    bucket the openings are compared with the bucket's first one only and join it where the exact Jaccard similarity of
-    their five-word shingles holds; clusters are pooled over two such steps. No pairs within a bucket are built.
+    Distinct openings are counted first, so a template that a third of all replies use is one row; then they are
+    clustered by ``opening_clusters``.
     """
     counted = replies.groupBy("opening").agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("answerable"), 0).otherwise(1)).alias("un"), F.approx_count_distinct("question").alias("questions")
     )
     counted = cut_lineage(counted.withColumn("key", F.array_join("opening", " ")))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(k, b) for k, o in zip(batch["key"], batch["opening"]) for b in _bands(list(o))], columns=["key", "band"])
-
-    banded = counted.select("key", "opening").mapInPandas(sign, "key string, band long")
-    heads = banded.groupBy("band").agg(F.min("key").alias("head"))
-    linked = banded.join(heads, "band").filter("key <> head").select("key", "head").distinct()
-
-    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            near = []
-            for k, h in zip(batch["key"], batch["head"]):
-                a, b = _shingles(k.split(" ")), _shingles(h.split(" "))
-                near.append(len(a & b) >= SIMILARITY * len(a | b))
-            yield batch[near]
-
-    verified = linked.mapInPandas(alike, "key string, head string").groupBy("key").agg(F.min("head").alias("head"))
-    label = counted.select("key").join(verified, "key", "left").select("key", F.coalesce("head", "key").alias("head"))
-    label = cut_lineage(label)
-    label = label.join(label.select(F.col("key").alias("head"), F.col("head").alias("root")), "head").select("key", "root")
+    label = cut_lineage(opening_clusters(counted.select("key", "opening")))
     rooted = counted.join(label, "key")
     good = (
         rooted.groupBy("root").agg(F.sum("n").alias("n"), F.sum("un").alias("un"), F.sum("questions").alias("q"))

@@ -169,6 +169,35 @@ def test_defects(spark):
     assert replies.defects(df.limit(0)).count() == 0
 
 
+def test_opening_clusters_equal_all_pairs(spark):
+    chance = random.Random(7)
+    # chains of many hops: each opening is the one before it with a word more at its end and one less at its start
+    walk = [f"w{i}" for i in range(60)]
+    texts = [walk[i : i + 18] for i in range(40)] + [[f"v{i}" for i in range(17)] + [f"end{k}"] for k in range(25)]
+    texts += [[chance.choice("abcdef") for _ in range(chance.randint(1, 18))] for _ in range(200)]
+    texts = sorted({tuple(t) for t in texts})
+    keyed = spark.createDataFrame([(" ".join(t), list(t)) for t in texts], "key string, opening array<string>")
+    got = {}
+    for r in replies.opening_clusters(keyed).collect():
+        got.setdefault(r["root"], set()).add(r["key"])
+    root = {" ".join(t): " ".join(t) for t in texts}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    sets = {" ".join(t): replies._shingles(list(t)) for t in texts}
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            root[top(a)] = top(b)
+    want = {}
+    for k in sets:
+        want.setdefault(top(k), set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert max(map(len, got.values())) >= 40, "a long chain is one cluster"
+
+
 # --- 5 sentences
 
 TEXTS = {
