@@ -1,7 +1,7 @@
 """Unfit prompt and reply pairs: empty, truncated, refusing, copying and foreign-language answers.
 
 Refusals are not looked up in a list. Reply openings, with the question's own words masked, are clustered by the exact
-Jaccard similarity of their shingles; an opening that recurs across unrelated questions, mostly ones that cannot be answered, is a refusal template.
+Jaccard similarity of their shingles; an opening that recurs across unrelated questions, more of them unanswerable than chance gives, is a refusal template.
 The other defects are told by checks of the single pair.
 """
 
@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.overlap import evened, question_terms, without_frames
+from quillspark.llm.overlap import evened, question_classes, question_terms, without_frames
 from quillspark.llm.quality import COMMON
 from quillspark.session import cut_lineage
 
 SHINGLE = 5
 #: Shingles that two openings of similarity 0.8 may differ in, to those they share.
 ROOM = 0.25
-MIN_QUESTIONS, UNANSWERABLE_SHARE = 3, 0.5
+MIN_QUESTIONS, UNANSWERABLE_SHARE, DEVIATIONS = 3, 0.5, 3
 OPENING_WORDS, OPENING_SENTENCES = 18, 3
 
 # Placeholders that stand for no answer.
@@ -271,20 +271,26 @@ def refusal_openings(replies: DataFrame) -> DataFrame:
     """``opening`` of each refusal template among replies with ``opening, question, answerable``.
 
     Distinct openings are counted first, so a template that a third of all replies use is one row; then they are
-    clustered by ``opening_clusters``.
+    clustered by ``opening_clusters``. Evidence is counted over the distinct classes of equal questions that a cluster
+    answers (``overlap.question_classes``), not over rows: at least ``MIN_QUESTIONS`` classes, of which more than half
+    cannot be answered, or ``DEVIATIONS`` standard deviations more than chance among all classes asked would give.
     """
-    counted = replies.groupBy("opening").agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("answerable"), 0).otherwise(1)).alias("un"), F.approx_count_distinct("question").alias("questions")
-    )
-    counted = cut_lineage(counted.withColumn("key", F.array_join("opening", " ")))
-
-    label = cut_lineage(opening_clusters(counted.select("key", "opening")))
-    rooted = counted.join(label, "key")
+    uses = cut_lineage(replies.groupBy("opening", "question").agg(F.max(F.when(F.col("answerable"), 0).otherwise(1)).alias("un")))
+    counted = uses.select("opening").distinct().withColumn("key", F.array_join("opening", " "))
+    label = cut_lineage(opening_clusters(counted))
+    asked = uses.select("question", F.lit(None).cast("string").alias("split"), F.lit(None).cast("string").alias("source")).distinct()
+    classes = question_classes(asked, item="question")[0].select(F.col("id").alias("question"), "class")
+    # a question without words is a class of its own, and so is the null one
+    classed = uses.join(classes, "question", "left").withColumn("class", F.coalesce("class", F.concat(F.lit("?"), "question"), F.lit("?")))
+    classed = cut_lineage(classed.select(F.array_join("opening", " ").alias("key"), "class", "un"))
+    overall = classed.groupBy("class").agg(F.max("un").alias("un")).agg(F.avg("un")).first()[0] or 0.0
+    per_class = classed.join(label, "key").groupBy("root", "class").agg(F.max("un").alias("un"))
+    chance, spread = F.col("q") * F.lit(overall), F.sqrt(F.col("q") * F.lit(overall * (1 - overall)))
     good = (
-        rooted.groupBy("root").agg(F.sum("n").alias("n"), F.sum("un").alias("un"), F.sum("questions").alias("q"))
-        .filter((F.col("q") >= MIN_QUESTIONS) & (F.col("un") - 1 >= UNANSWERABLE_SHARE * F.col("n")))
+        per_class.groupBy("root").agg(F.count("*").alias("q"), F.sum("un").alias("un")).filter(F.col("q") >= MIN_QUESTIONS)
+        .filter((F.col("un") - 1 >= UNANSWERABLE_SHARE * F.col("q")) | (F.col("un") > 1) & (F.col("un") - chance >= DEVIATIONS * spread))
     )
-    return rooted.join(good.select("root"), "root").select("opening")
+    return counted.join(label, "key").join(good.select("root"), "root").select("opening")
 
 
 def defects(results: DataFrame) -> DataFrame:

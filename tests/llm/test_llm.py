@@ -198,6 +198,24 @@ def test_opening_clusters_equal_all_pairs(spark):
     assert max(map(len, got.values())) >= 40, "a long chain is one cluster"
 
 
+def test_refusals_are_judged_by_distinct_questions(spark):
+    rows = []
+    for i in range(200):
+        name = chr(97 + i % 26) + chr(97 + i // 26)
+        rows.append((f"a{i}", f"How many bolts hold the Name{name}lo ramp?", f"The Name{name}lo ramp is held by {i} bolts.", True))
+    for i in range(40):  # used on more answerable questions than others, yet far above chance
+        name = chr(97 + i % 26) + chr(97 + i // 26)
+        rows.append((f"u{i}", f"Which colour has the Other{name}lo lamp?", f"The passages say nothing at all on Other{name}lo lamps, so I cannot answer.", i % 5 < 3))
+    for i in range(30):  # one hot answerable question, refused in many runs
+        rows.append((f"h{i}", "Who seals the Gadrozul hatch?", "We have no data on this matter and must leave it open.", True))
+    rows += [(f"k{i}", f"Where is the {w} kept?", "We have no data on this matter and must leave it open.", False) for i, w in enumerate(("spare wheel", "wooden chock", "first aid box", "fuel gauge"))]
+    for i, q in enumerate(("Who tests the Rulotem pump?", "WHO TESTS THE RULOTEM PUMP", "Please tell me: who tests the Rulotem pump?", "who tests the  Rulotem pump ?!")):
+        rows.append((f"e{i}", q, "Some friendly inspector from the harbour town does.", i > 2))
+    df = spark.createDataFrame([("r", *r[:3], r[3], "x") for r in rows], RESULTS)
+    got = {r["id"] for r in replies.defects(df).collect() if r["defect"] == "refusal"}
+    assert got == {f"u{i}" for i in range(40) if i % 5 < 3} | {f"h{i}" for i in range(30)}, "e3 is one question in four writings"
+
+
 # --- 5 sentences
 
 TEXTS = {
