@@ -96,6 +96,11 @@ def _class_like(m: re.Match) -> str:
 def question_terms(text: str | None) -> list[str]:
     """Terms of a question: figures in one writing, classes with their letter, words by the shape of their letters,
     single characters of scripts without blanks. Empty for a null or wordless text."""
+    return [w for w in all_terms(text) if w not in _SHAPE_WORDS]
+
+
+def all_terms(text: str | None) -> list[str]:
+    """The terms of a question together with the words that only shape it."""
     if not text:
         return []
     text = re.sub(r"\s+", " ", _plain(text)).translate(_SKELETON)
@@ -112,7 +117,7 @@ def question_terms(text: str | None) -> list[str]:
             terms.append("minimum")
         if re.search("不得大于|不得超过|至多|最大|不高于", joined):
             terms.append("maximum")
-    return [w for w in terms if w not in _SHAPE_WORDS and w not in _CJK_SHAPE]
+    return [w for w in terms if w not in _CJK_SHAPE]
 
 
 def evened(terms: list[str]) -> list[str]:
@@ -173,6 +178,40 @@ class Speller:
         return self.memory[word, count]
 
 
+def _close(w: str, v: str) -> bool:
+    """Whether two writings may be one name: one slip, two in a long word."""
+    return _within(w, v, 1 if min(len(w), len(v)) < 9 else 2)
+
+
+def _slip(w: str, v: str) -> bool:
+    """Whether a word two slips from a known one is a slip of it rather than a name: slips bring in no new letters."""
+    return _close(w, v) or set(w) <= set(v)
+
+
+def _same_word(x: tuple[str, str], y: tuple[str, str]) -> bool:
+    return x[1] == y[1] and (_close(x[0], y[0]) or set(x[0] + y[0]) <= set(x[1]))
+
+
+def agreed_terms(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
+    """The terms of two questions from their ``(written, right)`` terms, for the exact check: a word that was set right
+    counts as its partner's only where both are close as they were written or hold no letter that the right word lacks.
+    One without a partner counts as set right if it is a slip in that sense, and as it was written otherwise."""
+    left, right = list(a), list(b)
+    out_a, out_b = [], []
+    for same in (lambda x, y: x[0] == y[0], _same_word):
+        for x in list(left):
+            y = next((y for y in right if same(x, y)), None)
+            if y is not None:
+                left.remove(x)
+                right.remove(y)
+                out_a.append(x[1])
+                out_b.append(x[1])
+    # the same right word in two writings that are not close: two names
+    met = {r for _, r in left} & {r for _, r in right}
+    alone = lambda x: x[1] if _slip(*x) and x[1] not in met else x[0]
+    return out_a + [alone(x) for x in left], out_b + [alone(y) for y in right]
+
+
 def same_question(a: list[str], b: list[str], known: frozenset[str] | dict) -> bool:
     """The exact check of two lists of terms: figures, classes and extremes alike, names alike but for one slip, and no
     other word of one exchanged for another."""
@@ -208,17 +247,18 @@ def _features(terms: list[str]) -> list[str]:
     return out + [x + y for x, y in zip(chars, chars[1:])] + (chars if len(chars) == 1 else [])
 
 
-def question_classes(golden: DataFrame, question: str = "question", item: str = "id") -> tuple[DataFrame, DataFrame, dict[str, int]]:
-    """``(members, classes, known)``: id, split, source and class of each item; class and terms of each class; and the
-    known words with the number of items that use them (at most terms per item / ``KNOWN_SHARE`` words)."""
+def question_classes(golden: DataFrame, question: str = "question", item: str = "id") -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
+    """``(members, classes, variants, known)``: id, split, source, class and variant of each item; class and terms of
+    each class, as set right; variant, class, and terms as written and as set right, of each writing within a class; and
+    the known words with the number of items that use them (at most terms per item / ``KNOWN_SHARE`` words)."""
     items = golden.select(F.col(item).alias("id"), "split", "source", F.col(question).alias("q")).dropDuplicates(["id"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "split": batch["split"], "source": batch["source"], "terms": [question_terms(q) for q in batch["q"]]})
+            yield pd.DataFrame({"id": batch["id"], "split": batch["split"], "source": batch["source"], "terms": [all_terms(q) for q in batch["q"]]})
 
     raw = cut_lineage(items.mapInPandas(read, "id string, split string, source string, terms array<string>").filter("size(terms) > 0"))
-    spread = raw.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    spread = cut_lineage(raw.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("n")))
     total = raw.count()
     least = max(KNOWN_LEAST, int(total * KNOWN_SHARE))
     known = {r["t"]: r["n"] for r in spread.filter(F.col("n") >= least).collect()}
@@ -227,14 +267,37 @@ def question_classes(golden: DataFrame, question: str = "question", item: str =
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         speller = Speller(shared.value)
         for batch in batches:
-            yield batch.assign(terms=[evened([speller.right(t, 1) for t in ts]) for ts in batch["terms"]])
-
-    spelt = raw.mapInPandas(spell, raw.schema)
-    spelt = spelt.withColumn("class", F.sha2(F.to_json(F.array_sort("terms")), 256))
+            out = []
+            for t, n in zip(batch["t"], batch["n"]):
+                v = speller.right(t, n)
+                # only a slip of a word that shapes the question or replaces others is taken for it, not a name near it
+                if v != t and (v not in _SHAPE_WORDS and v not in _EVEN_WORDS or _slip(t, v)):
+                    out.append((t, v))
+            yield pd.DataFrame(out, columns=["t", "v"])
+
+    # each unknown word is looked up once, with the true number of items that use it
+    slips = spread.filter(F.col("n") < least).mapInPandas(spell, "t string, v string")
+    slipped = raw.select("id", F.explode(F.array_distinct("terms")).alias("t")).join(slips, "t").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("slips"))
+
+    def even(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            written, rights = [], []
+            for ts, fix in zip(batch["terms"], batch["slips"]):
+                fix = {} if fix is None else dict(fix)
+                pairs = [(_EVEN_WORDS.get(v, _EVEN_WORDS.get(t, t)), _EVEN_WORDS.get(v, v)) for t in ts for v in [fix.get(t, t)] if v not in _SHAPE_WORDS]
+                written.append([t for t, _ in pairs])
+                rights.append([v for _, v in pairs])
+            yield batch[["id", "split", "source"]].assign(written=written, terms=rights)
+
+    spelt = raw.join(slipped, "id", "left").mapInPandas(even, "id string, split string, source string, written array<string>, terms array<string>").filter("size(terms) > 0")
+    spelt = spelt.withColumn("class", F.sha2(F.to_json(F.array_sort("terms")), 256)).withColumn("variant", F.sha2(F.to_json(F.array_sort(F.arrays_zip("written", "terms"))), 256))
     spelt = cut_lineage(spelt)
     held = F.coalesce(F.col("split") == "test", F.lit(False))
-    classes = spelt.groupBy("class").agg(F.first("terms").alias("terms"), F.max(held.cast("int")).alias("held"), F.max((~held).cast("int")).alias("tuned"))
-    return spelt.select("id", "split", "source", "class"), cut_lineage(classes), known
+    sides = [F.max(held.cast("int")).alias("held"), F.max((~held).cast("int")).alias("tuned")]
+    variants = spelt.groupBy("variant").agg(F.first("class").alias("class"), F.first(F.struct("written", "terms")).alias("x"), *sides)
+    variants = cut_lineage(variants.select("variant", "class", "x.written", "x.terms", "held", "tuned"))
+    classes = variants.groupBy("class").agg(F.first("terms").alias("terms"), F.max("held").alias("held"), F.max("tuned").alias("tuned"))
+    return spelt.select("id", "split", "source", "class", "variant"), cut_lineage(classes), variants, known
 
 
 def class_vectors(classes: DataFrame) -> DataFrame:
@@ -286,23 +349,25 @@ def cross_split_pairs(golden: DataFrame, threshold: float = THRESHOLD) -> DataFr
     Null and wordless questions ask nothing and pair with nothing; repeated rows count once; an item without split
     counts as tuned on. All pairs of ids are given; copies were compared once, as classes.
     """
-    members, classes, known = question_classes(golden)
+    members, classes, variants, known = question_classes(golden)
     vectors = cut_lineage(class_vectors(classes))
     near = cosine_pairs(vectors, threshold)
-    terms = lambda s: classes.select(F.col("class").alias(f"class_{s}"), F.col("terms").alias(f"terms_{s}"))
+    itself = classes.filter("held = 1 AND tuned = 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.lit(1.0).alias("cosine"))
+    side = lambda s, on: variants.filter(f"{on} = 1").select(F.col("class").alias(f"class_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("variant", "written", "terms")])
     shared = golden.sparkSession.sparkContext.broadcast(frozenset(known))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = [same_question(list(a), list(b), shared.value) for a, b in zip(batch["terms_a"], batch["terms_b"])]
-            yield batch.loc[kept, ["class_a", "class_b", "cosine"]]
-
-    same = near.join(terms("a"), "class_a").join(terms("b"), "class_b").mapInPandas(check, "class_a string, class_b string, cosine double")
-    itself = classes.filter("held = 1 AND tuned = 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.lit(1.0).alias("cosine"))
-    pairs = same.unionByName(itself)
-    held = members.filter("split = 'test'").select(F.col("class").alias("class_a"), F.col("id").alias("held_id"), F.col("source").alias("held_source"))
-    tuned = members.filter("split <> 'test' OR split IS NULL").select(F.col("class").alias("class_b"), F.col("id").alias("tuned_id"), F.col("source").alias("tuned_source"))
-    return pairs.join(held, "class_a").join(tuned, "class_b").select("held_id", "tuned_id", "held_source", "tuned_source", "cosine")
+            kept = []
+            for v, u, wa, ta, wb, tb in zip(*[batch[c] for c in ("variant_a", "variant_b", "written_a", "terms_a", "written_b", "terms_b")]):
+                kept.append(v == u or same_question(*agreed_terms(list(zip(wa, ta)), list(zip(wb, tb))), shared.value))
+            yield batch.loc[kept, ["variant_a", "variant_b", "cosine"]]
+
+    met = near.unionByName(itself).join(side("a", "held"), "class_a").join(side("b", "tuned"), "class_b")
+    pairs = met.mapInPandas(check, "variant_a string, variant_b string, cosine double")
+    held = members.filter("split = 'test'").select(F.col("variant").alias("variant_a"), F.col("id").alias("held_id"), F.col("source").alias("held_source"))
+    tuned = members.filter("split <> 'test' OR split IS NULL").select(F.col("variant").alias("variant_b"), F.col("id").alias("tuned_id"), F.col("source").alias("tuned_source"))
+    return pairs.join(held, "variant_a").join(tuned, "variant_b").select("held_id", "tuned_id", "held_source", "tuned_source", "cosine")
 
 
 def found_pairs(golden: DataFrame) -> DataFrame:

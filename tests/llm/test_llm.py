@@ -70,6 +70,13 @@ def test_copies_are_compared_once(spark):
     assert overlap.found_pairs(df).count() == 600
 
 
+def test_names_near_a_common_word_stay_names(spark):
+    filler = [(f"Which roads lead to the Name{chr(97 + i % 26)}{chr(97 + i // 26)}q side gate?", "dev") for i in range(100)]
+    pairs = [("Who inspects the Rogado pump in the winter months?", "dev"), ("Who inspects the Rofido pump in the winter months?", "test"), ("Who inspects the Rogadoo pump in the winter months?", "test")]
+    got = {(r["id_a"], r["id_b"]) for r in overlap.found_pairs(golden(spark, pairs + filler)).collect()}
+    assert got == {("q0", "q2")}
+
+
 # --- 2 pieces
 
 
