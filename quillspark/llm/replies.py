@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.graph import components
 from quillspark.llm.overlap import evened, question_classes, question_terms, without_frames
 from quillspark.llm.quality import COMMON
 from quillspark.session import cut_lineage
@@ -226,26 +227,6 @@ def _signatures(words: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` of each node of ``a, b`` edges: the smallest node of its connected component.
-
-    Large and small stars in turn until no edge changes; each round is checkpointed, and no neighbourhood is collected.
-    """
-    edges = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = cut_lineage(small.select("e.a", "e.b").filter("a <> b").distinct())
-        found = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if found == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = found
-
-
 def opening_clusters(keyed: DataFrame) -> DataFrame:
     """``key, root`` for distinct openings with ``key, opening``: the connected components of all pairs of openings whose
     shingles have a Jaccard similarity of 0.8 or more.
