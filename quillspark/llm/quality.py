@@ -28,8 +28,9 @@ COMMON = {
 }
 # Frequent function characters of scripts written without blanks.
 COMMON_CHARACTERS = {"ja": "のはをにがでとるすい", "zh": "的是在了不应与每须为于", "th": "ต้องให้ไม่ที่และนมา"}
-#: Statistics with the number of decimals they are defined to and the largest value told apart; so the distinct values
-#: of one language number at most max * 10 ** decimals + 1, whatever the corpus.
+#: Ranked statistics with the number of decimals they are defined to and the largest value told apart; so the distinct
+#: values of one language number at most max * 10 ** decimals + 1, whatever the corpus. ``entry_share`` is the share of
+#: characters in lines that are list entries or rows of cells.
 STATS = {
     "mean_word_length": (2, 60.0),
     "symbol_ratio": (3, 1.0),
@@ -37,9 +38,20 @@ STATS = {
     "end_punctuation_share": (3, 1.0),
     "common_word_share": (3, 1.0),
     "distinct_word_index": (2, 60.0),
+    "entry_share": (3, 1.0),
+    "letter_share": (3, 1.0),
+    "short_word_share": (3, 1.0),
 }
 #: The tail that is unlike prose: 1 the upper, -1 the lower.
-TAILS = {"mean_word_length": 1, "symbol_ratio": 1, "digit_ratio": 1, "end_punctuation_share": -1, "common_word_share": -1, "distinct_word_index": -1}
+TAILS = {
+    "mean_word_length": 1, "symbol_ratio": 1, "digit_ratio": 1, "end_punctuation_share": -1, "common_word_share": -1,
+    "distinct_word_index": -1, "entry_share": 1, "letter_share": -1, "short_word_share": -1,
+}
+#: Weight of the corpus in the tail of a language, in documents: a language with few of its own borrows from all.
+CORPUS_WEIGHT = 100
+#: Documents from this outlier score on are candidates for anything but prose.
+OUTLIER = 5.0
+UNKNOWN, CORPUS = "und", "*"
 
 # Marks that stand for unreadable or misread print.
 DAMAGE_MARKS = "�~^¦¬§¤°#$%@{}\\ÐÑÂÃØÙ"
@@ -186,53 +198,74 @@ def _steps(name: str) -> Column:
 
 
 def tail_tables(stats: DataFrame) -> DataFrame:
-    """``lang_found, stat, step, lower, upper``: for each distinct value the exact share of the language's documents
-    at or below it and at or above it.
+    """``lang_found, stat, step, lower, upper, docs``: for each distinct value the exact share of the language's
+    documents at or below it and at or above it, and their number; the whole corpus is the language ``*``.
 
     Counts are aggregated first, so a value that a third of all documents share is one row. The distinct values are
     sorted by ranges; a partition's ranks start at the offset that the partitions before it add up to.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), _steps(k).alias("step")) for k in STATS]))
     counts = stats.select("lang_found", pairs.alias("x")).groupBy("lang_found", "x.stat", "x.step").count()
+    both = counts.select(F.explode(F.array("lang_found", F.lit(CORPUS))).alias("lang_found"), "stat", "step", "count")
+    counts = both.groupBy("lang_found", "stat", "step").agg(F.sum("count").alias("count"))
     ranged = counts.repartitionByRange("lang_found", "stat", "step").sortWithinPartitions("lang_found", "stat", "step")
     placed = cut_lineage(ranged.withColumn("part", F.spark_partition_id()))
     totals = placed.groupBy("lang_found", "stat", "part").agg(F.sum("count").alias("n"))
     before = totals.select(
         "lang_found", "stat", "part",
         F.expr("sum(n) over (partition by lang_found, stat order by part) - n").alias("offset"),
-        F.expr("sum(n) over (partition by lang_found, stat)").alias("all"),
+        F.expr("sum(n) over (partition by lang_found, stat)").alias("docs"),
     )
     # bounded by languages x statistics x partitions
     local = placed.withColumn("upto", F.expr("sum(count) over (partition by lang_found, stat, part order by step)"))
     ranks = local.join(F.broadcast(before), ["lang_found", "stat", "part"]).withColumn("rank", F.col("offset") + F.col("upto"))
-    return ranks.select(
-        "lang_found", "stat", "step", (F.col("rank") / F.col("all")).alias("lower"), ((F.col("all") - F.col("rank") + F.col("count")) / F.col("all")).alias("upper")
-    )
+    upper = F.col("docs") - F.col("rank") + F.col("count")
+    return ranks.select("lang_found", "stat", "step", (F.col("rank") / F.col("docs")).alias("lower"), (upper / F.col("docs")).alias("upper"), "docs")
 
 
-def scored(stats: DataFrame) -> DataFrame:
-    """The statistics with ``outlier_score``: the summed negative logarithms of the tail probabilities.
+def surprise_tables(tails: DataFrame) -> DataFrame:
+    """``lang_found`` and one array per statistic: at place ``step`` the negative logarithm of the tail probability.
 
-    The tail table has at most languages x distinct values rows (see ``STATS``), so broadcasting it is bounded.
+    The tail of a language is that of its own documents and, with the weight of ``CORPUS_WEIGHT`` documents, that of
+    the corpus; texts of no known language are ranked in the corpus alone. One row a language, each array at most
+    max * 10 ** decimals + 1 long (see ``STATS``).
     """
-    stats = cut_lineage(stats)
-    tails = cut_lineage(tail_tables(stats))
-    out, score = stats, F.lit(0.0)
-    for i, name in enumerate(STATS):
-        side = "upper" if TAILS[name] > 0 else "lower"
-        one = tails.filter(F.col("stat") == name).select(
-            F.col("lang_found").alias(f"__l{i}"), F.col("step").alias(f"__v{i}"), (-F.ln(F.col(side))).alias(f"__p{i}")
-        )
-        out = out.join(F.broadcast(one), (F.col("lang_found") == F.col(f"__l{i}")) & (_steps(name) == F.col(f"__v{i}")), "left").drop(f"__l{i}", f"__v{i}")
-        score = score + F.coalesce(F.col(f"__p{i}"), F.lit(0.0))
-    return out.withColumn("outlier_score", score).drop(*[f"__p{i}" for i in range(len(STATS))])
+    side = F.lit(None).cast("double")
+    for name, way in TAILS.items():
+        side = F.when(F.col("stat") == name, F.col("upper" if way > 0 else "lower")).otherwise(side)
+    one = tails.select("lang_found", "stat", "step", "docs", side.alias("tail"))
+    corpus = one.filter(F.col("lang_found") == CORPUS).select("stat", "step", F.col("tail").alias("all"))
+    own = one.filter(F.col("lang_found") != CORPUS).join(corpus, ["stat", "step"])
+    n = F.when(F.col("lang_found") == UNKNOWN, 0).otherwise(F.col("docs"))
+    value = -F.ln((n * F.col("tail") + CORPUS_WEIGHT * F.col("all")) / (n + CORPUS_WEIGHT))
+    grid = own.groupBy("lang_found", "stat").agg(F.max("step").alias("top")).select("lang_found", "stat", F.explode(F.sequence(F.lit(0), "top")).alias("step"))
+    dense = grid.join(own.select("lang_found", "stat", "step", value.alias("v")), ["lang_found", "stat", "step"], "left")
+    placed = F.transform(F.array_sort(F.collect_list(F.struct("step", F.coalesce("v", F.lit(0.0)).alias("v")))), lambda x: x["v"])
+    arrays = dense.groupBy("lang_found", "stat").agg(placed.alias("values"))
+    return arrays.groupBy("lang_found").agg(*[F.max(F.when(F.col("stat") == k, F.col("values"))).alias(f"__{k}") for k in STATS])
+
+
+def scored(stats: DataFrame) -> DataFrame:
+    """The statistics with ``outlier_score``: the summed negative logarithms of the tail probabilities."""
+    stats = cut_lineage(stats.withColumn("entry_share", F.col("list_share") + F.col("table_share")))
+    surprise = cut_lineage(surprise_tables(tail_tables(stats))).withColumnRenamed("lang_found", "__lang")
+    # one row a language
+    out = stats.join(F.broadcast(surprise), F.col("lang_found") == F.col("__lang"), "left")
+    score = F.lit(0.0)
+    for name in STATS:
+        score = score + F.coalesce(F.get(f"__{name}", _steps(name)), F.lit(0.0))
+    return out.withColumn("outlier_score", F.round(score, 6)).drop("__lang", *[f"__{k}" for k in STATS])
 
 
 def with_kind(rated: DataFrame) -> DataFrame:
-    """Adds ``kind``: prose, list, table or junk. Where no kind of line has a clear majority of the characters, the
-    outlier score decides: running text stays near its language's middle."""
+    """Adds ``kind``: prose, list, table or junk.
+
+    The outlier score decides which documents can be other than prose at all. An exact check of the candidates' lines
+    and characters then says which kind of outlier it is, or that it is unusual prose (short, of many figures, or with
+    a list in it) after all.
+    """
     dense = F.col("lang_found").isin(*_DENSE)
-    rows = F.col("table_share") + F.col("list_share")
+    rows = F.col("entry_share")
     loose = rows < 0.5
     unreadable = (
         (F.col("letter_share") < 0.12) & (F.col("digit_ratio") < 0.2)
@@ -245,12 +278,11 @@ def with_kind(rated: DataFrame) -> DataFrame:
     )
     repeated = (F.col("distinct_word_index") < 1.6) & (F.col("word_count") >= 12) & (F.col("end_punctuation_share") < 0.5) & (F.col("table_share") < 0.5)
     empty = F.col("word_count") == 0
-    clear, doubtful = 0.56, 0.44
-    middle = F.col("outlier_score") > 6.0
     return rated.withColumn(
         "kind",
-        F.when(empty | unreadable | wordless | repeated, "junk")
-        .when((rows > clear) | ((rows > doubtful) & middle), F.when(F.col("table_share") >= F.col("list_share"), "table").otherwise("list"))
+        F.when(F.col("outlier_score") < OUTLIER, F.when(empty, "junk").otherwise("prose"))
+        .when(empty | unreadable | wordless | repeated, "junk")
+        .when(rows > 0.5, F.when(F.col("table_share") >= F.col("list_share"), "table").otherwise("list"))
         .otherwise("prose"),
     )
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.leaks import find_leaks
+from quillspark.llm.leaks import find_leaks, leaked_pairs
 from quillspark.llm.mixing import mixed_documents, mixing_report
 from quillspark.llm.overlap import found_pairs, overlap_report
 from quillspark.llm.packing import chunk_windows
@@ -28,7 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_windows": lambda s, d: chunk_windows(table(s, d, "chunks")),
         "p4_found": lambda s, d: defects(table(s, d, "gen_results")),
         "p5_found": lambda s, d: body_sentence_ends(table(s, d, "blocks")),
-        "p6_found": lambda s, d: find_leaks(table(s, d, "documents"), table(s, d, "heldout_items")).select("doc_id", "item_id"),
+        "p6_found": lambda s, d: leaked_pairs(table(s, d, "documents"), table(s, d, "heldout_items")),
         "p6_stretches": lambda s, d: find_leaks(table(s, d, "documents"), table(s, d, "heldout_items")),
         "p7_mixture": lambda s, d: mixed_documents(table(s, d, "documents"), table(s, d, "source_targets")),
         "p7_shares": lambda s, d: mixing_report(table(s, d, "documents"), table(s, d, "source_targets")),

@@ -295,8 +295,8 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     table = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     docs = spark.createDataFrame([(i, f"Start. {t} End.") for i, t in enumerate(items)], "doc_id bigint, text string")
     whole = {tuple(r) for r in leaks.find_leaks(docs, table).collect()}
-    monkeypatch.setattr(leaks, "BLOCK_TOKENS", 200)
-    assert len(leaks._blocks(table, "item_id", "text", 200)) > 3
+    monkeypatch.setattr(leaks, "BLOCK_TOKENS", 100)
+    assert len(list(leaks._blocks(table, "item_id", "text", 100))) > 3
     assert {tuple(r) for r in leaks.find_leaks(docs, table).collect()} == whole and len(whole) == 12
 
 
@@ -369,9 +369,14 @@ WANT = {"list": "list", "contents": "list", "csv": "table", "spaced": "table", "
 
 def test_kinds(spark):
     rows = [(i, t, "prose", 7) for i, t in enumerate(KINDS.values())]
+    rows += [(1000 + i, f"The cover of the box number {i} must not touch the rail of the unit{', and it is to be checked in winter' * (i % 3)}. It shall be marked in the same way as the frame.", "prose", 7) for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, kind string, word_count int")
     got = {r["doc_id"]: r["kind"] for r in quality.not_prose(docs.unionAll(docs)).collect()}
     assert {name: got.get(i, "prose") for i, name in enumerate(KINDS)} == {name: WANT.get(name, "prose") for name in KINDS}
+    assert set(got) <= set(range(len(KINDS)))
+    # the rows come from the score: without it nothing is an outlier but texts without a word
+    plain = quality.with_kind(quality.scored(quality.text_statistics(docs)).withColumn("outlier_score", F.lit(0.0)))
+    assert {r["doc_id"] for r in plain.filter("kind <> 'prose'").collect()} <= {list(KINDS).index(k) for k in ("empty", "null")}
     assert quality.not_prose(docs.limit(0)).count() == 0
 
 
@@ -387,6 +392,26 @@ def test_ranks_are_exact(spark):
             assert got[lang, step][1] == pytest.approx(sum(x >= step for x in steps) / len(steps))
 
 
+def test_scores_are_sums_of_tails(spark):
+    """Own tails with the weight of the corpus' ones, by brute force."""
+    import math
+
+    rng = random.Random(10)
+    rows = [(i, rng.choice(["en", "de", "und"]), *[rng.choice([0.0, 0.3, rng.random()]) for _ in quality.STATS]) for i in range(200)]
+    names = list(quality.STATS)
+    stats = spark.createDataFrame(rows, "doc_id bigint, lang_found string, " + ", ".join(f"{n} double" for n in names))
+    halves = stats.withColumn("list_share", F.col("entry_share")).withColumn("table_share", F.lit(0.0)).drop("entry_share")
+    got = {r["doc_id"]: r["outlier_score"] for r in quality.scored(halves).collect()}
+    step = lambda n, v: round(round(v, 12) * 10 ** quality.STATS[n][0])
+    for row in rows:
+        want = 0.0
+        for k, n in enumerate(names, 2):
+            beyond = lambda rs: sum((step(n, r[k]) - step(n, row[k])) * quality.TAILS[n] >= 0 for r in rs)
+            own = [r for r in rows if r[1] == row[1]] if row[1] != "und" else []
+            want -= math.log((beyond(own) + quality.CORPUS_WEIGHT * beyond(rows) / len(rows)) / (len(own) + quality.CORPUS_WEIGHT))
+        assert got[row[0]] == pytest.approx(want, abs=0.02)
+
+
 def test_statistics(spark):
     docs = spark.createDataFrame([(1, "The cat sat on the mat.\nA dog"), (2, None)], "doc_id bigint, text string")
     got = {r["doc_id"]: r for r in quality.text_statistics(docs).collect()}
@@ -410,3 +435,60 @@ def test_query_as_sql(spark, data, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
     theirs = {tuple(r) for r in con.execute(llm_queries.oracle_sql()[name]).fetchall()}
     assert {tuple(r) for r in llm_queries.queries()[name](spark, data).collect()} == theirs
+
+
+# --- 6 leaks, groups of copies and repeats
+
+
+def leak_world(rng, n_items=40, copies=0):
+    items = [" ".join(stretch(rng, 40)) for _ in range(n_items)]
+    rows = [(i, t) for i, t in enumerate(items)]
+    for c in range(1, copies + 1):  # near copies, one common word exchanged
+        rows += [(1000 * c + i, t.replace("bolt", f"nut{c}", 1)) for i, t in enumerate(items)]
+    return items, rows
+
+
+def test_copies_among_the_items_hide_none(spark):
+    rng = random.Random(11)
+    items, rows = leak_world(rng, copies=3)
+    table = spark.createDataFrame(rows, "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"Opening words of a page. {t} Closing words.") for i, t in enumerate(items)], "doc_id bigint, text string")
+    got = {tuple(r) for r in leaks.leaked_pairs(docs, table).collect()}
+    assert all((i, i) in got for i in range(len(items))), "each item is found in its own text"
+    assert got == {(i, 1000 * c + i) for i in range(len(items)) for c in range(4)}
+
+
+def test_every_stretch_is_reported_and_removed(spark):
+    rng = random.Random(12)
+    item, other = " ".join(stretch(rng, 40)), " ".join(stretch(rng, 40))
+    words = item.split()
+    # after a short stretch one name is exchanged, then a long one goes on along the same diagonal
+    broken = " ".join([*words[:4], *("another" if k == 4 else w for k, w in enumerate(words) if k >= 4)])
+    docs = spark.createDataFrame([(1, f"Start here. {item} And between. {item} The end."), (2, f"Start. {broken} End.")], "doc_id bigint, text string")
+    table = spark.createDataFrame([(0, item), (1, other), (2, "Gadrozul"), (3, "a quite short one")], "item_id bigint, text string")
+    got = leaks.find_leaks(docs, table)
+    assert got.filter("doc_id = 1").count() == 2 and {r["doc_id"] for r in got.collect()} == {1, 2}
+    kept = {r["doc_id"]: r["text"] for r in leaks.remove_leaks(docs, got, "spans").collect()}
+    assert "name" not in kept[1] and kept[1].startswith("Start here.") and kept[1].endswith("The end.")
+    short = spark.createDataFrame([(3, "The GADROZUL box."), (4, "It is a quite short one."), (5, "nothing")], "doc_id bigint, text string")
+    assert {tuple(r) for r in leaks.leaked_pairs(short, table).collect()} == {(3, 2), (4, 3)}
+
+
+def test_block_borders_change_nothing(spark, monkeypatch):
+    rng = random.Random(13)
+    items, rows = leak_world(rng, n_items=12, copies=2)
+    table = spark.createDataFrame(rows, "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, " ".join(t.split()[:30])) for i, t in enumerate(items)], "doc_id bigint, text string")
+    whole = {tuple(r) for r in leaks.find_leaks(docs, table).collect()}
+    monkeypatch.setattr(leaks, "BLOCK_TOKENS", 100)
+    assert len(list(leaks._blocks(table, "item_id", "text", 100))) > 3
+    assert {tuple(r) for r in leaks.find_leaks(docs, table).collect()} == whole and len(whole) == 36
+
+
+def test_shared_phrasing_with_other_names_is_no_leak(spark):
+    frame = "the cover of the {} box must not touch the handrail of the {} unit when the {} lamp is lit near the {} gate on the {} deck"
+    rng = random.Random(14)
+    fill = lambda: frame.format(*["".join(rng.choices("abcdefgh", k=7)) for _ in range(5)])
+    table = spark.createDataFrame([(i, fill()) for i in range(60)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, fill()) for i in range(20)], "doc_id bigint, text string")
+    assert leaks.leaked_pairs(docs, table).count() == 0
