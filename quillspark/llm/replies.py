@@ -1,8 +1,9 @@
 """Unfit prompt and reply pairs: empty, truncated, refusing, copying and foreign-language answers.
 
-Refusals are not looked up in a list. Reply openings, with the question's own words masked, are clustered by the exact
-Jaccard similarity of their shingles; an opening that recurs across unrelated questions, more of them unanswerable than chance gives, is a refusal template.
-The other defects are told by checks of the single pair.
+Refusals are not looked up in a list, nor told by any label. Reply openings, with the question's own words masked, are
+clustered by the exact Jaccard similarity of their shingles. An opening that recurs across unrelated questions is a
+template; where the replies that use it say nothing that the question did not hold, it is one of refusals, for only what
+answers nothing fits any question. The other defects are told by checks of the single pair.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from quillspark.session import cut_lineage
 SHINGLE = 5
 #: Shingles that two openings of similarity 0.8 may differ in, to those they share.
 ROOM = 0.25
-MIN_QUESTIONS, UNANSWERABLE_SHARE, DEVIATIONS = 3, 0.5, 3
+#: Different questions over which an opening recurs that is a template.
+MIN_QUESTIONS = 3
+#: A last word is cut off if a longer one that it begins is used so many times as often.
+CUT_RATIO = 10
 OPENING_WORDS, OPENING_SENTENCES = 18, 3
 
 # Placeholders that stand for no answer.
@@ -43,12 +47,22 @@ DANGLING_CJK = ("并且", "但是", "以及", "因为", "所以", "如果", "而
 # Units, which are the same in any language.
 UNITS = frozenset("mm cm m km kg g t n kn hz s h min kmh v a w kw c мм см м км кг г т н кн гц с ч мин в а вт".split())
 
+# Articles and prepositions, which hold one mention of a thing together.
+LINKS = frozenset(
+    "the a an of to in on at by for with from s der die das des dem den von zu zum zur im am le la les de des du l d "
+    "в на у с о об для к по".split()
+)
+# Words that answer a question on their own.
+POLAR = frozenset("yes no ja nein oui non да нет sí si não sim 是 否 不是 はい いいえ نعم لا हाँ नहीं ใช่ ไม่ใช่".split())
+
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _TERMINAL = re.compile(r"[.!?。！？।؟．]$")
 _CLOSERS = re.compile(r"(?:[\s\"'”’»）)\]】」』“]|\[[A-Za-z]?\d+(?:\s*[,;-]\s*[A-Za-z]?\d+)*\])+$")
 _SENTENCE = re.compile(r"(?<=[.!?])[\s\"'”»)]+|(?<=[。！？])[\s”」』]*|\s[—–]\s")
 _OPENING_PART = re.compile(_SENTENCE.pattern + r"|(?<=[:：])\s*")
 _CITED = re.compile(r"\[[A-Za-z]?\d+(?:\s*[,;-]\s*[A-Za-z]?\d+)*\]\s*$")
+_FIGURE = re.compile(r"\d+(?:[.,]\d+)*")
+_LABEL = re.compile(r"(?i)\b[cс]\d+\b")
 _WORDS = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|\d+(?:[.,  ]\d+)*|[^\W\d_]+")
 _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|„[^“”]*[“”]|\"[^\"]*\"|「[^」]*」|『[^』]*』|《[^》]*》")
 _SCRIPTS = {
@@ -138,9 +152,12 @@ def is_foreign(question: str | None, answer: str | None) -> bool:
         # Japanese prose does not go without kana, nor Chinese with them
         return b == "ja" and len(_SCRIPTS["ja"].findall(said)) >= 3 or b == "zh" and sum(map(bool, map(_SCRIPTS["zh"].match, telling))) >= 8
     if a != b:
-        foreign = [w for w in telling if _SCRIPTS[b].match(w) and (w.islower() or b not in ("la", "ru"))]
+        # a capital inside a sentence may be a name's, the first one is not
+        first = {part.split()[0].strip("\"'«»“”„()[]") for part in _SENTENCE.split(said) if part.split()}
+        foreign = [w for w in telling if _SCRIPTS[b].match(w) and (w.islower() or w in first or b not in ("la", "ru"))]
         home = [w for w in telling if _SCRIPTS[a].match(w) and w.lower() not in own]
-        return len(foreign) >= 2 and len(foreign) > 2 * len(home)
+        # a character says less than a word
+        return len(foreign) >= 2 and len(foreign) > 2 * len(home) / (3 if a in ("zh", "ja", "th") else 1)
     if a == "ru":
         marks = lambda t: {k for k, m in _CYRILLIC_MARKS.items() if sum(map(t.lower().count, m)) >= 2}
         return bool(marks(said) - {"ru"}) and "ru" not in marks(said) and not marks(asked) - {"ru"}
@@ -152,18 +169,24 @@ def is_foreign(question: str | None, answer: str | None) -> bool:
     return hits_q[mine] >= 2 and mine != theirs and hits[theirs] >= 2 and hits[theirs] >= 2 * hits[mine] + 1
 
 
-def is_truncated(answer: str | None, known: frozenset[str], heads: frozenset[str]) -> bool:
+def is_truncated(answer: str | None, cut: bool) -> bool:
     """Whether the answer breaks off: no end mark, and more than a short complete reply.
 
-    ``known`` holds the frequent words, ``heads`` their proper beginnings, which betray a word that was cut.
+    ``cut`` tells that its last word is the beginning of a far more frequent one (see ``cut_words``).
     """
     text = _clean(answer)
     bare = _CLOSERS.sub("", text)
-    if not bare or _TERMINAL.search(bare) and not bare.endswith("..."):
+    if not bare:
+        return False
+    # a bracket that stays open, and a quotation, whatever mark the text ends on
+    opened = sum(text.count(x) for x in "([（「『«") - sum(text.count(x) for x in ")]）」』»")
+    if opened > 0 or text.count('"') % 2 and not re.search(r"\d\s?\"", text):
+        return True
+    if _TERMINAL.search(bare) and not bare.endswith("..."):
         return False
     if _CITED.search(text):
         return False
-    opened = sum(text.count(x) for x in "([（「『«“") - sum(text.count(x) for x in ")]）」』»”")
+    opened = sum(text.count(x) for x in "“„") - sum(text.count(x) for x in "”") - min(text.count("„"), text.count("“"))
     if opened > 0 or text[-1] in ",;:，、；：-–—(（/" or text.endswith(("...", "…")):
         return True
     *done, part = _SENTENCE.split(bare)
@@ -176,13 +199,48 @@ def is_truncated(answer: str | None, known: frozenset[str], heads: frozenset[str
         return False
     if figure and (last[0].isdigit() or last in UNITS or part.rstrip().endswith(("毫米", "厘米", "米", "千克", "公斤", "秒", "度"))) and len(words) <= 8:
         return False
-    if last in DANGLING or bare.endswith(DANGLING_CJK) or last not in known and last not in UNITS and len(last) > 1 and last in heads:
+    if last in DANGLING or bare.endswith(DANGLING_CJK) or cut and last not in UNITS:
         return True
     dense = bool(_SCRIPTS["zh"].search(part) or _SCRIPTS["ja"].search(part))
     short = (8 if dense else 4) if figure else (6 if dense else 3)
     return bool(done) or len(words) > short
 
 
+def _mentions(question: str, part: str) -> int:
+    """How many things of the question a part of the reply speaks of: runs of the question's words, with articles and
+    prepositions between. Characters of scripts without blanks count from two in the question's order on."""
+    own = _WORDS.findall(without_frames(question))
+    exact, starts, joined = set(own), {w[:4] for w in own if len(w) > 4}, "".join(own)
+    words = _WORDS.findall(part)
+    n, apart = 0, True
+    for i, w in enumerate(words):
+        low = w.lower()
+        if _SCRIPTS["zh"].match(low) or _SCRIPTS["ja"].match(low) or _SCRIPTS["th"].match(low):
+            near = words[i - 1 : i + 2] if i else words[:2]
+            meant = any(x + y in joined for x, y in zip(near, near[1:]) if w in (x, y))
+        else:
+            common = low in _LANGUAGES or len(low) < 4
+            meant = not common and (low in exact or len(low) > 4 and low[:4] in starts)
+        if meant:
+            n += apart
+            apart = False
+        elif low not in LINKS:
+            apart = True
+    return n
+
+
+def says_nothing(question: str | None, answer: str | None) -> bool:
+    """Whether a reply adds nothing to its question: no figure but the question's and the labels of the context, no
+    sentence that ties two of the question's things together, and no plain yes or no."""
+    text = _LABEL.sub(" ", _clean(answer))
+    asked = _clean(question)
+    if set(_FIGURE.findall(text)) - set(_FIGURE.findall(asked)):
+        return False
+    parts = [x for x in _OPENING_PART.split(text) if x.strip()]
+    words = _WORDS.findall(parts[0].lower()) if parts else []
+    return bool(words) and not POLAR.issuperset(words) and all(_mentions(asked, x) < 2 for x in parts)
+
+
 def openings(question: str | None, answer: str | None) -> list[list[str]]:
     """The masked beginnings of the first sentences of a reply; a sentence of a word or two is left out beside others."""
     parts = [x for x in _OPENING_PART.split(_clean(answer)) if x.strip()][:OPENING_SENTENCES]
@@ -248,30 +306,38 @@ def opening_clusters(keyed: DataFrame) -> DataFrame:
     return ids.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"))
 
 
-def refusal_openings(replies: DataFrame) -> DataFrame:
-    """``opening`` of each refusal template among replies with ``opening, question, answerable``.
+def template_openings(replies: DataFrame) -> DataFrame:
+    """``opening`` of each template among replies with ``opening, question``.
 
     Distinct openings are counted first, so a template that a third of all replies use is one row; then they are
-    clustered by ``opening_clusters``. Evidence is counted over the distinct classes of equal questions that a cluster
-    answers (``overlap.question_classes``), not over rows: at least ``MIN_QUESTIONS`` classes, of which more than half
-    cannot be answered, or ``DEVIATIONS`` standard deviations more than chance among all classes asked would give.
+    clustered by ``opening_clusters``. A cluster is a template if it answers ``MIN_QUESTIONS`` unrelated questions:
+    distinct classes of equal ones (``overlap.question_classes``), not rows or writings.
     """
-    uses = cut_lineage(replies.groupBy("opening", "question").agg(F.max(F.when(F.col("answerable"), 0).otherwise(1)).alias("un")))
+    uses = cut_lineage(replies.select("opening", "question").distinct())
     counted = uses.select("opening").distinct().withColumn("key", F.array_join("opening", " "))
     label = cut_lineage(opening_clusters(counted))
     asked = uses.select("question", F.lit(None).cast("string").alias("split"), F.lit(None).cast("string").alias("source")).distinct()
     classes = question_classes(asked, item="question")[0].select(F.col("id").alias("question"), "class")
     # a question without words is a class of its own, and so is the null one
     classed = uses.join(classes, "question", "left").withColumn("class", F.coalesce("class", F.concat(F.lit("?"), "question"), F.lit("?")))
-    classed = cut_lineage(classed.select(F.array_join("opening", " ").alias("key"), "class", "un"))
-    overall = classed.groupBy("class").agg(F.max("un").alias("un")).agg(F.avg("un")).first()[0] or 0.0
-    per_class = classed.join(label, "key").groupBy("root", "class").agg(F.max("un").alias("un"))
-    chance, spread = F.col("q") * F.lit(overall), F.sqrt(F.col("q") * F.lit(overall * (1 - overall)))
-    good = (
-        per_class.groupBy("root").agg(F.count("*").alias("q"), F.sum("un").alias("un")).filter(F.col("q") >= MIN_QUESTIONS)
-        .filter((F.col("un") - 1 >= UNANSWERABLE_SHARE * F.col("q")) | (F.col("un") > 1) & (F.col("un") - chance >= DEVIATIONS * spread))
+    recurring = (
+        classed.select(F.array_join("opening", " ").alias("key"), "class").join(label, "key").select("root", "class").distinct()
+        .groupBy("root").agg(F.count("*").alias("q")).filter(F.col("q") >= MIN_QUESTIONS)
     )
-    return counted.join(label, "key").join(good.select("root"), "root").select("opening")
+    return counted.join(label, "key").join(recurring.select("root"), "root").select("opening")
+
+
+def cut_words(answers: DataFrame, answer: str = "answer") -> DataFrame:
+    """``word``: words that are the beginning of one ``CUT_RATIO`` times as frequent, in how many answers they stand.
+
+    A ratio of counts, so it means the same in a small table and a large one. Beginnings meet their words by an
+    equality join of aggregated counts; nothing is broadcast.
+    """
+    words = answers.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(answer), F.lit(r"[\p{L}]+"), F.lit(0)))).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    heads = counts.filter("length(word) > 2").select(F.explode(F.expr("transform(sequence(2, length(word) - 1), i -> substr(word, 1, i))")).alias("word"), F.col("n").alias("m"))
+    longest = heads.groupBy("word").agg(F.max("m").alias("m"))
+    return counts.join(longest, "word").filter(F.col("m") >= CUT_RATIO * F.col("n")).select("word")
 
 
 def defects(results: DataFrame) -> DataFrame:
@@ -279,32 +345,28 @@ def defects(results: DataFrame) -> DataFrame:
 
     Null keys are kept as they are; a null question has no language and cannot be copied; a null ``answerable`` counts
     as unanswerable, so it makes no refusal. Repeated rows count once. Needs the columns run_id, id, question, answer,
-    answerable; others are not read.
+    answerable; others are not read. ``answerable`` only says which refusals are defects.
     """
     rows = results.select("run_id", "id", "question", "answer", "answerable").distinct()
-    # frequent words of all answers, at most the words of an answer / 0.001
-    total = rows.count()
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("answer"), F.lit(r"[\p{L}]+"), F.lit(0)))).alias("w"))
-    frequent = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= max(3, int(0.001 * total))).select("w")
-    known = frozenset(r["w"] for r in frequent.collect())
-    heads = frozenset(w[:i] for w in known for i in range(2, len(w))) - known
-    shared = results.sparkSession.sparkContext.broadcast((known, heads))
+    last = F.lower(F.regexp_extract("answer", r"([\p{L}]+)[^\p{L}]*$", 1))
+    rows = cut_lineage(rows.withColumn("word", last))
+    rows = rows.join(cut_words(rows).withColumn("cut", F.lit(True)), "word", "left").select("run_id", "id", "question", "answer", "answerable", F.coalesce("cut", F.lit(False)).alias("cut"))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, heads = shared.value
         for batch in batches:
             out = []
-            for q, a in zip(batch["question"], batch["answer"]):
-                kind = None
+            for q, a, cut in zip(batch["question"], batch["answer"], batch["cut"]):
+                kind, said = None, []
                 if is_empty(a):
                     kind = "empty"
                 elif is_copy(q, a):
                     kind = "copy"
-                elif is_truncated(a, known, heads):
+                elif is_truncated(a, cut):
                     kind = "truncated"
-                elif is_foreign(q, a):
-                    kind = "language"
-                out.append((kind, [] if kind in ("empty", "copy", "truncated") else openings(q, a)))
+                else:
+                    kind = "language" if is_foreign(q, a) else None
+                    said = openings(q, a) if says_nothing(q, a) else []
+                out.append((kind, said))
             yield pd.DataFrame(
                 {"run_id": batch["run_id"], "id": batch["id"], "question": batch["question"], "answerable": batch["answerable"],
                  "defect": [k for k, _ in out], "openings": [o for _, o in out]}
@@ -314,11 +376,9 @@ def defects(results: DataFrame) -> DataFrame:
     seen = cut_lineage(
         rows.mapInPandas(look, f"run_id {kinds['run_id']}, id {kinds['id']}, question string, answerable boolean, defect string, openings array<array<string>>")
     )
-    said = seen.select("run_id", "id", "question", "answerable", F.explode("openings").alias("opening"))
-    templates = refusal_openings(said).withColumn("refuses", F.lit(True))
+    said = seen.select("run_id", "id", "question", F.explode("openings").alias("opening"))
+    templates = template_openings(said).withColumn("refuses", F.lit(True))
     refused = said.join(templates, "opening").select("run_id", "id", "refuses").distinct()
     judged = seen.join(refused, ["run_id", "id"], "left")
-    label = F.when(F.col("defect").isin("empty", "copy", "truncated"), F.col("defect")).when(
-        F.col("refuses"), F.when(F.col("answerable"), "refusal")
-    ).otherwise(F.col("defect"))
+    label = F.when(F.col("refuses"), F.when(F.col("answerable"), "refusal")).otherwise(F.col("defect"))
     return judged.select("run_id", "id", label.alias("defect")).filter(F.col("defect").isNotNull()).dropDuplicates(["run_id", "id"])

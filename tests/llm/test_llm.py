@@ -223,6 +223,40 @@ def test_refusals_are_judged_by_distinct_questions(spark):
     assert got == {f"u{i}" for i in range(40) if i % 5 < 3} | {f"h{i}" for i in range(30)}, "e3 is one question in four writings"
 
 
+def test_templates_need_no_label(spark):
+    """The same refusals without a single unanswerable row, and whatever the labels are; a table ten times over gives the same."""
+    rows = []
+    for i in range(60):
+        name = chr(97 + i % 26) + chr(97 + i // 26)
+        rows.append((f"u{i}", f"Which colour has the Name{name}lo lamp?", f"Thank you for asking. The passages say nothing at all on Name{name}lo lamps, so I must pass.", True))
+        rows.append((f"a{i}", f"How many bolts hold the Name{name}lo ramp?", f"Thank you for asking. The Name{name}lo ramp is held by {i + 2} bolts.", True))
+        rows.append((f"d{i}", f"What is a Name{name}lo ramp in a Trip{name}lo coach?", f"It means any ramp which the Name{name}lo maker supplies together with the Trip{name}lo part.", True))
+        rows.append((f"y{i}", f"May the Name{name}lo ramp be used in the rain?", "Yes.", True))
+    want = {f"u{i}" for i in range(60)}
+    df = spark.createDataFrame([("r", *x, None) for x in rows], RESULTS)
+    got = {r["id"]: r["defect"] for r in replies.defects(df).collect()}
+    assert got == dict.fromkeys(want, "refusal")
+    ten = spark.createDataFrame([(f"r{k}", *x, None) for k in range(10) for x in rows], RESULTS)
+    assert {(r["run_id"], r["id"]) for r in replies.defects(ten).collect()} == {(f"r{k}", i) for k in range(10) for i in want}
+    mixed = df.withColumn("answerable", F.expr("id not like 'u%' or length(id) > 2"))
+    assert {r["id"] for r in replies.defects(mixed).collect()} == {f"u{i}" for i in range(10, 60)}
+
+
+def test_cut_words_mean_the_same_at_any_size(spark):
+    answers = ["the part is required here"] * 30 + ["it is req"] + ["a rail is railed"] * 2
+    df = spark.createDataFrame([(a,) for a in answers], "answer string")
+    small = {r["word"] for r in replies.cut_words(df).collect()}
+    assert "req" in small and "rail" not in small
+    big = df.crossJoin(spark.range(20)).select("answer")
+    assert {r["word"] for r in replies.cut_words(big).collect()} == small
+
+
+def test_marks_of_broken_and_foreign_replies():
+    assert replies.is_truncated("The part shall be marked, that is the frame (see", False) and replies.is_truncated("It is marked “closed” (cf.", False)
+    assert replies.is_truncated('Two limits hold. At least 49 cm for "549', False) and not replies.is_truncated("The mark “open” is used (see Annex 3).", False)
+    assert replies.is_foreign("How wide is the door?", "До 51,9 мм (приложение 3, 5.14)") and not replies.is_foreign("Who made it?", "Завод Zotal, Zotal")
+
+
 # --- 5 sentences
 
 TEXTS = {
