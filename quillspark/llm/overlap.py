@@ -21,7 +21,7 @@ from quillspark.session import cut_lineage
 
 THRESHOLD = 0.6
 #: A word this much rarer than one at most two slips away is a misspelling of it.
-KNOWN_SHARE, KNOWN_LEAST, SLIP_RATIO = 0.001, 5, 15
+SLIP_RATIO = 15
 
 # Letters of other alphabets that look like Latin ones.
 _LOOKALIKES = dict(zip("аеорсухкмтвнёіјѕԁһαενορτυχικ", "aeopcyxkmtbheijsdhaevoptuxik"))
@@ -59,6 +59,19 @@ EVEN = {
     "carry": "carrying carries carried",
 }
 EXTREMES = ("minimum", "maximum")
+# Words that turn a question round. The first group must be on both sides or on none; of the others two
+# questions differ where one has only the words of one group and the other only those of its opposite.
+# To be treated differently is not to be treated alike. Characters of Chinese negation stand in the extremes, too.
+NEGATIONS = (
+    "not no never cannot different differently differs differ unlike nicht kein keine keinen keiner nie anders verschieden "
+    "не нет никогда нельзя иначе отличается"
+)
+OPPOSITES = (
+    ("may can might darf dürfen kann können можно может могут", "must shall muss müssen soll sollen должен должна должно должны обязан"),
+    ("from von aus из от с", "to zu nach в на до"),
+    ("under below beneath unter ниже под", "over above über выше над"),
+    ("before vor bevor до", "after nach nachdem после"),
+)
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _THOUSANDS = re.compile(r"(?<=\d)[,'’\s   ](?=\d{3}(?!\d))")
@@ -79,6 +92,8 @@ _FRAME_SKELETON = re.compile(_FRAME.pattern.translate(_SKELETON))
 _CLASS_NAMES = ("class", "klasse", "classe", "kлacca", "kлacc", "kлacce")
 _CLASS_LIKE = re.compile(r"\b([^\W\d_]{4,8})\s+(i{1,3}|iv|v|[a-d])\b")
 _SHAPE_WORDS = frozenset(w.translate(_SKELETON) for w in SHAPE.split())
+_NEGATION_WORDS = frozenset(w.translate(_SKELETON) for w in NEGATIONS.split())
+_OPPOSITE_WORDS = tuple(tuple(frozenset(w.translate(_SKELETON) for w in side.split()) for side in pair) for pair in OPPOSITES)
 _EVEN_WORDS = {w.translate(_SKELETON): k for k, v in EVEN.items() for w in (*v.split(), k)}
 
 
@@ -150,32 +165,75 @@ def _drops(word: str, depth: int) -> set[str]:
     return out
 
 
-class Speller:
-    """Sets rare words right that are a slip or two away from one known word."""
+def _slip_depth(*words: str) -> int:
+    return 1 if max(map(len, words)) < 5 else 2
+
+
+def _may_slip(word: str) -> bool:
+    return len(word) >= 3 and word.isalpha() and not _CJK.match(word)
+
+
+def slips_of(words: DataFrame) -> DataFrame:
+    """``t, v``: rare words ``t`` with the word ``v`` that they are a slip or two away from, of ``t, n`` with counts.
+
+    ``v`` is ``SLIP_RATIO`` times as frequent at least, so no share of the table's size decides; words that shape a
+    question or replace others count as frequent. Both sides meet on what is left of them when a letter or two are
+    dropped, by an equality join, so no vocabulary is broadcast; each pair is then measured exactly.
+    """
+    always = words.sparkSession.createDataFrame([(w, SLIP_RATIO) for w in sorted({*_SHAPE_WORDS, *_EVEN_WORDS})], "t string, n long")
+    frequent = words.filter(F.col("n") >= SLIP_RATIO).unionByName(always).groupBy("t").agg(F.max("n").alias("n"))
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, t, n) for t, n in zip(batch["t"], batch["n"]) if _may_slip(t) for d in _drops(t, _slip_depth(t + "x"))]
+            yield pd.DataFrame(rows, columns=["d", "t", "n"])
+
+    left = words.join(F.broadcast(always.select("t")), "t", "left_anti").mapInPandas(keys, "d string, t string, n long").select(F.xxhash64("d").alias("d"), "t", "n")
+    right = frequent.filter("length(t) >= 4").mapInPandas(keys, "d string, t string, n long").select(F.xxhash64("d").alias("d"), F.col("t").alias("v"), F.col("n").alias("m"))
+    pairs = left.join(right, "d").filter(F.col("m") >= SLIP_RATIO * F.col("n")).select("t", "v", "m").distinct()
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for t, v, m in zip(batch["t"], batch["v"], batch["m"]):
+                # slips leave the first letter, or swap it; they double, drop and swap letters more than they bring in new ones
+                if (t[0] == v[0] or t[:2] == v[1::-1]) and _within(t, v, _slip_depth(t, v)):
+                    apart = sum(((Counter(t) - Counter(v)) + (Counter(v) - Counter(t))).values())
+                    # only a slip of a word that shapes the question or replaces others is taken for it, not a name near it
+                    if v not in _SHAPE_WORDS and v not in _EVEN_WORDS or _slip(t, v):
+                        out.append((t, v, apart, int(not _within(t, v, 1)), -m))
+            yield pd.DataFrame(out, columns=["t", "v", "apart", "far", "m"])
+
+    near = pairs.mapInPandas(measure, "t string, v string, apart int, far int, m long")
+    return near.groupBy("t").agg(F.min(F.struct("apart", "far", "m", "v")).alias("x")).select("t", "x.v")
+
+
+def turns(text: str | None) -> list[str]:
+    """The marks that turn a question round: ``neg``, and of each pair of opposites the group that it has alone."""
+    plain = re.sub(r"\s+", " ", _plain(text or "")).translate(_SKELETON)
+    words = {*_WORD.findall(_FRAME_SKELETON.sub(" ", plain))}
+    out = ["neg"] if not words.isdisjoint(_NEGATION_WORDS) else []
+    for k, (one, other) in enumerate(_OPPOSITE_WORDS):
+        a, b = not words.isdisjoint(one), not words.isdisjoint(other)
+        if a != b:
+            out.append(f"{k}{'+' if a else '-'}")
+    return out
+
 
-    def __init__(self, known: dict[str, int]):
-        always = dict.fromkeys([*_SHAPE_WORDS, *_EVEN_WORDS], SLIP_RATIO)
-        self.known = {w: c for w, c in (always | known).items() if w.isalpha() and len(w) >= 4 and not _CJK.match(w)}
-        self.by_drop: dict[str, list[str]] = {}
-        for w in self.known:
-            for d in _drops(w, self._depth(w)):
-                self.by_drop.setdefault(d, []).append(w)
-        self.memory: dict[tuple[str, int], str] = {}
+def turned(a: list[str], b: list[str]) -> bool:
+    """Whether one question says the opposite of the other by its turns."""
+    left, right = set(a), set(b)
+    return ("neg" in left) != ("neg" in right) or any(f"{k}+" in x and f"{k}-" in y for k in range(len(OPPOSITES)) for x, y in ((left, right), (right, left)))
 
-    @staticmethod
-    def _depth(word: str) -> int:
-        return 1 if len(word) < 5 else 2
 
-    def right(self, word: str, count: int) -> str:
-        if word in self.known or len(word) < 3 or not word.isalpha() or _CJK.match(word):
-            return word
-        if (word, count) not in self.memory:
-            near = {w for d in _drops(word, self._depth(word)) for w in self.by_drop.get(d, ())}
-            near = [w for w in near if self.known[w] >= SLIP_RATIO * count and _within(word, w, self._depth(w))]
-            # slips double, drop and swap letters more than they bring in new ones
-            apart = lambda w: sum(((Counter(word) - Counter(w)) + (Counter(w) - Counter(word))).values())
-            self.memory[word, count] = min(near, key=lambda w: (apart(w), not _within(word, w, 1), -self.known[w], w)) if near else word
-        return self.memory[word, count]
+def written_names(text: str | None) -> list[str]:
+    """Terms written as names: a capital inside a sentence, in a text that is not all capitals."""
+    raw = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text or ""))
+    words = [(m.group(), m.start()) for m in re.finditer(r"[^\W\d_]+", raw)]
+    if not words or sum(w[0].isupper() for w, _ in words) > 0.6 * len(words):
+        return []
+    inside = lambda at: re.search(r"[.!?:–—\"“„«(]\s*$|^\s*$", raw[:at]) is None
+    return sorted({w.lower().translate(_SKELETON) for w, at in words if w[0].isupper() and w[1:].islower() and inside(at)})
 
 
 def _close(w: str, v: str) -> bool:
@@ -212,14 +270,17 @@ def agreed_terms(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> tuple[li
     return out_a + [alone(x) for x in left], out_b + [alone(y) for y in right]
 
 
-def same_question(a: list[str], b: list[str], known: frozenset[str] | dict) -> bool:
+def same_question(a: list[str], b: list[str], names: frozenset[str] | set[str] = frozenset()) -> bool:
     """The exact check of two lists of terms: figures, classes and extremes alike, names alike but for one slip, and no
-    other word of one exchanged for another."""
+    other word of one exchanged for another. ``names`` are the terms that either question writes as names; a word that
+    is none is never forgiven for another, nor may a name stand on one side only."""
     left, right = Counter(a), Counter(b)
     over, under = list((left - right).elements()), list((right - left).elements())
     for w in list(over):
         for v in under:
-            if len(w) > 3 and w.isalpha() and v.isalpha() and (_within(w, v, 1 if len(w) < 9 else 2) or _stem(w, v)):
+            caseless = w.upper() == w
+            slip = (w in names or v in names or caseless) and _within(w, v, 1 if len(w) < 9 else 2)
+            if len(w) > 3 and w.isalpha() and v.isalpha() and (slip or _stem(w, v)):
                 over.remove(w)
                 under.remove(v)
                 break
@@ -232,7 +293,7 @@ def same_question(a: list[str], b: list[str], known: frozenset[str] | dict) -> b
     if over and under:
         return False
     rest = over or under
-    return len(rest) <= 2 and all(w in known or _CJK.match(w) is None and len(rest) == 1 for w in rest) or not rest
+    return not rest or len(rest) <= 2 and not any(w in names or _CJK.match(w) for w in rest)
 
 
 def _stem(w: str, v: str) -> bool:
@@ -247,36 +308,21 @@ def _features(terms: list[str]) -> list[str]:
     return out + [x + y for x, y in zip(chars, chars[1:])] + (chars if len(chars) == 1 else [])
 
 
-def question_classes(golden: DataFrame, question: str = "question", item: str = "id") -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
-    """``(members, classes, variants, known)``: id, split, source, class and variant of each item; class and terms of
-    each class, as set right; variant, class, and terms as written and as set right, of each writing within a class; and
-    the known words with the number of items that use them (at most terms per item / ``KNOWN_SHARE`` words)."""
+def question_classes(golden: DataFrame, question: str = "question", item: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(members, classes, variants)``: id, split, source, class and variant of each item; class and terms of each
+    class, as set right; variant, class, terms as written and as set right, names and turns of each writing in a class."""
     items = golden.select(F.col(item).alias("id"), "split", "source", F.col(question).alias("q")).dropDuplicates(["id"])
+    fields = "id string, split string, source string, terms array<string>, names array<string>, turns array<string>"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "split": batch["split"], "source": batch["source"], "terms": [all_terms(q) for q in batch["q"]]})
+            read_all = lambda f: [f(q) for q in batch["q"]]
+            yield batch[["id", "split", "source"]].assign(terms=read_all(all_terms), names=read_all(written_names), turns=read_all(turns))
 
-    raw = cut_lineage(items.mapInPandas(read, "id string, split string, source string, terms array<string>").filter("size(terms) > 0"))
+    raw = cut_lineage(items.mapInPandas(read, fields).filter("size(terms) > 0"))
     spread = cut_lineage(raw.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("n")))
-    total = raw.count()
-    least = max(KNOWN_LEAST, int(total * KNOWN_SHARE))
-    known = {r["t"]: r["n"] for r in spread.filter(F.col("n") >= least).collect()}
-    shared = golden.sparkSession.sparkContext.broadcast(known)
-
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        speller = Speller(shared.value)
-        for batch in batches:
-            out = []
-            for t, n in zip(batch["t"], batch["n"]):
-                v = speller.right(t, n)
-                # only a slip of a word that shapes the question or replaces others is taken for it, not a name near it
-                if v != t and (v not in _SHAPE_WORDS and v not in _EVEN_WORDS or _slip(t, v)):
-                    out.append((t, v))
-            yield pd.DataFrame(out, columns=["t", "v"])
-
-    # each unknown word is looked up once, with the true number of items that use it
-    slips = spread.filter(F.col("n") < least).mapInPandas(spell, "t string, v string")
+    # each rare word is looked up once, with the true number of items that use it
+    slips = slips_of(spread)
     slipped = raw.select("id", F.explode(F.array_distinct("terms")).alias("t")).join(slips, "t").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("slips"))
 
     def even(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,17 +333,17 @@ def question_classes(golden: DataFrame, question: str = "question", item: str =
                 pairs = [(_EVEN_WORDS.get(v, _EVEN_WORDS.get(t, t)), _EVEN_WORDS.get(v, v)) for t in ts for v in [fix.get(t, t)] if v not in _SHAPE_WORDS]
                 written.append([t for t, _ in pairs])
                 rights.append([v for _, v in pairs])
-            yield batch[["id", "split", "source"]].assign(written=written, terms=rights)
+            yield batch[["id", "split", "source", "names", "turns"]].assign(written=written, terms=rights)
 
-    spelt = raw.join(slipped, "id", "left").mapInPandas(even, "id string, split string, source string, written array<string>, terms array<string>").filter("size(terms) > 0")
-    spelt = spelt.withColumn("class", F.sha2(F.to_json(F.array_sort("terms")), 256)).withColumn("variant", F.sha2(F.to_json(F.array_sort(F.arrays_zip("written", "terms"))), 256))
+    spelt = raw.join(slipped, "id", "left").mapInPandas(even, fields + ", written array<string>").filter("size(terms) > 0")
+    spelt = spelt.withColumn("class", F.xxhash64(F.to_json(F.array_sort("terms")))).withColumn("variant", F.xxhash64(F.to_json(F.array_sort(F.arrays_zip("written", "terms"))), "names", "turns"))
     spelt = cut_lineage(spelt)
     held = F.coalesce(F.col("split") == "test", F.lit(False))
     sides = [F.max(held.cast("int")).alias("held"), F.max((~held).cast("int")).alias("tuned")]
-    variants = spelt.groupBy("variant").agg(F.first("class").alias("class"), F.first(F.struct("written", "terms")).alias("x"), *sides)
-    variants = cut_lineage(variants.select("variant", "class", "x.written", "x.terms", "held", "tuned"))
+    variants = spelt.groupBy("variant").agg(F.first("class").alias("class"), F.first(F.struct("written", "terms", "names", "turns")).alias("x"), *sides)
+    variants = cut_lineage(variants.select("variant", "class", "x.*", "held", "tuned"))
     classes = variants.groupBy("class").agg(F.first("terms").alias("terms"), F.max("held").alias("held"), F.max("tuned").alias("tuned"))
-    return spelt.select("id", "split", "source", "class", "variant"), cut_lineage(classes), variants, known
+    return spelt.select("id", "split", "source", "class", "variant"), cut_lineage(classes), variants
 
 
 def class_vectors(classes: DataFrame) -> DataFrame:
@@ -307,8 +353,8 @@ def class_vectors(classes: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([(c, f) for c, ts in zip(batch["class"], batch["terms"]) for f in dict.fromkeys(_features(list(ts)))], columns=["class", "t"])
 
-    total = max(classes.count(), 1)
-    flat = classes.select("class", "terms").mapInPandas(features, "class string, t string")
+    total, kind = max(classes.count(), 1), dict(classes.dtypes)["class"]
+    flat = classes.select("class", "terms").mapInPandas(features, f"class {kind}, t string")
     idf = flat.groupBy("t").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + F.lit(total) / F.col("df")))
     rated = flat.join(idf, "t")
     vectors = rated.groupBy("class").agg(
@@ -349,22 +395,23 @@ def cross_split_pairs(golden: DataFrame, threshold: float = THRESHOLD) -> DataFr
     Null and wordless questions ask nothing and pair with nothing; repeated rows count once; an item without split
     counts as tuned on. All pairs of ids are given; copies were compared once, as classes.
     """
-    members, classes, variants, known = question_classes(golden)
+    members, classes, variants = question_classes(golden)
     vectors = cut_lineage(class_vectors(classes))
     near = cosine_pairs(vectors, threshold)
     itself = classes.filter("held = 1 AND tuned = 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.lit(1.0).alias("cosine"))
-    side = lambda s, on: variants.filter(f"{on} = 1").select(F.col("class").alias(f"class_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("variant", "written", "terms")])
-    shared = golden.sparkSession.sparkContext.broadcast(frozenset(known))
+    fields = ("variant", "written", "terms", "names", "turns")
+    side = lambda s, on: variants.filter(f"{on} = 1").select(F.col("class").alias(f"class_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in fields])
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kept = []
-            for v, u, wa, ta, wb, tb in zip(*[batch[c] for c in ("variant_a", "variant_b", "written_a", "terms_a", "written_b", "terms_b")]):
-                kept.append(v == u or same_question(*agreed_terms(list(zip(wa, ta)), list(zip(wb, tb))), shared.value))
+            for wa, ta, na, sa, wb, tb, nb, sb in zip(*[batch[f"{c}_{s}"] for s in "ab" for c in fields[1:]]):
+                pairs = agreed_terms(list(zip(wa, ta)), list(zip(wb, tb)))
+                kept.append(not turned(sa, sb) and same_question(*pairs, {*na, *nb}))
             yield batch.loc[kept, ["variant_a", "variant_b", "cosine"]]
 
     met = near.unionByName(itself).join(side("a", "held"), "class_a").join(side("b", "tuned"), "class_b")
-    pairs = met.mapInPandas(check, "variant_a string, variant_b string, cosine double")
+    pairs = met.mapInPandas(check, "variant_a long, variant_b long, cosine double")
     held = members.filter("split = 'test'").select(F.col("variant").alias("variant_a"), F.col("id").alias("held_id"), F.col("source").alias("held_source"))
     tuned = members.filter("split <> 'test' OR split IS NULL").select(F.col("variant").alias("variant_b"), F.col("id").alias("tuned_id"), F.col("source").alias("tuned_source"))
     return pairs.join(held, "variant_a").join(tuned, "variant_b").select("held_id", "tuned_id", "held_source", "tuned_source", "cosine")

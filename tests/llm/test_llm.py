@@ -77,6 +77,34 @@ def test_names_near_a_common_word_stay_names(spark):
     assert got == {("q0", "q2")}
 
 
+DIFFERENT = [
+    ("Is the brass coupling allowed in the wet bay?", "Is the brass coupling not allowed in the wet bay?"),
+    ("Does the lamp shine to the right side of the deck?", "Does the lamp shine to the light side of the deck?"),
+    ("Is the third bench seated near the middle door?", "Is the third bench heated near the middle door?"),
+    ("Does the cable run from the front pump during tests?", "Does the cable run to the front pump during tests?"),
+    ("May the driver open the rear hatch alone?", "Must the driver open the rear hatch alone?"),
+    ("Which bolt holds the Zotalim frame in winter?", "Which bolt holds the frame in winter?"),
+]
+
+
+@pytest.mark.parametrize("often", [1, 40])
+def test_one_word_may_turn_a_question(spark, often):
+    """Whatever the size of the table: the same pairs meet with few other questions and with many."""
+    rows = [x for a, b in DIFFERENT for x in ((a, "dev"), (b, "test"))] + [("Is the brass copling allowed in the wet bay, please?", "test")]
+    filler = [f"Is the right lamp seated near the coupling Na{chr(97 + i % 26)}{chr(97 + i // 26)}x of the light bay from deck {i}?" for i in range(often)]
+    got = {(r["id_a"], r["id_b"]) for r in overlap.found_pairs(golden(spark, rows + [(f, "dev") for f in filler])).collect()}
+    assert got <= {("q0", "q12")}
+    assert often == 1 or got
+
+
+def test_slips_are_told_by_ratio_alone(spark):
+    words = [("width", 60), ("widht", 2), ("coupling", 300), ("copling", 9), ("cuopling", 30), ("heated", 4), ("seated", 90), ("light", 2), ("right", 50), ("rails", 50), ("rail", 40)]
+    got = {r["t"]: r["v"] for r in overlap.slips_of(spark.createDataFrame(words, "t string, n long")).collect()}
+    assert got == {"widht": "width", "copling": "coupling"}
+    ten = {r["t"]: r["v"] for r in overlap.slips_of(spark.createDataFrame([(w, 10 * n) for w, n in words], "t string, n long")).collect()}
+    assert ten == got
+
+
 # --- 2 pieces
 
 
