@@ -21,11 +21,22 @@ NEVER = (
 ).split(" ")
 # Abbreviations whose full stop does not end a sentence before a figure or a named item.
 BEFORE_FIGURE = (
-    "No Nos Fig Figs para paras tab Tab Tabs rev Rev Art Arts art arts Sec sec Ch ch Vol vol pp p Annex Ann Reg "
+    "No Nos Ver ver vers Fig Figs para paras tab Tab Tabs rev Rev Art Arts art arts Sec sec Ch ch Vol vol pp p Annex Ann Reg "
     "Nr Nrn Abb Abs Anh Kap Ziff S fig chap al "
     "п пп рис табл гл ст стр прил разд "
     "Jan Feb Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec"
 ).split(" ")
+# Months, before which a number with a full stop is a day.
+MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split()
+# Words before a German ordinal.
+ORDINAL_LEADS = "am vom zum bis ab der dem den des im".split()
+# Endings of company names and titles behind names; they may close a sentence, too.
+NAME_ENDS = "Inc Ltd Co Corp Bros Jr Sr Ph\\.\\s?D GmbH Cie".split()
+# Words that begin a sentence rather than go on with a name.
+STARTERS = (
+    "The A An It He She They We I You In On At If When This That These Those But And As For No Not All Each Every Any "
+    "Where After Before Its His Her Their There Here What Who How Is Are Was Were Does Do Der Die Das Ein Eine Es Er Sie Wir Im Wenn Le La Les Un Une Il Elle En"
+).split()
 # First halves of two-part abbreviations.
 FIRST_HALF = r"z(?=\.\s?[BT]\.) d(?=\.\s?h\.) u(?=\.\s?a\.) o(?=\.\s?ä\.) p(?=\.\s?ex\.) т(?=\.\s?[едпк]\.) и\sт(?=\.\s?[дп]\.)".split(" ")
 # Words after which a single capital is a class or grade, not an initial.
@@ -43,6 +54,7 @@ def _mask_pattern() -> str:
     figure = "|".join(BEFORE_FIGURE)
     classes = "|".join(CLASS_WORDS)
     word = r"(?<![\p{L}\p{N}])"
+    goes_on = rf"(?=\s{{1,3}}[\p{{Lu}}&])(?!\s{{1,3}}(?:{'|'.join(STARTERS)})\b)"
     point = "|".join(
         [
             r"(?<=\d\.)(?=\d)",
@@ -55,7 +67,13 @@ def _mask_pattern() -> str:
             rf"(?<={word}(?:{figure})\.)(?=\s{{0,3}}(?:[\d№#(]|[IVX]+\b))",
             rf"(?<={word}[zduopтДв]\.)(?=\s?(?:B|T|h|a|ä|ex|е|д|п|к)\.)",
             # initials before a name; a unit after a figure or a class letter is none
-            rf"(?<={word}\p{{Lu}}\.)(?=\s\p{{Lu}}(?:\.|\p{{Ll}}))(?<!(?:\d|{classes}|and|or|und|oder|et|ou|и|или)\s{{1,2}}\p{{Lu}}\.)",
+            rf"(?<={word}\p{{Lu}}\.)(?=\p{{Lu}}(?:\.|[^\p{{L}}]))",
+            rf"(?<=\p{{Lu}}\.\p{{Lu}}\.){goes_on}",
+            rf"(?<={word}(?:{'|'.join(NAME_ENDS)})\.){goes_on}",
+            # a day before its month, an ordinal before its noun
+            rf"(?<=\d\.)(?=\s{{1,3}}(?:{'|'.join(MONTHS)})\b)",
+            rf"(?<={word}(?:{'|'.join(ORDINAL_LEADS)})\s\d{{1,2}}\.)(?=\s\p{{Lu}})",
+            rf"(?<!\p{{Lu}}\.\p{{Lu}}\.)(?<={word}\p{{Lu}}\.)(?=\s\p{{Lu}}(?:\.|\p{{Ll}}))(?<!(?:\d|{classes}|and|or|und|oder|et|ou|и|или)\s{{1,2}}\p{{Lu}}\.)",
         ]
     )
     # bare ? and ! do end a sentence before lower case; quoted ones do not, nor do they before a letter without case
@@ -64,11 +82,19 @@ def _mask_pattern() -> str:
     return rf"{_STOP}(?:(?<=\.)(?:{point})|(?<=…)(?={_TAIL}{{0,3}}\s{{0,3}}[\p{{Ll}},;:])|{quoted})"
 
 
+# Stops inside web and mail addresses: some of the address follows them.
+_ADDRESS = (
+    r"[.?!](?:(?<=(?i:https?://|ftp://|www\.)[^\s\p{Z}]{0,500})(?=[^\s\p{Z}]{0,500}?[\p{L}\p{N}/])"
+    r"|(?<=@[\w.-]{1,255})(?=\w)|(?=[\w.+-]{1,64}@\w))"
+)
+
+
 def masked(text: Column) -> Column:
     """``text`` with non-final stops masked and quotation marks told apart; same length as ``text``."""
     clean = F.translate(text, MASK + CUT + OPEN + CLOSE, "￼" * 4)
     paired = F.regexp_replace(clean, r'"([^"]*)"', OPEN + "$1" + CLOSE)
     paired = F.regexp_replace(paired, "„([^„“”]*)[“”]", OPEN + "$1" + CLOSE)
+    paired = F.when(text.rlike(r"(?i)://|www\.|@"), F.regexp_replace(paired, _ADDRESS, MASK)).otherwise(paired)
     return F.regexp_replace(paired, _mask_pattern(), MASK)
 
 

@@ -302,6 +302,12 @@ TEXTS = {
     "هل يجوز ذلك؟ توضع عبارة «لا تفتح.» هنا. نعم!": 3,
     "ผู้ผลิตต้องระบุขนาด รถต้องกว้าง 166 มิลลิเมตรเสมอ ห้ามแตะ": 3,
     "It weighs 5 N. During the test of Class B. On it goes": 3,
+    "See https://example.org/Docs?Id=5 for more. Then stop.": 2,
+    "Visit www.Example.Com/A!B now. Or write to John.Smith@Mail.Example.Org today. The end": 3,
+    "All is at https://example.org/a.b. It is short.": 2,
+    "He lives in the U.S. The law holds. The U.S. Army does not.": 3,
+    "Ver. 2.0 is sold by Inc. Smith & Co. Ltd. of Hull. It was bought by Smith Inc. The price is low.": 3,
+    "Der Versuch begann am 3. Mai und endete am 14. Juni. Er gilt nach dem 2. Absatz.": 2,
 }
 
 
