@@ -10,7 +10,7 @@ from quillspark.llm.leaks import find_leaks, leaked_pairs
 from quillspark.llm.mixing import mixed_documents, mixing_report
 from quillspark.llm.overlap import found_pairs, overlap_report
 from quillspark.llm.packing import chunk_windows
-from quillspark.llm.pieces import chunk_and_block_pieces, oversized_ids
+from quillspark.llm.pieces import chunk_and_block_pieces, oversized_ids, piece_check
 from quillspark.llm.quality import document_kinds, not_prose
 from quillspark.llm.replies import defects
 from quillspark.llm.sentences import body_sentence_ends
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_report": lambda s, d: overlap_report(table(s, d, "golden")),
         "p2_found": lambda s, d: oversized_ids(table(s, d, "chunks"), table(s, d, "blocks")),
         "p2_pieces": lambda s, d: chunk_and_block_pieces(table(s, d, "chunks"), table(s, d, "blocks")),
+        "p2_check": lambda s, d: piece_check(table(s, d, "chunks"), table(s, d, "blocks")),
         "p3_windows": lambda s, d: chunk_windows(table(s, d, "chunks")),
         "p4_found": lambda s, d: defects(table(s, d, "gen_results")),
         "p5_found": lambda s, d: body_sentence_ends(table(s, d, "blocks")),
@@ -42,4 +43,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"""
             SELECT DISTINCT id FROM (SELECT id, text FROM chunks UNION ALL SELECT id, text FROM blocks)
             WHERE len(regexp_extract_all(text, '{_TOKENS}')) > 512""",
+        "p2_check": f"""
+            SELECT id, len(regexp_extract_all(text, '{_TOKENS}')) AS tokens, TRUE AS within, md5(text) AS restored
+            FROM (SELECT DISTINCT id, text FROM (SELECT id, text FROM chunks UNION ALL SELECT id, text FROM blocks))
+            WHERE len(regexp_extract_all(text, '{_TOKENS}')) > 512""",
     }

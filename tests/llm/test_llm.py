@@ -129,6 +129,22 @@ def test_cuts_fall_on_sentences():
     assert all(len(text[a:o].split()) == 8 for a, o, _ in got[1:])
 
 
+def test_headings_own_their_sections():
+    body = lambda k, n: " ".join(f"Sentence {k} {i} has exactly seven words." for i in range(n))
+    text = f"# Title\n\n## A heading\n\n{body('a', 9)}\n\n## B heading\n\n{body('b', 5)}\n\n### Part\n\n{body('c', 2)}\n\n## C heading\n\n{body('d', 30)}\n"
+    got = [text[o:b] for _, o, b in pieces.piece_spans(text, 80, 8)]
+    assert "".join(got) == text
+    assert got[0].startswith("# Title\n\n## A heading") and "Sentence a 8" in got[0]
+    assert got[1].startswith("## B heading") and "Sentence c 1" in got[1] and "## C" not in got[1]
+    assert got[2].startswith("## C heading\n\nSentence d 0")
+    assert not any(p.rstrip().split("\n")[-1].startswith("#") for p in got), "no piece ends on a heading"
+    numbered = "\n".join(["1. Scope", "1.1 Doors", *[f"Line {i} of the door part, which is rather long." for i in range(6)], "1.2 Steps", *[f"Line {i} of the step part, which is rather long." for i in range(6)]])
+    cut = [numbered[o:b] for _, o, b in pieces.piece_spans(numbered, 70, 4)]
+    assert cut[0].startswith("1. Scope\n1.1 Doors") and cut[1].startswith("1.2 Steps") and len(cut) == 2
+    nested = "\n".join(f"- entry {i} of the outer list\n" + "\n".join(f"  - inner {i} {k} says a little more" for k in range(4)) for i in range(8))
+    assert all(nested[o:b].startswith("- entry") for _, o, b in pieces.piece_spans(nested, 90, 5))
+
+
 def test_oversized(spark):
     rows = [("a", LONG, 1), ("a", LONG, 1), ("b", "short", 2), ("c", None, 3), ("d", "", 4), ("e", "字" * 513, 5), ("f", "字" * 512, 6)]
     chunks = spark.createDataFrame(rows, "id string, text string, piece_no int")
