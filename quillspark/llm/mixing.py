@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quillspark.session import cut_lineage
 
 SEED = 20240
+# The pattern of the public byte-level vocabularies.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ranks are told apart in this many histogram bins a source; only the bin at the cut is sorted.
 BINS = 4096
 
@@ -34,17 +36,17 @@ def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
     return str(public_tokenizers.path(name))
 
 
-def document_sizes(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, source, tokens``: the size of each whole text; null and empty texts have size 0."""
+def document_sizes(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", pattern: str = SPLIT_PATTERN) -> DataFrame:
+    """``doc_id, source, tokens``: the size of each whole text by a byte-pair vocabulary file; null and empty texts have
+    size 0. ``pattern`` parts a text before its bytes are merged."""
     vocabulary = vocabulary or tokenizer_file()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
-        import public_tokenizers
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        coder = tiktoken.Encoding("sizes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        coder = tiktoken.Encoding("sizes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             sizes = [len(coder.encode_ordinary(t)) if t else 0 for t in batch[text]]
             yield pd.DataFrame({"doc_id": batch[doc_id], "source": batch["source"], "tokens": sizes})
@@ -85,39 +87,61 @@ def allocation(sizes: DataFrame, targets: DataFrame, total: int | None = None) -
     )
 
 
+def inclusion_rates(rows: DataFrame, shares: DataFrame, weight: Column) -> DataFrame:
+    """``source, rate``: the factor by which weights become inclusion probabilities ``least(1, rate * weight)``, so that
+    the expected tokens are what is left of the allotment after whole copies.
+
+    Documents that the factor makes certain are taken out and the rest is shared out among the others, until no more
+    become certain. Each round is one aggregate to a row a source; the set of certain ones only grows, so rounds end.
+    """
+    before = None
+    state = shares.filter("fraction > 0").select("source", (F.col("fraction") * F.col("available")).alias("need"), F.lit(0.0).alias("rate"))
+    while True:
+        w = F.col("__w")
+        joined = rows.withColumn("__w", weight).join(F.broadcast(state), "source")
+        certain = F.col("rate") * w >= 1
+        found = joined.groupBy("source", "need", "rate").agg(
+            F.sum(F.when(certain, F.col("tokens")).otherwise(0)).alias("held"), F.sum(F.when(certain, 0.0).otherwise(w * F.col("tokens"))).alias("open"), F.count_if(certain).alias("n")
+        )
+        rate = F.when(F.col("open") > 0, (F.col("need") - F.col("held")) / F.col("open")).otherwise(F.col("rate"))
+        state = cut_lineage(found.select("source", "need", F.greatest(rate, "rate").alias("rate"), (F.col("rate") > 0).alias("begun"), F.col("n").alias("sure")))
+        done = [(r["source"], r["sure"]) for r in state.filter("begun").select("source", "sure").orderBy("source").collect()]  # one row a source
+        if done == before or done and not any(n for _, n in done) or state.isEmpty():
+            return state.select("source", "rate")
+        before, state = done, state.select("source", "need", "rate")
+
+
 def mixture(sizes: DataFrame, shares: DataFrame, weight: str | None = None, seed: int = SEED) -> DataFrame:
     """``doc_id, source, tokens, repeats``: how often each document is used; documents used never are left out.
 
-    Each document of a source is certain to be used ``copies`` times. The rest of the allotment is a Pareto sample:
-    with inclusion odds p / (1 - p) and random odds u / (1 - u), the documents of least random over inclusion odds are
-    taken until their tokens reach it. ``weight`` names a column that p is to follow; p is the source's fraction else.
-    The cut lies within half a document of the allotment.
+    Each document of a source is certain to be used ``copies`` times. The rest of the allotment is a Pareto sample with
+    unequal inclusion probabilities in proportion to ``weight`` (by default the square root of the tokens, so that
+    fragments give way to longer texts), documents whose probability reaches 1 being certain (``inclusion_rates``): by
+    random odds u / (1 - u) over inclusion odds p / (1 - p), the least are taken until their tokens reach the allotment.
+    The cut lies within half a document of it. Null and negative weights count as 0; such documents come last.
     """
     shares = F.broadcast(shares)  # one row a source of the targets table
-    rows = sizes.join(shares.select("source", "copies", "fraction", "max_repeats", "available"), "source").filter("tokens > 0")
-    p = F.col("fraction")
-    if weight:
-        mean = sizes.groupBy("source").agg((F.sum(F.col(weight) * F.col("tokens")) / F.sum("tokens")).alias("__mean"))
-        rows = rows.join(F.broadcast(mean), "source")
-        p = p * F.col(weight) / F.col("__mean")
-    p = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
+    by = F.sqrt(F.col("tokens").cast("double")) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+    rows = sizes.join(shares.select("source", "copies", "fraction", "max_repeats", "available"), "source").filter("tokens > 0").withColumn("w", by)
+    rates = F.broadcast(inclusion_rates(rows.filter("fraction > 0").select("source", "tokens", "w"), shares, F.col("w")))
+    rows = rows.join(rates, "source", "left").withColumn("p", F.least(F.coalesce(F.col("rate") * F.col("w"), F.lit(0.0)), F.lit(1.0)))
     u = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
-    rows = rows.withColumn("u", u).withColumn("q", (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
+    odds = F.greatest(F.col("p"), F.lit(1e-12)) / (1 - F.least("p", F.lit(1 - 1e-12)))
+    rows = rows.withColumn("u", u).withColumn("q", F.when(F.col("p") >= 1, 0.0).otherwise((F.col("u") / (1 - F.col("u"))) / odds))
     # a monotone bin of the rank
     rows = rows.withColumn("bin", F.floor(F.lit(BINS) * F.col("q") / (1 + F.col("q"))).cast("int"))
     rows = cut_lineage(rows.select("doc_id", "source", "tokens", "copies", "fraction", "available", "q", "bin"))
-    part = rows.filter("fraction > 0")
-    histogram = part.groupBy("source", "bin").agg(F.sum("tokens").alias("n"))
+    histogram = rows.filter("fraction > 0").groupBy("source", "bin").agg(F.sum("tokens").alias("n"))
     before = histogram.withColumn("upto", F.expr("sum(n) over (partition by source order by bin)")).withColumn("below", F.col("upto") - F.col("n"))
     need = shares.select("source", (F.col("fraction") * F.col("available")).alias("need"))
     # the bin in which the allotment ends, one row a source; sources that take all have none
     cut = before.join(need, "source").filter(F.col("upto") > F.col("need")).groupBy("source").agg(F.min(F.struct("bin", "below", "need")).alias("cut"))
-    placed = part.join(F.broadcast(cut), "source", "left")
-    whole = placed.filter(F.col("cut").isNull() | (F.col("bin") < F.col("cut.bin")))
-    at_edge = placed.filter(F.col("bin") == F.col("cut.bin")).withColumn("run", F.expr("cut.below + sum(tokens) over (partition by source order by q, doc_id)"))
-    taken = at_edge.filter(F.col("run") - F.col("tokens") / 2 <= F.col("cut.need")).select("doc_id").unionAll(whole.select("doc_id"))
-    taken = taken.withColumn("more", F.lit(1))
-    out = rows.join(taken, "doc_id", "left").withColumn("repeats", F.col("copies") + F.coalesce("more", F.lit(0)))
+    placed = rows.join(F.broadcast(cut), "source", "left")
+    at_edge = (F.col("fraction") > 0) & F.col("cut").isNotNull() & (F.col("bin") == F.col("cut.bin"))
+    clear = placed.filter(~at_edge).withColumn("more", ((F.col("fraction") > 0) & (F.col("cut").isNull() | (F.col("bin") < F.col("cut.bin")))).cast("int"))
+    edge = placed.filter(at_edge).withColumn("run", F.expr("cut.below + sum(tokens) over (partition by source order by q, doc_id)"))
+    edge = edge.withColumn("more", (F.col("run") - F.col("tokens") / 2 <= F.col("cut.need")).cast("int")).drop("run")
+    out = clear.unionByName(edge).withColumn("repeats", F.col("copies") + F.col("more"))
     return out.filter("repeats > 0").select("doc_id", "source", "tokens", "repeats")
 
 

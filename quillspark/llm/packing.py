@@ -1,7 +1,8 @@
 """Filling context windows of fixed capacity with whole items, balanced by attention cost.
 
-Items are grouped into bounded segments, each packed on its own: first the number of windows is settled, then
-descending items go to the window of lowest cost (linear plus quadratic) with room left.
+Windows are filled from neighbouring items: each run of ``SEGMENT_ITEMS`` chunk numbers of a document is packed on its
+own, in a document of any size. Descending items go to the window of lowest cost (linear plus quadratic) with room
+left; the number of windows is the least with which every item finds room that way.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from quillspark.llm.pieces import split_oversized, token_count
 from quillspark.session import cut_lineage
 
 CAPACITY = 2048
-SEGMENT_ITEMS = 4096
+#: Neighbouring chunk numbers that share windows, whatever the size of the document.
+SEGMENT_ITEMS = 512
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 
 def _balanced(sizes: np.ndarray, capacity: int, bins: int) -> np.ndarray | None:
-    """Descending sizes to the cheapest of ``bins`` windows with room; None when one finds no room."""
+    """Descending sizes to the cheapest of ``bins`` windows with room; None where one finds none."""
     room = np.full(bins, capacity, dtype=np.int64)
     cost = np.zeros(bins)
     where = np.empty(len(sizes), dtype=np.int64)
@@ -36,7 +38,7 @@ def _balanced(sizes: np.ndarray, capacity: int, bins: int) -> np.ndarray | None:
 
 
 def _best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Descending sizes to the window that they fill best; the bound on the number of windows."""
+    """Descending sizes to the window that they fill best; what the number of windows is measured against."""
     room = np.empty(0, dtype=np.int64)
     where = np.empty(len(sizes), dtype=np.int64)
     for i, n in enumerate(sizes):
@@ -50,22 +52,55 @@ def _best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return where
 
 
+def _levelled(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndarray:
+    """The same windows with items moved and exchanged from the dearest to cheaper ones while that brings its cost down
+    and all keep within the capacity."""
+    where = where.copy()
+    bins = int(where.max()) + 1
+    price = LINEAR * sizes + QUADRATIC * sizes * sizes
+    for _ in range(len(sizes)):
+        room = capacity - np.bincount(where, weights=sizes, minlength=bins)
+        cost = np.bincount(where, weights=price, minlength=bins)
+        top = int(cost.argmax())
+        best = None
+        for i in np.flatnonzero(where == top):
+            # moves to another window, or exchanges with a smaller item of it
+            for j in [None, *np.flatnonzero((where != top) & (sizes < sizes[i]))]:
+                targets = [w for w in range(bins) if w != top] if j is None else [int(where[j])]
+                freed, paid = (0, 0.0) if j is None else (sizes[j], price[j])
+                for w in targets:
+                    if room[w] + freed >= sizes[i]:
+                        worst = max(cost[top] - price[i] + paid, cost[w] + price[i] - paid)
+                        if worst < cost[top] - 1e-9 and (best is None or worst < best[0]):
+                            best = (worst, i, j, w)
+        if best is None:
+            return where
+        _, i, j, w = best
+        where[i] = w
+        if j is not None:
+            where[j] = top
+    return where
+
+
 def assign_windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Window number of each item (sizes within the capacity). Never more windows than best fit needs.
 
-    Ties keep the order of the items.
+    Every number of windows from the least possible up to that of best fit is tried in turn. Where the cheapest window
+    has room for every item in none of them, the windows of best fit are levelled by cost. Ties keep the order of items.
     """
+    out = np.empty(len(sizes), dtype=np.int64)
+    if not len(sizes):
+        return out
     order = np.argsort(-sizes, kind="stable")
-    ranked = sizes[order]
+    ranked = sizes[order].astype(np.int64)
     fitted = _best_fit(ranked, capacity)
-    most, least = (int(fitted.max()) + 1 if len(sizes) else 0), int(-(-int(sizes.sum()) // capacity))
-    got = fitted
-    for bins in sorted({max(least, 1), (max(least, 1) + most) // 2, most}):
-        if (balanced := _balanced(ranked, capacity, bins)) is not None:
-            got = balanced
+    most = int(fitted.max()) + 1
+    got = None
+    for bins in range(max(-(-int(ranked.sum()) // capacity), 1), most + 1):
+        got = _balanced(ranked, capacity, bins)
+        if got is not None:
             break
-    out = np.empty(len(sizes), dtype=np.int64)
-    out[order] = got
+    out[order] = _levelled(ranked, fitted, capacity) if got is None else got
     return out
 
 
@@ -87,9 +122,10 @@ def pack_windows(items: DataFrame, capacity: int = CAPACITY, segment_items: int
     """Windows of the items of each document: ``doc_id, segment, window_no, used_tokens, free_tokens, cost, items,
     chunk_ids, sections, block_ids``.
 
-    A segment is a range of ``segment_items`` chunk numbers of one document, so a document of any size is packed by
-    many tasks, at the price of one badly filled window a segment. Where a range holds more rows than its numbers
-    (null or repeated numbers), it is divided further by hash; the counts for that are aggregated first.
+    A segment is a range of ``segment_items`` chunk numbers of one document, so a window holds chunks that lie near one
+    another and a document of any size is packed by many tasks; adding to a document changes none of its earlier
+    segments. Where a range holds more rows than its numbers (null or repeated numbers), it is divided further by hash;
+    the counts for that are aggregated first.
     """
     ranged = items.withColumn("__range", F.coalesce(F.floor(F.col("chunk_index") / segment_items), F.lit(-1)).cast("long"))
     crowded = (

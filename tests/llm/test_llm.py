@@ -171,6 +171,29 @@ def test_windows_are_valid_and_few():
     assert sorted(np.bincount(even)) == [2, 2, 2, 2]
 
 
+def test_no_window_falls_back_to_plain_best_fit():
+    chance = np.random.default_rng(5)
+    for _ in range(200):
+        sizes = chance.integers(100, 700, chance.integers(2, 30))
+        where = packing.assign_windows(sizes, 1000)
+        assert (np.bincount(where, weights=sizes) <= 1000).all()
+        fitted = packing._best_fit(np.sort(sizes)[::-1], 1000)
+        assert where.max() <= fitted.max()
+        price = lambda at, s: np.bincount(at, weights=s + s * s / 1024).max()
+        if where.max() == fitted.max():
+            assert price(where, sizes) <= price(fitted, np.sort(sizes)[::-1]) + 1e-6
+
+
+def test_a_longer_document_keeps_its_windows(spark):
+    def items(n):
+        df = spark.createDataFrame([("d", f"i{k:04d}", k, 1, 5 + k * 7 % 23) for k in range(n)], "doc_id string, id string, chunk_index int, piece_no int, tokens int")
+        return df.withColumn("sections", F.array(F.lit("s"))).withColumn("block_ids", F.array("id"))
+
+    windows = lambda n: {(r["segment"], r["window_no"], tuple(r["chunk_ids"])) for r in packing.pack_windows(items(n), 60, segment_items=64).collect()}
+    short, long = windows(192), windows(640)
+    assert short <= long and len(long) > 3 * len(short)
+
+
 def test_chunk_windows(spark):
     rows = [(f"d:c{i}", "d", i, "w " * (10 + i), [f"{i}"], [f"b{i}"], -5) for i in range(20)] + [("d:c0", "d", 0, "w " * 10, ["0"], ["b0"], -5)]
     rows += [("e:c0", "e", None, "w " * 5000, ["1"], ["x"], 0), ("e:c1", "e", 1, None, None, None, 0), (None, None, None, None, None, None, None)]
@@ -428,6 +451,19 @@ def test_weights_steer_the_sample(spark):
     assert 2.4 < heavy / (len(got) - heavy) < 3.7
 
 
+def test_certain_documents_are_taken_out(spark):
+    """Ten documents of great weight are certain; the rates of the others make up the rest of the allotment."""
+    sizes = sizes_of(spark, [(i, "s", 10) for i in range(2000)]).withColumn("w", F.when(F.col("doc_id") < 10, 1000.0).when(F.col("doc_id") < 20, F.lit(None)).otherwise(1.0 + F.col("doc_id") % 3))
+    shares = mixing.allocation(sizes, spark.createDataFrame([("s", 1.0, 2)], TARGETS), 25_000)
+    rows = sizes.withColumn("w", F.coalesce("w", F.lit(0.0)))
+    rate = mixing.inclusion_rates(rows, shares, F.col("w")).first()["rate"]
+    p = [min(1.0, rate * r["w"]) for r in rows.collect()]
+    assert sum(x == 1.0 for x in p) == 10 and sum(p) * 10 == pytest.approx(5000)
+    got = {r["doc_id"]: r["repeats"] for r in mixing.mixture(sizes, shares, weight="w").collect()}
+    assert all(got[i] == 2 for i in range(10)) and not any(got[i] == 2 for i in range(10, 20)) and len(got) == 2000
+    assert abs(10 * sum(got.values()) - 25_000) <= 10
+
+
 def test_mixing_documents(spark):
     docs = spark.createDataFrame([(1, "some words here", "A"), (2, None, "a"), (3, "", "a "), (4, "text", None), (5, "other text", "b"), (5, "other text", "b")], "doc_id bigint, text string, source string")
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], TARGETS)
