@@ -44,5 +44,6 @@ def apply_diff(existing: DataFrame, current: DataFrame, diff: DataFrame) -> Data
     return existing.join(gone, "point_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def point_count(index: DataFrame, doc_id: str | None = None) -> int:
-    return (index if doc_id is None else index.filter(F.col("doc_id") == doc_id)).count()
+def point_counts(index: DataFrame) -> DataFrame:
+    """``doc_id, points``: how many points the index holds of each document."""
+    return index.groupBy("doc_id").agg(F.countDistinct("point_id").alias("points"))

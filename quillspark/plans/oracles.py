@@ -87,7 +87,7 @@ _SWEEP = (
     "sw AS (SELECT threshold, round(((sum(p) OVER () - (sum(p) OVER (ORDER BY threshold) - p)) / sum(p) OVER () + (sum(n) OVER (ORDER BY threshold) - n) / sum(n) OVER ()) / 2, 9) AS accuracy FROM k)"
 )
 _DIFF = (
-    "n AS (SELECT DISTINCT id AS chunk_id, doc_id, sha256(embed_text) AS sha, substr(sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(id)), 1, 32) AS h FROM chunks), "
+    "n AS (SELECT DISTINCT id AS chunk_id, doc_id, sha256(embed_text) AS sha, substr(sha1(unhex('6f1d2a8e4c3b5e7f9a0b1c2d3e4f5a6b') || encode(id)), 1, 32) AS h FROM chunks), "
     "now AS (SELECT *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex(((('0x' || substr(h, 17, 1))::INT & 3) | 8))) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id, ('0x' || substr(sha256(chunk_id), 1, 6))::INT % 1001 AS m FROM n), "
     "old AS (SELECT point_id, doc_id, CASE WHEN m % 7 = 0 THEN 'old' ELSE sha END AS sha FROM now WHERE m % 11 <> 0 UNION ALL SELECT point_id || '-stale', doc_id, sha FROM now WHERE m % 13 = 0), "
     "diff AS (SELECT coalesce(now.point_id, old.point_id) AS point_id, coalesce(now.doc_id, old.doc_id) AS doc_id, CASE WHEN old.point_id IS NULL THEN 'insert' WHEN now.point_id IS NULL THEN 'delete' WHEN now.sha IS NOT DISTINCT FROM old.sha THEN 'unchanged' ELSE 'update' END AS action FROM now FULL JOIN old ON now.point_id = old.point_id)"
@@ -115,6 +115,46 @@ def _pct(x: str, q: float) -> str:
     return f"round(list_sort(list({x}))[least(count({x}) - 1, floor({q}::DOUBLE * count({x}))::BIGINT) + 1], 1)"
 
 
+_SOURCE = (
+    "concat_ws(' · ', doc_id, coalesce(scope, ''), CASE WHEN len(sections) > 0 THEN sections[1] || '–' || sections[-1] ELSE 'unnumbered' END, "
+    "'p.' || page_start || CASE WHEN page_start = page_end THEN '' ELSE '–' || page_end END)"
+)
+_SCOPED_RE = r"paragraphs?\s+(\d+(?:\.\d+)*)\.?\s+(?:of|to|in)\s+(Annex\s+\d+|this\s+annex|this\s+Regulation)"
+_FIGURE_RE = r"Annex\s+(\d+),?\s+Figures?\s+(\d+[A-Za-z]?)"
+# RE2 has no look-ahead: what must not follow is matched along and such hits are left out
+_FOUND = (
+    "rx AS (SELECT id, doc_id, scope AS own, text FROM c WHERE regexp_matches(text, '(?i)paragraph|annex')), "
+    f"r0 AS (SELECT id, doc_id, own, 0 AS k, unnest(range(1, len(regexp_extract_all(text, '(?i){_SCOPED_RE}', 1)) + 1)) AS p, unnest(regexp_extract_all(text, '(?i){_SCOPED_RE}', 1)) AS section, unnest(regexp_extract_all(text, '(?i){_SCOPED_RE}', 2)) AS t FROM rx), "
+    f"r1 AS (SELECT id, doc_id, own, 1 AS k, unnest(range(1, len(regexp_extract_all(text, '(?i){_FIGURE_RE}', 1)) + 1)) AS p, unnest(regexp_extract_all(text, '(?i){_FIGURE_RE}', 1)) AS a, unnest(regexp_extract_all(text, '(?i){_FIGURE_RE}', 2)) AS f FROM rx), "
+    r"b2 AS (SELECT id, doc_id, own, list_filter(regexp_extract_all(text, '(?i)paragraphs?\s+[\d.]+(?:\s*(?:of|to|in)\s+(?:Annex|this))?', 0), lambda x: regexp_full_match(x, '(?i)paragraphs?\s+\d+(?:\.\d+)*\.?')) AS h FROM rx), "
+    r"r2 AS (SELECT id, doc_id, own, 2 AS k, unnest(range(1, len(h) + 1)) AS p, regexp_extract(unnest(h), '\d+(?:\.\d+)*') AS section FROM b2), "
+    f"b3 AS (SELECT id, doc_id, own, list_filter(regexp_extract_all(regexp_replace(text, '(?i)(?:{_SCOPED_RE}|{_FIGURE_RE})', chr(1), 'g'), "
+    + r"'(?i)Annex\s+\d+\w*(?:\s*[-–]?\s*(?:Part|Appendix))?', 0), lambda x: regexp_full_match(x, '(?i)Annex\s+\d+')) AS h FROM rx), "
+    r"r3 AS (SELECT id, doc_id, own, 3 AS k, unnest(range(1, len(h) + 1)) AS p, 'Annex ' || regexp_extract(unnest(h), '\d+') AS scope FROM b3), "
+    f"ra AS (SELECT id, doc_id, own, k, p, CASE WHEN {_EVEN_T} = 'this annex' THEN own WHEN {_EVEN_T} = 'this regulation' THEN 'Regulation' ELSE 'Annex ' || regexp_extract(t, '[0-9]+') END AS scope, section, NULL::VARCHAR AS figure FROM r0 "
+    "UNION ALL SELECT id, doc_id, own, k, p, 'Annex ' || a, NULL, 'Figure ' || f FROM r1 UNION ALL SELECT id, doc_id, own, k, p, own, section, NULL FROM r2 UNION ALL SELECT id, doc_id, own, k, p, scope, NULL, NULL FROM r3 WHERE scope IS DISTINCT FROM own), "
+    "rd AS (SELECT * FROM ra QUALIFY row_number() OVER (PARTITION BY id, scope, section, figure ORDER BY k, p) = 1), "
+    "found AS (SELECT id, doc_id, scope, section, figure, scope IS DISTINCT FROM own AS cross_scope, row_number() OVER (PARTITION BY id ORDER BY scope IS DISTINCT FROM own DESC, k, p)::INT AS seq FROM rd)"
+)
+_LED = (
+    _FOUND + ", n AS (SELECT doc_id, scope, count(*) AS n FROM c GROUP BY ALL), "
+    "pairs AS (SELECT f.id, f.seq, f.cross_scope, c.id AS target_id, c.chunk_index AS ci, CASE WHEN f.section IS NOT NULL THEN CASE WHEN list_contains(c.sections, f.section) THEN 0 WHEN len(list_filter(c.sections, lambda x: starts_with(x, f.section || '.'))) > 0 THEN 1 END "
+    r"WHEN f.figure IS NOT NULL THEN CASE WHEN len(list_filter(regexp_extract_all(c.text, '(?i)\bFigure \d+[A-Za-z]*\w*', 0), lambda x: lower(x) = lower(f.figure))) > 0 THEN 2 END WHEN n.n <= 2 THEN 3 END AS match "
+    "FROM found f JOIN c ON c.doc_id = f.doc_id AND coalesce(c.scope, '') = coalesce(f.scope, '') JOIN n ON n.doc_id = c.doc_id AND n.scope IS NOT DISTINCT FROM c.scope), "
+    "led AS (SELECT id, seq, cross_scope, target_id, match FROM pairs WHERE match IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, seq ORDER BY match, ci, target_id) = 1)"
+)
+_CONTEXT = (
+    _POOL + ", " + _LED + ", kept AS (SELECT query_id, chunk_id, final_rank FROM pool WHERE is_candidate AND final_rank <= 10), "
+    "walk AS (SELECT query_id, target_id, min((CASE WHEN cross_scope THEN 0 ELSE 1 END, final_rank, seq)) AS first FROM kept JOIN led ON led.id = kept.chunk_id GROUP BY ALL), "
+    "fresh AS (SELECT query_id, target_id FROM walk WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.query_id = walk.query_id AND kept.chunk_id = walk.target_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY first, target_id) <= 3), "
+    "members AS (SELECT query_id, chunk_id, 'retrieved' AS origin FROM kept UNION ALL SELECT query_id, target_id, 'reference' FROM fresh), "
+    "ctx AS (SELECT query_id, 'C' || row_number() OVER (PARTITION BY query_id ORDER BY c.doc_id, c.chunk_index, c.id) AS label, c.id AS chunk_id, c.doc_id, c.chunk_index, origin FROM members JOIN c ON c.id = members.chunk_id)"
+)
+
+
+_BOTH_WAYS = "both_ways AS (SELECT * FROM blocks UNION ALL BY NAME SELECT * REPLACE (id || '-turned' AS id, doc_id || '-turned' AS doc_id, -ordinal AS ordinal) FROM blocks)"
+
+
 ORACLES: dict[str, str] = {
     "normalize_text": "SELECT DISTINCT id, " + _strip(f"regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '{_S}*\\n{_S}*', ' ', 'g')") + " AS norm FROM blocks",
     "normalize_pattern": f"SELECT DISTINCT id, {_pattern('text')} AS pattern FROM blocks",
@@ -127,19 +167,20 @@ ORACLES: dict[str, str] = {
     "token_stats": f"WITH {_CHUNKS}, w AS (SELECT doc_id, len({_words('embed_text')}) AS n FROM c) SELECT doc_id, count(n) AS chunks, min(n)::INT AS min_tokens, floor(median(n))::INT AS median_tokens, list_sort(list(n))[least(count(n) - 1, floor(0.9::DOUBLE * count(n))::BIGINT) + 1]::INT AS p90_tokens, max(n)::INT AS max_tokens, count(*) FILTER (WHERE n < 64) AS below_min FROM w GROUP BY doc_id",
     "text_sha256": "SELECT DISTINCT id, sha256(embed_text) AS sha FROM chunks",
     "answer_hashes": "SELECT DISTINCT run_id, id, substr(sha256(coalesce(answer, '')), 1, 16) AS hash FROM gen_results",
-    "point_ids": "WITH h AS (SELECT DISTINCT id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(id)) AS h FROM chunks) SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex(((('0x' || substr(h, 17, 1))::INT & 3) | 8))) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h",
+    "point_ids": "WITH h AS (SELECT DISTINCT id, sha1(unhex('6f1d2a8e4c3b5e7f9a0b1c2d3e4f5a6b') || encode(id)) AS h FROM chunks) SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex(((('0x' || substr(h, 17, 1))::INT & 3) | 8))) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h",
     "golden_split": "WITH p AS (SELECT DISTINCT id, list_reduce(list_transform(range(1, 65), lambda i: ('0x' || substr(sha256(id), i::INT, 1))::INT), lambda a, x: (a * 16 + x) % 100) AS percent FROM golden) SELECT id, percent, CASE WHEN percent < 30 THEN 'test' ELSE 'dev' END AS derived_split FROM p",
     "label_sample": f"WITH {_GOLDEN} SELECT id FROM g ORDER BY sha256(id) LIMIT 50",
     "header_render": "WITH h AS (SELECT DISTINCT id, doc_id, section_path AS p, string_split(section_path[1], ': ') AS parts FROM chunks), t AS (SELECT *, parts[1] AS name, CASE WHEN len(parts) > 1 THEN substr(p[1], length(parts[1]) + 3) END AS title FROM h) "
     f"SELECT id, CASE WHEN len(p) = 0 THEN doc_id ELSE doc_id || ' | ' || array_to_string([CASE WHEN coalesce(title, '') = '' THEN name ELSE name || ': ' || {_short('title')} END] || p[2:], ' > ') END AS header FROM t",
     "common_paths": f"WITH {_CHUNKS}, k AS (SELECT doc_id, scope, list(section_path) AS ps, min(len(section_path)) AS m FROM c GROUP BY ALL) SELECT doc_id, scope, array_to_string(ps[1][1:coalesce(list_max(list_filter(range(1, (m + 1)::BIGINT), lambda k: len(list_distinct(list_transform(ps, lambda p: array_to_string(p[1:k], chr(1))))) = 1)), 0)], ' > ') AS shared FROM k",
-    "hit_labels": "SELECT DISTINCT id, concat_ws(', ', doc_id, coalesce(scope, ''), nullif(array_to_string(sections, ' '), ''), CASE WHEN page_start = page_end THEN 'p.' || page_start ELSE 'p.' || page_start || '-' || page_end END) AS source FROM chunks",
+    "hit_labels": f"SELECT DISTINCT id, {_SOURCE} AS source, coalesce(scope, '') || ' / ' || CASE WHEN len(sections) > 0 THEN sections[1] || '..' || sections[-1] ELSE 'p.' || page_start END AS hit FROM chunks",
+    "gold_labels": f"WITH {_GOLDEN}, {_REFS} SELECT id, ref_no::INT AS ref_no, coalesce(scope, '') || ' / ' || coalesce(section, 'p.' || page) AS label FROM refs",
     "edge_zones": f"WITH {_ZONED} SELECT id, edge, edge_band FROM z WHERE edge IS NOT NULL",
     "repeated_lines": f"WITH {_ZONED} SELECT doc_id, edge, edge_band, pattern, pages FROM rep",
     "running_furniture": f"WITH {_ZONED}, s AS (SELECT z.*, rep.pages IS NOT NULL AS repeats FROM z LEFT JOIN rep USING (doc_id, edge, edge_band, pattern)), dep AS (SELECT doc_id, max(CASE WHEN edge = 'top' THEN bbox.y1 END) AS hd, max(CASE WHEN edge = 'bottom' THEN 842.0 - bbox.y0 END) AS fd FROM s WHERE repeats GROUP BY doc_id) "
     "SELECT id, CASE WHEN repeats AND edge = 'top' THEN 'header' WHEN repeats THEN 'footer' WHEN coalesce(hd, 0) > 0 AND bbox.y1 <= hd + 5 THEN 'header' WHEN coalesce(fd, 0) > 0 AND 842.0 - bbox.y0 <= fd + 5 THEN 'footer' ELSE 'body' END AS tagged FROM s LEFT JOIN dep USING (doc_id)",
     "body_font_size": f"WITH {_BLOCKS}, k AS (SELECT doc_id, round_even(font_size, 1) AS body_size, sum(length(text)) AS w, min(ordinal) AS o FROM b WHERE role = 'body' AND font_size IS NOT NULL AND text IS NOT NULL GROUP BY ALL) SELECT doc_id, body_size FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, o) = 1",
-    "toc_noise_roles": f"WITH {_BLOCKS} SELECT CASE WHEN role = 'body' AND regexp_matches(text, '\\.{{4,}}{_S}*\\p{{Nd}}+{_S}*$') THEN 'toc' WHEN role = 'body' AND length(text) < 5 THEN 'noise' ELSE role END AS role, count(*) AS n FROM b GROUP BY 1",
+    "toc_noise_roles": f"WITH {_BLOCKS} SELECT id, CASE WHEN role = 'body' AND regexp_matches(text, '\\.{{4,}}{_S}*\\p{{Nd}}+{_S}*$') THEN 'toc' WHEN role = 'body' AND length(text) < 5 THEN 'noise' ELSE role END AS role FROM b",
     "role_counts": f"WITH {_BLOCKS} SELECT doc_id, coalesce(role, 'unknown') AS role, count(*) AS n FROM b GROUP BY ALL",
     "heading_styles": f"WITH {_BLOCKS}, k AS (SELECT doc_id, round_even(font_size * 2, 0) / 2 AS size, coalesce(is_bold, false) AS bold, sum(length(text)) AS chars, min(ordinal) AS o FROM b WHERE role = 'body' AND text IS NOT NULL AND font_size IS NOT NULL GROUP BY ALL), "
     "m AS (SELECT doc_id, size AS ms, bold AS mb FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, o) = 1), t AS (SELECT doc_id, sum(chars) AS total FROM k GROUP BY doc_id), "
@@ -150,13 +191,15 @@ ORACLES: dict[str, str] = {
     "brk AS (SELECT i.doc_id, i.segment, i.ordinal, i.num, i.label, min(j.ordinal) AS stop FROM n i LEFT JOIN n j ON j.doc_id = i.doc_id AND j.segment = i.segment AND j.ordinal > i.ordinal AND NOT starts_with(j.num, i.num || '.') GROUP BY ALL), "
     "op AS (SELECT e.id, string_agg(k.label, ' > ' ORDER BY k.ordinal) AS crumbs FROM ev e JOIN brk k ON k.doc_id = e.doc_id AND k.segment = e.segment AND k.ordinal <= e.ordinal AND (k.stop IS NULL OR e.ordinal < k.stop) GROUP BY e.id) "
     "SELECT ev.id, coalesce(crumbs, '') AS crumbs FROM ev LEFT JOIN op USING (id)",
-    "backward_jumps": f"WITH {_EVENTS}, p AS (SELECT doc_id, scope_now AS scope, ordinal, num AS number, lag(num) OVER (PARTITION BY doc_id, segment ORDER BY ordinal) AS before FROM ev WHERE num IS NOT NULL) SELECT * FROM p WHERE {_PATH.format('number')} < {_PATH.format('before')}",
+    "backward_jumps": f"WITH {_EVENTS.replace('FROM blocks WHERE', 'FROM both_ways WHERE').replace('body AS (', _BOTH_WAYS + ', body AS (', 1)}, p AS (SELECT doc_id, scope_now AS scope, ordinal, num AS number, lag(num) OVER (PARTITION BY doc_id, segment ORDER BY ordinal) AS before FROM ev WHERE num IS NOT NULL) SELECT * FROM p WHERE {_PATH.format('number')} < {_PATH.format('before')}",
     "outline": f"WITH {_BLOCKS} SELECT doc_id, scope, heading_level, count(*) AS headings, min(ordinal) AS first_ordinal FROM b WHERE role = 'body' AND block_type = 'heading' GROUP BY ALL",
-    "document_chars": f"WITH {_BLOCKS} SELECT doc_id, (sum(length(text)) + 2 * (count(text) - 1))::BIGINT AS chars FROM b WHERE role = 'body' GROUP BY doc_id",
-    "chunk_pack": f"WITH RECURSIVE {_BLOCKS}, w AS (SELECT doc_id, ordinal, len({_words('text')})::BIGINT AS words, ordinal // 4096 AS part, row_number() OVER (PARTITION BY doc_id, ordinal // 4096 ORDER BY ordinal, len({_words('text')})) AS k FROM b WHERE role = 'body'), "
-    "f AS (SELECT doc_id, part, ordinal, words, k, 1::BIGINT AS bin, words AS used FROM w WHERE k = 1 UNION ALL SELECT w.doc_id, w.part, w.ordinal, w.words, w.k, CASE WHEN f.used + w.words > 350 THEN f.bin + 1 ELSE f.bin END, CASE WHEN f.used + w.words > 350 THEN w.words ELSE f.used + w.words END FROM f JOIN w ON w.doc_id = f.doc_id AND w.part = f.part AND w.k = f.k + 1) "
-    "SELECT doc_id, ordinal::BIGINT AS ordinal, words, (part * 1000000 + bin)::BIGINT AS bin FROM f",
-    "excluded_scopes": f"WITH {_BLOCKS} SELECT doc_id, count(*) FILTER (WHERE scope IS NULL OR scope <> 'Front matter') AS kept, count(*) FILTER (WHERE scope IS NOT NULL AND scope = 'Front matter') AS excluded FROM b WHERE role = 'body' GROUP BY doc_id",
+    "document_chars": f"WITH {_BLOCKS}, t AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ordinal, text) AS t FROM b WHERE role = 'body' GROUP BY doc_id) SELECT doc_id, length(t)::BIGINT AS chars, md5(t) AS hash FROM t",
+    "chunk_pack": f"WITH RECURSIVE {_BLOCKS}, w AS (SELECT doc_id, ordinal, len({_words('text')})::BIGINT AS words, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, len({_words('text')})) AS k FROM b WHERE role = 'body'), "
+    "f AS (SELECT doc_id, ordinal, words, k, 1::BIGINT AS bin, words AS used FROM w WHERE k = 1 UNION ALL SELECT w.doc_id, w.ordinal, w.words, w.k, CASE WHEN f.used + w.words > 350 THEN f.bin + 1 ELSE f.bin END, CASE WHEN f.used + w.words > 350 THEN w.words ELSE f.used + w.words END FROM f JOIN w ON w.doc_id = f.doc_id AND w.k = f.k + 1) "
+    "SELECT doc_id, ordinal, words, bin FROM f",
+    "excluded_scopes": f"WITH {_BLOCKS} SELECT doc_id, scope, count(*) AS kept FROM b WHERE role = 'body' AND text IS NOT NULL AND (scope IS NULL OR scope <> 'Front matter') GROUP BY ALL",
+    "chunk_report": f"WITH {_BLOCKS}, o AS (SELECT *, coalesce(scope = 'Front matter', false) AS gone, len({_words('text')}) AS n FROM b WHERE role = 'body' AND text IS NOT NULL) SELECT doc_id, count(*) FILTER (WHERE NOT gone) AS input_blocks, count(*) FILTER (WHERE gone) AS excluded_blocks, (sum(n) FILTER (WHERE NOT gone))::BIGINT AS words, "
+    "count(DISTINCT scope) FILTER (WHERE NOT gone) AS scopes, true AS within, count(DISTINCT id) FILTER (WHERE NOT gone) AS held_blocks FROM o GROUP BY doc_id HAVING count(*) FILTER (WHERE NOT gone) > 0",
     "index_diff": f"WITH {_DIFF} SELECT point_id, doc_id, action FROM diff",
     "index_report": f"WITH {_DIFF} SELECT doc_id, count(*) FILTER (WHERE action <> 'delete') AS chunks, count(*) FILTER (WHERE action IN ('insert', 'update')) AS embedded, count(*) FILTER (WHERE action = 'unchanged') AS unchanged, count(*) FILTER (WHERE action = 'delete') AS deleted FROM diff GROUP BY doc_id",
     "point_count": "SELECT doc_id, count(DISTINCT id) AS points FROM chunks GROUP BY doc_id",
@@ -168,7 +211,7 @@ ORACLES: dict[str, str] = {
     "stage_rankings": f"WITH {_POOL} SELECT query_id, chunk_id, stage, rank::INT AS rank FROM stages",
     "recall_and_mrr": f"WITH {_SCORES} SELECT query_id, stage, round(recall_5, 6) AS recall_5, round(recall_20, 6) AS recall_20, round(reciprocal_rank, 6) AS reciprocal_rank, first_rank::INT AS first_rank FROM scores",
     "stage_summary": f"WITH {_SCORES}, x AS (SELECT scores.*, g.type FROM scores JOIN g ON g.id = scores.query_id) SELECT stage, type, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(recall_20), 6) AS recall_20, round(avg(reciprocal_rank), 6) AS mrr, count(*) AS questions FROM x GROUP BY GROUPING SETS ((stage), (stage, type))",
-    "question_diagnosis": f"WITH {_SCORES}, w AS (SELECT query_id, max(CASE WHEN stage = 'fused' THEN first_rank END) AS f, max(CASE WHEN stage = 'reranked' THEN first_rank END) AS l FROM scores GROUP BY query_id) SELECT CASE WHEN l <= 5 THEN 'ok' WHEN f IS NULL THEN 'not_retrieved' WHEN f > 20 THEN 'below_cutoff' ELSE 'lost_in_rerank' END AS diagnosis, count(*) AS n FROM w GROUP BY 1",
+    "question_diagnosis": f"WITH {_SCORES}, w AS (SELECT query_id, max(CASE WHEN stage = 'fused' THEN first_rank END) AS f, max(CASE WHEN stage = 'reranked' THEN first_rank END) AS l FROM scores GROUP BY query_id) SELECT CASE WHEN l <= 5 THEN 'ok' WHEN f IS NULL THEN 'not_retrieved' WHEN f > 20 THEN 'below_cutoff' ELSE 'lost_in_rerank' END AS diagnosis, query_id FROM w",
     "find_references": f"WITH {_CHUNKS}, m AS (SELECT id, regexp_extract_all(text, '(?i)paragraphs?\\s+(\\d+(?:\\.\\d+)*)\\.?\\s+(?:of|to|in)\\s+(Annex\\s+\\d+|this\\s+annex|this\\s+Regulation)', 1) AS s, regexp_extract_all(text, '(?i)paragraphs?\\s+(\\d+(?:\\.\\d+)*)\\.?\\s+(?:of|to|in)\\s+(Annex\\s+\\d+|this\\s+annex|this\\s+Regulation)', 2) AS t FROM c), "
     "u AS (SELECT id, unnest(s) AS section, unnest(t) AS t FROM m) SELECT id, section, CASE WHEN lower(regexp_replace(t, '\\s+', ' ', 'g')) = 'this annex' THEN 'this annex' WHEN lower(regexp_replace(t, '\\s+', ' ', 'g')) = 'this regulation' THEN 'Regulation' ELSE 'Annex ' || regexp_extract(t, '(\\d+)', 1) END AS target FROM u",
     "context_labels": f"WITH {_GOLDEN}, {_REFS}, {_CHUNKS}, n AS (SELECT DISTINCT id, doc_id, scope FROM refs) SELECT n.id, 'C' || row_number() OVER (PARTITION BY n.id ORDER BY n.doc_id, c.chunk_index) AS label, c.id AS chunk_id FROM n JOIN c ON c.doc_id = n.doc_id AND c.scope = n.scope",
@@ -189,14 +232,14 @@ ORACLES: dict[str, str] = {
     "golden_profile": f"WITH {_GOLDEN} " + " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value, count(*) AS n FROM g GROUP BY {f}" for f in ("status", "type", "lang", "source", "split")),
     "gold_text": f"WITH {_GOLDEN}, {_REFS}, {_BLOCKS}, o AS (SELECT *, CASE WHEN scope IS NOT DISTINCT FROM lag(scope) OVER (PARTITION BY doc_id ORDER BY ordinal) THEN 0 ELSE 1 END AS moved FROM b WHERE role = 'body'), s AS (SELECT *, sum(moved) OVER (PARTITION BY doc_id ORDER BY ordinal) AS stay FROM o), k AS (SELECT *, last_value(section_number IGNORE NULLS) OVER (PARTITION BY doc_id, stay ORDER BY ordinal) AS under FROM s) "
     f"SELECT refs.id, refs.ref_no::INT AS ref_no, string_agg(k.text, chr(10) ORDER BY k.ordinal, k.text) AS text FROM k JOIN refs ON refs.doc_id = k.doc_id AND refs.scope IS NOT DISTINCT FROM k.scope WHERE CASE WHEN refs.section IS NOT NULL THEN coalesce({_COVERS.format('k.under', 'refs.section')}, false) ELSE coalesce(k.page_number = refs.page, false) END GROUP BY ALL",
-    "unknown_gold": f"WITH {_GOLDEN}, {_REFS} SELECT id, ref_no::INT AS ref_no, doc_id FROM refs WHERE doc_id NOT IN (SELECT DISTINCT doc_id FROM chunks)",
+    "unknown_gold": f"WITH {_GOLDEN}, {_REFS}, {_BLOCKS} SELECT id, ref_no::INT AS ref_no, doc_id FROM refs WHERE doc_id NOT IN (SELECT doc_id FROM b GROUP BY doc_id HAVING max(page_number) > 10)",
     "section_match": f"WITH {_GOLDEN}, {_REFS}, {_CHUNKS} SELECT refs.id, ref_no::INT AS ref_no, c.id AS chunk_id FROM refs JOIN c ON c.doc_id = refs.doc_id AND c.scope = refs.scope WHERE section IS NOT NULL AND len(list_filter(c.sections, lambda x: {_COVERS.format('x', 'refs.section')})) > 0",
     "longest_shared_run": f"WITH {_GOLDEN}, t AS (SELECT id, {_TOKENS.format('question')} AS a, {_TOKENS.format('answer')} AS b FROM g WHERE question IS NOT NULL AND answer IS NOT NULL), x AS (SELECT id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS w FROM t), y AS (SELECT id, unnest(range(1, len(b) + 1)) AS j, unnest(b) AS w FROM t), "
     "m AS (SELECT id, j - i AS d, i FROM x JOIN y USING (id, w)), n AS (SELECT id, d, i - row_number() OVER (PARTITION BY id, d ORDER BY i) AS k FROM m), z AS (SELECT id, max(c) AS run FROM (SELECT id, d, k, count(*) AS c FROM n GROUP BY ALL) GROUP BY id) SELECT t.id, coalesce(run, 0) AS run FROM t LEFT JOIN z USING (id)",
     "not_fully_correct": f"WITH {_RESULTS} SELECT run_id, outcome, count(*) AS n FROM r WHERE score IS NULL OR score < 1 GROUP BY ALL",
     "role_samples": f"WITH {_BLOCKS}, f AS (SELECT doc_id, role, text, min(ordinal) AS first_at FROM b GROUP BY ALL) SELECT doc_id, role, text, row_number() OVER (PARTITION BY doc_id, role ORDER BY first_at, text)::INT AS n FROM f QUALIFY n <= 5",
     "judge_cache_keys": f"WITH {_RESULTS}, k AS (SELECT question, coalesce(answer, '') AS a, count(*) AS uses FROM r GROUP BY ALL) SELECT uses, count(*) AS keys FROM k GROUP BY uses",
-    "parse_replies": f"WITH {_RESULTS}, k AS (SELECT CASE WHEN answer IS NULL OR covered IS NULL OR coalesce(prompt_tokens % 5 = 0, false) THEN 'invalid_reply' END AS error, covered FROM r) SELECT error, count(*) AS n, count(*) FILTER (WHERE error IS NULL AND covered) AS covered FROM k GROUP BY error",
+    "parse_replies": f"WITH {_RESULTS}, k AS (SELECT *, answer IS NULL OR covered IS NULL OR coalesce(prompt_tokens % 5 = 0, false) AS bad FROM r) SELECT run_id, id, CASE WHEN bad THEN 'invalid_reply' END AS error, CASE WHEN bad THEN false ELSE covered END AS covered, CASE WHEN bad THEN '' ELSE answer END AS answer, CASE WHEN bad THEN 0 ELSE coalesce(len(citations), 0) END::INT AS cited FROM k",
     "verify_citations": f"WITH {_RESULTS}, {_CHUNKS}, t AS (SELECT run_id, id, citations, unnest(range(1, len(citations) + 1)) AS k FROM r), e AS (SELECT run_id, id, (k - 1)::INT AS seq, citations[k].chunk_id AS chunk_id, citations[k].quote AS quote FROM t) "
     f"SELECT e.run_id, e.id, e.seq, coalesce({_match('e.quote')} <> '' AND contains({_match('c.text')}, {_match('e.quote')}), false) AS verified FROM e LEFT JOIN c ON c.id = e.chunk_id",
     "scope_titles": f"WITH {_EVENTS}, t AS (SELECT *, first_value(CASE WHEN heads IS NOT NULL THEN heading_level END IGNORE NULLS) OVER (PARTITION BY doc_id, segment ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS lv FROM ev WHERE segment > 0), "
@@ -204,8 +247,10 @@ ORACLES: dict[str, str] = {
     f"p AS (SELECT doc_id, segment, scope_now, ordinal, CASE WHEN closed = 0 THEN {_TITLE_PART} END AS part FROM k), "
     "l AS (SELECT doc_id, segment, max(scope_now) AS scope, min(ordinal) AS first_ordinal, list(part ORDER BY ordinal) FILTER (WHERE part <> '') AS parts FROM p GROUP BY doc_id, segment) "
     "SELECT doc_id, segment::INT AS segment, scope, coalesce(substr(list_reduce(parts, lambda a, b: CASE WHEN ends_with(a, '-') AND regexp_matches(b, '^\\p{Ll}') THEN a || b ELSE a || ' ' || b END), 1, 200), '') AS title, first_ordinal FROM l",
-    "resolve_scoped": f"WITH {_CHUNKS}, m AS (SELECT id, doc_id, {_reference(1)} AS s, {_reference(2)} AS t FROM c), u AS (SELECT id, doc_id, unnest(s) AS section, unnest(t) AS t FROM m), "
-    f"f AS (SELECT DISTINCT id, doc_id, section, CASE WHEN {_EVEN_T} = 'this regulation' THEN 'Regulation' ELSE 'Annex ' || regexp_extract(t, '([0-9]+)', 1) END AS scope FROM u WHERE {_EVEN_T} <> 'this annex'), "
-    "j AS (SELECT f.id, f.scope || '/' || f.section AS reference, c.id AS target_id, c.chunk_index AS ci, CASE WHEN list_contains(c.sections, f.section) THEN 0 WHEN len(list_filter(c.sections, lambda x: starts_with(x, f.section || '.'))) > 0 THEN 1 END AS match FROM f JOIN c ON c.doc_id = f.doc_id AND c.scope = f.scope) "
-    "SELECT id, reference, target_id, match FROM j WHERE match IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, reference ORDER BY match, ci, target_id) = 1",
+    "all_references": f"WITH {_CHUNKS}, {_FOUND} SELECT id, doc_id, seq, scope, section, figure, cross_scope FROM found",
+    "resolve_references": f"WITH {_CHUNKS}, {_LED} SELECT id, seq, target_id, match FROM led",
+    "expand_context": f"WITH {_CONTEXT} SELECT * FROM ctx",
+    "prompt_render": f"WITH {_CONTEXT}, tag AS (SELECT query_id, substr(label, 2)::INT AS n, '<chunk id=\"' || label || '\" source=\"' || replace(replace(replace({_SOURCE}, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;') || '\">' || chr(10) || coalesce(header, '') || chr(10) || coalesce(text, '') || chr(10) || '</chunk>' || chr(10) || chr(10) AS t "
+    "FROM (SELECT ctx.query_id, ctx.label, c.* FROM ctx JOIN c ON c.id = ctx.chunk_id)), j AS (SELECT query_id, string_agg(t, '' ORDER BY n) AS body FROM tag GROUP BY query_id) "
+    "SELECT q.query_id, 'Regulation excerpts:' || chr(10) || chr(10) || coalesce(body, '') || 'Question: ' || q.query || chr(10) || chr(10) || 'Respond with a JSON object: {\"answer\": \"\\u2026\", \"citations\": [{\"chunk\": \"C1\", \"quote\": \"\\u2026\"}], \"covered\": true}' AS prompt FROM q LEFT JOIN j USING (query_id)",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import answers, chunking, evaluation, index, layout, references, retrieval, structure
-from quillspark.session import table
+from quillspark.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,8 +125,14 @@ def common_paths(s, d):
 
 @query
 def hit_labels(s, d):
-    line = references.source_line(F.col("doc_id"), F.coalesce("scope", F.lit("")), F.col("sections"), F.col("page_start"), F.col("page_end"))
-    return table(s, d, "chunks").select("id", line.alias("source")).distinct()
+    line = references.source_line(F.col("doc_id"), F.col("scope"), F.col("sections"), F.col("page_start"), F.col("page_end"))
+    return table(s, d, "chunks").select("id", line.alias("source"), references.hit_label(F.col("scope"), F.col("sections"), F.col("page_start")).alias("hit")).distinct()
+
+
+@query
+def gold_labels(s, d):
+    refs = evaluation.gold_references(_golden(s, d))
+    return refs.select("id", "ref_no", references.gold_label(F.col("scope"), F.col("section"), F.col("page")).alias("label"))
 
 
 # --- layout, styles, structure
@@ -155,12 +161,12 @@ def body_font_size(s, d):
 
 @query
 def toc_noise_roles(s, d):
-    return layout.contents_and_noise(_blocks(s, d)).groupBy(F.col("retagged").alias("role")).agg(F.count("*").alias("n"))
+    return layout.contents_and_noise(_blocks(s, d)).select("id", F.col("retagged").alias("role"))
 
 
 @query
 def role_counts(s, d):
-    return _blocks(s, d).groupBy("doc_id", F.coalesce("role", F.lit("unknown")).alias("role")).agg(F.count("*").alias("n"))
+    return layout.role_counts(_blocks(s, d)).select("doc_id", F.explode("role_counts").alias("role", "n"))
 
 
 @query
@@ -186,7 +192,10 @@ def breadcrumbs(s, d):
 
 @query
 def backward_jumps(s, d):
-    return structure.backward_jumps(table(s, d, "blocks"))
+    """Jumps of every document as it stands and read from its end, where the numbers fall."""
+    blocks = table(s, d, "blocks")
+    turned = blocks.withColumn("id", F.concat("id", F.lit("-turned"))).withColumn("doc_id", F.concat("doc_id", F.lit("-turned"))).withColumn("ordinal", -F.col("ordinal"))
+    return structure.backward_jumps(blocks.unionByName(turned))
 
 
 @query
@@ -197,9 +206,8 @@ def outline(s, d):
 
 @query
 def document_chars(s, d):
-    """The size of each document's text as it is joined by blank lines."""
-    body = _blocks(s, d).filter("role = 'body'")
-    return body.groupBy("doc_id").agg((F.sum(F.length("text")) + 2 * (F.count("text") - 1)).alias("chars"))
+    """The text of each document, joined by blank lines, by its size and hash."""
+    return structure.document_text(table(s, d, "blocks")).select("doc_id", F.length("text").cast("long").alias("chars"), F.md5(F.encode("text", "UTF-8")).alias("hash"))
 
 
 # --- chunking
@@ -218,8 +226,18 @@ def chunk_pack(s, d):
 
 @query
 def excluded_scopes(s, d):
-    keep = F.col("scope").isNull() | ~F.col("scope").isin("Front matter")
-    return _blocks(s, d).filter("role = 'body'").groupBy("doc_id").agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("excluded"))
+    return chunking.included_blocks(table(s, d, "blocks")).groupBy("doc_id", "scope").agg(F.count("*").alias("kept"))
+
+
+@query
+def chunk_report(s, d):
+    """The report of the run, with what every document must keep: its blocks and its words."""
+    blocks = table(s, d, "blocks")
+    made = cut_lineage(chunking.chunk_documents(blocks))
+    held = made.groupBy("doc_id").agg(F.sum(T.word_count(F.col("text"))).alias("words"), F.countDistinct("scope").alias("scopes"), F.max("token_count").alias("largest"))
+    ids = made.select("doc_id", F.explode("block_ids").alias("b")).groupBy("doc_id").agg(F.countDistinct("b").alias("held_blocks"))
+    report = chunking.chunking_report(blocks, made).select("doc_id", "input_blocks", "excluded_blocks")
+    return report.join(held, "doc_id").join(ids, "doc_id").select("doc_id", "input_blocks", "excluded_blocks", "words", "scopes", (F.col("largest") <= 512).alias("within"), "held_blocks")
 
 
 # --- index
@@ -246,7 +264,7 @@ def index_report(s, d):
 
 @query
 def point_count(s, d):
-    return table(s, d, "chunks").groupBy("doc_id").agg(F.countDistinct("id").alias("points"))
+    return index.point_counts(index.points(table(s, d, "chunks"), "model-1"))
 
 
 # --- retrieval
@@ -266,7 +284,8 @@ def dense_topk(s, d):
 @query
 def dense_topk_filtered(s, d):
     asked, rows = _vectors(s, d)
-    return retrieval.dense_ranking(asked, rows.filter("label IN (1, 3)"), k=10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    named = rows.withColumn("doc_id", F.concat(F.lit("label-"), F.col("label").cast("string")))
+    return retrieval.dense_ranking(asked, retrieval.search_filter(named, doc_ids=["label-1", "label-3"]), k=10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
@@ -326,7 +345,7 @@ def stage_summary(s, d):
 
 @query
 def question_diagnosis(s, d):
-    return evaluation.question_diagnosis(_scores(s, d)).groupBy("diagnosis").agg(F.count("*").alias("n"))
+    return evaluation.question_diagnosis(_scores(s, d))
 
 
 # --- references, context, prompts
@@ -348,17 +367,6 @@ def resolve_references(s, d):
     return references.resolve_references(references.find_references(chunks), chunks)
 
 
-@query
-def resolve_scoped(s, d):
-    """Where the references lead that name paragraph and scope."""
-    chunks = _chunks(s, d)
-    found = references.scoped_references(chunks).filter("target <> 'this annex'").distinct()
-    refs = found.join(chunks.select("id", "doc_id"), "id").select(
-        "id", "doc_id", F.col("target").alias("scope"), "section", F.lit(None).cast("string").alias("figure"), F.concat_ws("/", "target", "section").alias("seq")
-    )
-    return references.resolve_references(refs, chunks).select("id", F.col("seq").alias("reference"), "target_id", "match")
-
-
 def _context(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     chunks = _chunks(s, d)
     return references.build_context(retrieval.final_hits(_pool(s, d), top_k=10), chunks), chunks
@@ -374,8 +382,7 @@ def context_labels(s, d):
     """Labels of the chunks of each document that its golden items name, in document order."""
     named = evaluation.gold_references(_golden(s, d)).select("id", "doc_id", "scope").distinct()
     members = named.join(_chunks(s, d).select("doc_id", "scope", "chunk_index", F.col("id").alias("chunk_id")), ["doc_id", "scope"])
-    rank = F.expr("row_number() over (partition by id order by doc_id, chunk_index)")
-    return members.select("id", F.concat(F.lit("C"), rank.cast("string")).alias("label"), "chunk_id")
+    return members.select("id", references.context_label("id").alias("label"), "chunk_id")
 
 
 @query
@@ -412,7 +419,7 @@ def parse_replies(s, d):
     packed = F.to_json(F.struct("answer", F.transform("citations", lambda c: F.struct(c["chunk_label"].alias("chunk"), c["quote"].alias("quote"))).alias("citations"), "covered"))
     cut = F.when(F.pmod(F.col("prompt_tokens"), F.lit(5)) == 0, F.substring(packed, 1, 20)).otherwise(packed)
     parsed = answers.parse_replies(_results(s, d).select("run_id", "id", "prompt_tokens", cut.alias("reply")))
-    return parsed.groupBy("error").agg(F.count("*").alias("n"), F.count_if("covered").alias("covered"))
+    return parsed.select("run_id", "id", "error", "covered", "answer", F.size("citations").alias("cited"))
 
 
 @query
@@ -473,7 +480,9 @@ def gold_text(s, d):
 
 @query
 def unknown_gold(s, d):
-    return evaluation.unknown_gold_documents(evaluation.gold_references(table(s, d, "golden")), table(s, d, "chunks")).select("id", "ref_no", "doc_id")
+    """Gold references to documents that a collection of those of more than ten pages would lack."""
+    known = _blocks(s, d).groupBy("doc_id").agg(F.max("page_number").alias("pages")).filter("pages > 10")
+    return evaluation.unknown_gold_documents(evaluation.gold_references(table(s, d, "golden")), known).select("id", "ref_no", "doc_id")
 
 
 @query

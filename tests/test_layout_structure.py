@@ -1,4 +1,7 @@
 import random
+import re
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -109,6 +112,86 @@ def test_chunker_on_empty_and_null(spark):
     assert [r["block_ids"] for r in got] == [["d:00001"]]
 
 
+def plain_chunks(doc, texts, paths, config, count):
+    """The definition, word by word: a section that fits is a chunk; of another, its own blocks and then its parts, packed."""
+
+    def head(path):
+        title = path[0].split(": ", 1)[1].split() if ": " in path[0] else []
+        first = path[0] if len(title) <= config.max_scope_title_words else path[0].split(": ", 1)[0] + ": " + " ".join(title[: config.max_scope_title_words]) + "…"
+        return " > ".join([f"{doc} | {first}", *path[1:]])
+
+    def size(unit):
+        common = [x[0] for x in zip(*[paths[b] for b, _ in unit])]
+        depth = next((k for k in range(len(common)) if len({paths[b][k] for b, _ in unit}) > 1), min(len(paths[b]) for b, _ in unit))
+        return count(head(paths[unit[0][0]][:depth]) + "\n\n" + "\n".join(t for _, t in unit))
+
+    def split(b):
+        out = []
+        for sentence in re.split(r"(?<=[.;:])\s+", texts[b]):
+            if size([(b, sentence)]) <= config.max_tokens:
+                out.append([(b, sentence)])
+                continue
+            taken = []
+            for word in sentence.split():
+                if taken and size([(b, " ".join([*taken, word]))]) > config.max_tokens:
+                    out.append([(b, " ".join(taken))])
+                    taken = []
+                taken.append(word)
+            out += [[(b, " ".join(taken))]] if taken else []
+        return out
+
+    def tree(blocks, depth):
+        own, parts = [], []
+        for at, b in enumerate(blocks):
+            if len(paths[b]) == depth:
+                own.append(b)
+            elif at and parts and parts[-1][-1] == blocks[at - 1] and paths[b][: depth + 1] == paths[parts[-1][-1]][: depth + 1]:
+                parts[-1].append(b)
+            else:
+                parts.append([b])
+        ordered = [tree(p, depth + 1) for p in parts]
+        flat = [(b, texts[b]) for b in own] + [x for t in ordered for x in t[1]]
+        if size(flat) <= config.max_tokens:
+            return [flat], flat
+        units = [u for b in own for u in ([[(b, texts[b])]] if size([(b, texts[b])]) <= config.max_tokens else split(b))] + [u for t in ordered for u in t[0]]
+        out = []
+        for u in units:
+            if out:
+                both = size(out[-1] + u)
+                if both <= config.target_tokens or both <= config.max_tokens and min(size(out[-1]), size(u)) < config.min_tokens:
+                    out[-1] = out[-1] + u
+                    continue
+            out.append(u)
+        return out, flat
+
+    return tree(list(range(len(texts))), 1)[0]
+
+
+@pytest.mark.parametrize("count", [chunking.count_words, lambda t: len(t) // 4 + 1], ids=["words", "characters"])
+def test_chunker_equals_its_definition(count):
+    chance = random.Random(8)
+    config = chunking.ChunkerConfig(target_tokens=40, max_tokens=60, min_tokens=20)
+    for _ in range(150):
+        path, texts, paths = ["Annex 1: A title of rather many words that is cut somewhere here"], [], []
+        for _ in range(chance.randint(1, 25)):
+            if chance.random() < 0.4:
+                path = [*path, f"s{chance.randint(1, 3)}"]
+            elif len(path) > 1 and chance.random() < 0.5:
+                path = path[: chance.randint(1, len(path) - 1)]
+            paths.append(tuple(path))
+            texts.append(" ".join(chance.choice(["w", "w.", "long;", "a"]) for _ in range(chance.choice([1, 3, 8, 20, 80]))))
+        run = chunking._Run("d", texts, paths, config, count)
+        assert [list(zip(b, t)) for b, t, _ in chunking.chunk_units(run)] == plain_chunks("d", texts, paths, config, count)
+
+
+def test_scope_titles_come_late(spark):
+    rows = [block(0, "Annex 3", scope="Annex 3", crumbs=["Annex 3"]), block(1, "7. Requirements", scope="Annex 3", number="7", crumbs=["Annex 3: Doors and exits", "7 Requirements"])]
+    got = chunking.chunk_documents(blocks_of(spark, rows)).collect()
+    assert [r["header"] for r in got] == ["d | Annex 3: Doors and exits"]
+    report = chunking.chunking_report(blocks_of(spark, [*rows, block(2, "x", scope="Front matter")]), chunking.chunk_documents(blocks_of(spark, rows))).first()
+    assert (report["input_blocks"], report["excluded_blocks"], report["split_blocks"], report["chunks"]) == (2, 1, 0, 1)
+
+
 def test_pack_additive(spark):
     df = spark.createDataFrame([("d", i, n) for i, n in enumerate([5, 5, 5, 11, 2, 2])], "doc string, at int, size int")
     got = [(r["at"], r["bin"]) for r in chunking.pack_additive(df, ["doc"], "at", "size", 10).orderBy("at").collect()]

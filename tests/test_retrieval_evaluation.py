@@ -97,26 +97,49 @@ def test_index_diff_and_apply(spark):
     assert sorted(r["chunk_id"] for r in after.collect()) == ["doc:0", "doc:1", "doc:2", "other:0"]
 
 
-def test_references():
-    text = "see paragraph 3.3.3. of Annex 5 and Annex 4, Figure 6. Paragraph 7.2 and Annex 8 apply; paragraph 1.1 of this annex too."
-    assert references.references_of(text, "Annex 3") == [
-        ("Annex 5", "3.3.3", None, True), ("Annex 4", None, "Figure 6", True), ("Annex 8", None, None, True), ("Annex 3", "1.1", None, False), ("Annex 3", "7.2", None, False)
-    ]
-    assert references.references_of("Annex 13 - Part 1 and Annex 3", "Annex 3") == []
+REFERRING = [
+    ("see paragraph 3.3.3. of Annex 5 and Annex 4, Figure 6. Paragraph 7.2 and Annex 8 apply; paragraph 1.1 of this annex too.", "Annex 3",
+     [("Annex 5", "3.3.3", None, True), ("Annex 4", None, "Figure 6", True), ("Annex 8", None, None, True), ("Annex 3", "1.1", None, False), ("Annex 3", "7.2", None, False)]),
+    ("Annex 13 - Part 1 and Annex 3", "Annex 3", []),
+    ("paragraph 4.4. of  this\nRegulation, PARAGRAPHS 2.1 TO ANNEX  7 and paragraph 2.1 of Annex 7", "Annex 7", [("Regulation", "4.4", None, True), ("Annex 7", "2.1", None, False)]),
+    ("Annex 5, Figures 12A and Annex 5 again; paragraph 3.3.3. of Annex 5", None, [("Annex 5", "3.3.3", None, True), ("Annex 5", None, "Figure 12A", True), ("Annex 5", None, None, True)]),
+    ("paragraphs 5.. and paragraph 6.1.2.", "Annex 1", [("Annex 1", "6.1.2", None, False)]),
+    (None, "Annex 1", []), ("", "Annex 1", []), ("no place is named", "Annex 1", []),
+]
+
+
+def test_references(spark):
+    df = spark.createDataFrame([(str(i), "d", t, s) for i, (t, s, _) in enumerate(REFERRING)], "id string, doc_id string, text string, scope string")
+    got = {}
+    for r in references.find_references(df).orderBy("id", "seq").collect():
+        got.setdefault(int(r["id"]), []).append((r["scope"], r["section"], r["figure"], r["cross_scope"]))
+    assert {i: got.get(i, []) for i in range(len(REFERRING))} == {i: want for i, (_, _, want) in enumerate(REFERRING)}
+    assert references.find_references(df.limit(0)).count() == 0
+
+
+def test_labels(spark):
+    row = spark.createDataFrame([("d", "Annex 3", ["7.1", "7.2", "7.3"], 4, 6), ("d", None, [], 9, 9)], "doc_id string, scope string, sections array<string>, a int, b int")
+    got = row.select(references.source_line(F.col("doc_id"), F.col("scope"), F.col("sections"), F.col("a"), F.col("b")), references.hit_label(F.col("scope"), F.col("sections"), F.col("a"))).collect()
+    assert [tuple(r) for r in got] == [("d · Annex 3 · 7.1–7.3 · p.4–6", "Annex 3 / 7.1..7.3"), ("d ·  · unnumbered · p.9", " / p.9")]
+    gold = spark.createDataFrame([("Annex 3", "7.1", 4), ("Annex 4", None, 82)], "scope string, section string, page int")
+    assert [r[0] for r in gold.select(references.gold_label(F.col("scope"), F.col("section"), F.col("page"))).collect()] == ["Annex 3 / 7.1", "Annex 4 / p.82"]
 
 
 def test_context(spark):
     schema = "id string, doc_id string, chunk_index int, scope string, sections array<string>, text string, header string"
+    pages = {"page_start": F.lit(3), "page_end": F.lit(4)}
     chunks = spark.createDataFrame(
         [("a", "d", 0, "Annex 3", ["1"], "see paragraph 2.1 of Annex 5 and Annex 4, Figure 6 and Annex 8", "h"), ("b", "d", 1, "Annex 4", [], "Figure 6 shows it", "h"),
          ("c", "d", 2, "Annex 4", [], "Figure 61 does not", "h"), ("e", "d", 3, "Annex 5", ["2.1.1"], "under", "h"), ("f", "d", 4, "Annex 5", ["2.1"], "exact", "h")]
-        + [(f"g{i}", "d", 5 + i, "Annex 8", [], "part", "h") for i in range(3)], schema)
+        + [(f"g{i}", "d", 5 + i, "Annex 8", [], "part", "h") for i in range(3)], schema).withColumns(pages)
     hits = spark.createDataFrame([("q", "a", 1), ("q", "gone", 2)], "query_id string, chunk_id string, final_rank int")
     got = [(r["label"], r["chunk_id"], r["origin"]) for r in references.build_context(hits, chunks).orderBy("label").collect()]
     assert got == [("C1", "a", "retrieved"), ("C2", "b", "reference"), ("C3", "f", "reference")], "Annex 8 has more than two chunks"
     prompt = references.render_prompts(spark.createDataFrame([("q", "Why?"), ("p", "What?")], "query_id string, question string"), references.build_context(hits, chunks), chunks)
     said = {r["query_id"]: r["prompt"] for r in prompt.collect()}
-    assert said["q"].index("C1") < said["q"].index("C3") < said["q"].index("Question: Why?") and said["p"].startswith("Question: What?")
+    assert said["q"].index("C1") < said["q"].index("C3") < said["q"].index("Question: Why?")
+    assert said["p"].startswith("Regulation excerpts:\n\nQuestion: What?\n\nRespond with a JSON object: {")
+    assert '<chunk id="C2" source="d · Annex 4 · unnumbered · p.3–4">\nh\nFigure 6 shows it\n</chunk>\n\n' in said["q"]
 
 
 def test_citations_and_replies(spark):
