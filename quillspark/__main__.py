@@ -8,8 +8,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import models
-from quillspark.operators import evaluation, layout, retrieval
+from quillspark.operators import answers, evaluation, layout, retrieval
 from quillspark.plans import pipeline
+from quillspark.session import cut_lineage
 from quillspark.sources import store
 
 
@@ -19,6 +20,8 @@ def main(argv: list[str] | None = None) -> int:
     for name, args in {
         "ingest": ["raw", "out"], "chunk": ["blocks", "out"], "index": ["chunks", "index", "out"], "search": ["chunks", "question"], "inspect": ["blocks", "document"],
         "check": ["golden", "chunks"], "eval": ["golden", "chunks", "out", "run"],
+        "ask": ["chunks", "question", "url", "model"], "eval-generation": ["golden", "chunks", "blocks", "cache", "out", "run", "url", "model", "judge_model"],
+        "label": ["results", "labels", "out"],
     }.items():
         job = jobs.add_parser(name)
         for arg in args:
@@ -57,6 +60,18 @@ def main(argv: list[str] | None = None) -> int:
         found = pipeline.evaluate_retrieval(read(ask.golden), read(ask.chunks))
         store.save_run(found["scores"], ask.out, ask.run)
         found["summary"].orderBy("stage", "type", "lang").show(200, False)
+    elif ask.job == "ask":
+        asked = spark.createDataFrame([("q", ask.question)], "query_id string, question string")
+        pipeline.ask(asked, read(ask.chunks), models.ChatEndpoint(ask.url, ask.model)).show(1, False, True)
+    elif ask.job == "eval-generation":
+        judge = models.ChatEndpoint(ask.url, ask.judge_model, system=answers.JUDGE_PROMPT)
+        results, new = pipeline.evaluate_generation(read(ask.golden), read(ask.chunks), read(ask.blocks), models.ChatEndpoint(ask.url, ask.model), judge, read(ask.cache), ask.judge_model)
+        results = cut_lineage(results)
+        store.append_rows(new, ask.cache)
+        store.save_run(results, ask.out, ask.run)
+        results.groupBy("outcome").agg(F.count("*").alias("n"), F.avg("score").alias("score")).show()
+    elif ask.job == "label":
+        evaluation.judge_disagreements(read(ask.results), read(ask.labels)).write.mode("overwrite").parquet(ask.out)
     return 0
 
 

@@ -66,6 +66,55 @@ class HashingEmbedder:
         return out
 
 
+def pooled_weights(token_ids: list[int], weights: list[float], special: frozenset[int] | set[int]) -> dict[int, float]:
+    """The greatest positive weight of each token; special tokens and those without weight are left out."""
+    best: dict[int, float] = {}
+    for token, weight in sorted(zip(token_ids, weights), key=lambda x: x[1]):
+        if weight > 0 and token not in special:
+            best[int(token)] = float(weight)
+    return best
+
+
+class OnnxEmbedder:
+    """Dense and sparse vectors of an exported encoder: the first position scaled to length 1, and a weight per token
+    from a linear layer over all positions.
+
+    ``session`` runs ``input_ids, attention_mask`` to the hidden states (``onnxruntime.InferenceSession`` of a model
+    file, or a stand-in), ``tokenizer`` is a ``tokenizers.Tokenizer``, ``sparse`` the weights and bias of the layer.
+    """
+
+    def __init__(self, session, tokenizer, model_id: str, sparse: tuple[np.ndarray, float] | None = None, max_length: int = 8192, special: tuple[int, ...] = (0, 1, 2, 3)):
+        self.session, self.tokenizer, self.model_id, self.sparse, self.special = session, tokenizer, model_id, sparse, frozenset(special)
+        tokenizer.enable_truncation(max_length)
+        tokenizer.enable_padding()
+
+    def embed(self, texts: list[str]) -> list[tuple[list[float], dict[int, float]]]:
+        coded = self.tokenizer.encode_batch(texts)
+        ids, mask = np.array([c.ids for c in coded], dtype=np.int64), np.array([c.attention_mask for c in coded], dtype=np.int64)
+        hidden = np.asarray(self.session.run(None, {"input_ids": ids, "attention_mask": mask})[0], dtype=np.float64)
+        first = hidden[:, 0]
+        dense = first / np.maximum(np.linalg.norm(first, axis=1, keepdims=True), 1e-12)
+        weights = np.zeros(ids.shape) if self.sparse is None else np.maximum(hidden @ self.sparse[0] + self.sparse[1], 0) * mask
+        return [(d.tolist(), pooled_weights(i.tolist(), w.tolist(), self.special)) for d, i, w in zip(dense, ids, weights)]
+
+
+class OnnxReranker:
+    """Scores of an exported cross-encoder. A pair over the length loses the end of its passage, never of its query."""
+
+    def __init__(self, session, tokenizer, model_id: str, max_length: int = 1024, batch: int = 16):
+        self.session, self.tokenizer, self.model_id, self.batch = session, tokenizer, model_id, batch
+        tokenizer.enable_truncation(max_length, strategy="only_second")
+        tokenizer.enable_padding()
+
+    def score(self, query: str, passages: list[str]) -> list[float]:
+        out: list[float] = []
+        for at in range(0, len(passages), self.batch):
+            coded = self.tokenizer.encode_batch([(query, p) for p in passages[at : at + self.batch]])
+            feed = {"input_ids": np.array([c.ids for c in coded], dtype=np.int64), "attention_mask": np.array([c.attention_mask for c in coded], dtype=np.int64)}
+            out += np.asarray(self.session.run(None, feed)[0], dtype=np.float64).reshape(len(coded)).tolist()
+        return out
+
+
 def embed_texts(df: DataFrame, make: Callable[[], Embedder], dims: int, text: str = "embed_text", batch: int = 32) -> DataFrame:
     """Adds ``dense`` and ``sparse``; the model is made on first use in each task, so empty input never loads it.
 
@@ -111,11 +160,12 @@ def rerank_pairs(df: DataFrame, make: Callable[[], Reranker], query: str = "quer
 class ChatEndpoint:
     """An OpenAI-compatible chat endpoint at temperature 0, optionally bound to a JSON schema."""
 
-    def __init__(self, url: str, model: str, timeout: float = 120.0, max_tokens: int = 1024, key: str | None = None):
+    def __init__(self, url: str, model: str, timeout: float = 120.0, max_tokens: int = 1024, key: str | None = None, system: str | None = None):
+        self.system = system
         self.url, self.model, self.timeout, self.max_tokens, self.key = url, model, timeout, max_tokens, key
 
     def __call__(self, prompt: str, schema: str | None = None) -> str:
-        body = {"model": self.model, "temperature": 0, "max_tokens": self.max_tokens, "messages": [{"role": "user", "content": prompt}]}
+        body = {"model": self.model, "temperature": 0, "max_tokens": self.max_tokens, "messages": [*([{"role": "system", "content": self.system}] if self.system else []), {"role": "user", "content": prompt}]}
         if schema:
             body["response_format"] = {"type": "json_schema", "json_schema": {"name": "reply", "schema": json.loads(schema)}}
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
@@ -141,8 +191,3 @@ def ask(prompts: DataFrame, call: Callable[[str], str], prompt: str = "prompt")
             yield part.assign(reply=replies, call_error=errors)
 
     return prompts.mapInPandas(run, schema)
-
-
-def judge_consistency(verdicts: DataFrame) -> DataFrame:
-    """``judged, share``: how often a second verdict equals the first (``first``, ``second``)."""
-    return verdicts.agg(F.count("*").alias("judged"), F.avg((F.col("first") == F.col("second")).cast("double")).alias("share"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import references
 
 KS = (5, 10, 20)
 FINAL_K = 5
@@ -116,10 +117,17 @@ def citation_precision(citations: DataFrame, refs: DataFrame) -> DataFrame:
     return n.join(m, ["run_id", "id"], "left").select("run_id", "id", (F.coalesce("m", F.lit(0)) / F.col("n")).alias("citation_precision"))
 
 
-def percentile_at(values: Column, q: float) -> Column:
-    """The value at place ``int(q * n)`` of the ordered values."""
-    n = F.size(values)
-    return F.get(F.sort_array(values), F.least(n - 1, F.floor(F.lit(q) * n).cast("int")))
+def percentiles(rows: DataFrame, by: str, measures: dict[str, tuple[Column, float]]) -> DataFrame:
+    """``by`` and one column per measure: the value at place ``int(q * n)`` of a group's values in order.
+
+    Values are counted first, and places are found among the distinct ones; no group is collected. Nulls do not count.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"), F.lit(q).alias("q")) for name, (value, q) in measures.items()])).alias("x")
+    counted = rows.select(by, each).select(by, "x.*").filter("value IS NOT NULL").groupBy(by, "name", "q", "value").agg(F.count("*").alias("k"))
+    group = Window.partitionBy(by, "name")
+    placed = counted.withColumn("last", F.sum("k").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(group))
+    found = placed.filter(F.col("last") > F.least(F.col("n") - 1, F.floor(F.col("q") * F.col("n")))).groupBy(by, "name").agg(F.min("value").alias("value"))
+    return found.groupBy(by).agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in measures])
 
 
 def generation_summary(results: DataFrame, by: str = "run_id", steps: tuple[str, ...] = ("retrieve", "llm"), model_step: str = "llm") -> DataFrame:
@@ -140,7 +148,9 @@ def generation_summary(results: DataFrame, by: str = "run_id", steps: tuple[str,
         total = total + step(name)
     cites = F.col("citations")
     good = F.size(F.filter(cites, lambda c: F.coalesce(c["verified"], F.lit(False))))
-    return rows.groupBy(by).agg(
+    places = percentiles(rows, by, {"latency_p50": (total, 0.5), "latency_p95": (total, 0.95), "llm_p50": (step(model_step), 0.5)})
+    places = places.select(F.col(by).alias("__by"), *[F.round(c, 1).alias(c) for c in ("latency_p50", "latency_p95", "llm_p50")])
+    summed = rows.groupBy(by).agg(
         F.count("*").alias("n"), F.count_if(yes).alias("answerable"), mean("score", yes).alias("answer_score"),
         verdict("correct").alias("correct"), verdict("partial").alias("partial"), verdict("incorrect").alias("incorrect"),
         rate(F.col("judge.overstated"), judged).alias("overstated_rate"), rate(F.col("judge.missing_condition"), judged).alias("missing_condition_rate"),
@@ -150,22 +160,31 @@ def generation_summary(results: DataFrame, by: str = "run_id", steps: tuple[str,
         F.round(F.sum(F.greatest(good, F.lit(0))) / F.nullif(F.sum(F.greatest(F.size(cites), F.lit(0))), F.lit(0)), 3).alias("citation_verified_rate"),
         mean("citation_precision", yes).alias("citation_precision"), mean("context_recall", yes).alias("context_recall"),
         F.count_if(F.col("outcome").isin("error", "judge_error")).alias("errors"),
-        F.round(percentile_at(F.collect_list(total), 0.5), 1).alias("latency_p50"), F.round(percentile_at(F.collect_list(total), 0.95), 1).alias("latency_p95"),
-        F.round(percentile_at(F.collect_list(step(model_step)), 0.5), 1).alias("llm_p50"), F.round(F.avg("completion_tokens"), 3).alias("completion_tokens_mean"),
+        F.round(F.avg("completion_tokens"), 3).alias("completion_tokens_mean"),
     )
+    return summed.join(places, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
 
 
-def judge_agreement(results: DataFrame, labels: DataFrame) -> DataFrame:
-    """``compared, verdict, overstated, missing_condition``: shares in which judge and labels agree.
-
-    Labels belong to an answer (``id, answer_hash``); of several the last by ``seq`` holds.
-    """
+def labelled_results(results: DataFrame, labels: DataFrame) -> DataFrame:
+    """Judged results with ``label``, the last by ``seq`` that people gave the same answer (``id, answer_hash``)."""
     last = labels.groupBy("id", "answer_hash").agg(F.max_by(F.struct("verdict", "overstated", "missing_condition"), "seq").alias("label"))
-    both = results.filter("judge IS NOT NULL").join(last, ["id", "answer_hash"])
+    return results.filter("judge IS NOT NULL").join(last, ["id", "answer_hash"])
+
+
+def judge_agreement(results: DataFrame, labels: DataFrame) -> DataFrame:
+    """``compared, verdict, overstated, missing_condition``: shares in which judge and labels agree."""
+    both = labelled_results(results, labels)
     same = lambda f: F.round(F.avg((F.col(f"judge.{f}").eqNullSafe(F.col(f"label.{f}"))).cast("double")), 3)
     return both.agg(F.count("*").alias("compared"), same("verdict").alias("verdict"), same("overstated").alias("overstated"), same("missing_condition").alias("missing_condition"))
 
 
+def judge_disagreements(results: DataFrame, labels: DataFrame) -> DataFrame:
+    """``run_id, id, disagreement``: each verdict that people saw otherwise, with both and the judge's reasons in short."""
+    other = labelled_results(results, labels).filter(~F.col("judge.verdict").eqNullSafe(F.col("label.verdict")))
+    line = F.concat("id", F.lit(": human="), F.coalesce("label.verdict", F.lit("")), F.lit(" judge="), F.coalesce("judge.verdict", F.lit("")), F.lit(" ("), F.substring(F.coalesce("judge.explanation", F.lit("")), 1, 80), F.lit(")"))
+    return other.select("run_id", "id", line.alias("disagreement"))
+
+
 def golden_profile(golden: DataFrame, columns: tuple[str, ...] = ("status", "type", "lang", "source", "split")) -> DataFrame:
     """``field, value, n``: how many items have each value of each column, in one pass."""
     rows = golden.dropDuplicates(["id"]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in columns])).alias("x"))
@@ -199,17 +218,64 @@ def gold_text(blocks: DataFrame, refs: DataFrame) -> DataFrame:
     """``id, ref_no, text``: the body text that each gold reference names.
 
     Unnumbered blocks go with the number before them while the scope lasts; page references take the page's blocks of
-    the scope. One running frame a document, then an equality join on document and scope.
+    the scope. One running frame a document; then each block stands for the numbers over it and for its page, so that an
+    equality join on document, scope and place makes a pair only where it is wanted.
     """
     body = blocks.filter("role = 'body'").dropDuplicates(["id"])
     order = Window.partitionBy("doc_id").orderBy("ordinal")
     moved = (~F.col("scope").eqNullSafe(F.lag("scope").over(order))).cast("int")
     run = body.withColumn("moved", moved).withColumn("stay", F.sum("moved").over(order))
     carried = run.withColumn("under", F.last("section_number", ignorenulls=True).over(Window.partitionBy("doc_id", "stay").orderBy("ordinal")))
-    met = carried.alias("b").join(refs.alias("g"), (F.col("b.doc_id") == F.col("g.doc_id")) & F.col("b.scope").eqNullSafe(F.col("g.scope")))
-    inside = F.when(F.col("g.section").isNotNull(), F.coalesce(T.covers(F.col("b.under"), F.col("g.section")), F.lit(False))).otherwise(F.coalesce(F.col("b.page_number") == F.col("g.page"), F.lit(False)))
+    # a numbered block stands under its own number and those over it; a block of any kind on its page
+    own = carried.select("doc_id", F.coalesce("scope", F.lit("")).alias("scope_key"), "ordinal", "text", "under", F.concat(F.lit("p"), F.col("page_number").cast("string")).alias("page_key"))
+    parts = F.split("under", r"\.")
+    over = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("s"), F.array_join(F.slice(parts, F.lit(1), n), ".")))
+    places = F.array_compact(F.concat(F.coalesce(F.when(F.col("under").isNotNull(), over), F.array().cast("array<string>")), F.array("page_key")))
+    placed = own.select("doc_id", "scope_key", "ordinal", "text", F.explode(F.array_distinct(places)).alias("place"))
+    sought = F.coalesce(F.concat(F.lit("s"), F.col("section")), F.concat(F.lit("p"), F.col("page").cast("string")))
+    asked = refs.select("id", "ref_no", "doc_id", F.coalesce("scope", F.lit("")).alias("scope_key"), sought.alias("place"))
+    # the texts of one gold reference
     parts = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
-    return met.filter(inside).groupBy(F.col("g.id").alias("id"), F.col("g.ref_no").alias("ref_no")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
+    met = placed.join(asked, ["doc_id", "scope_key", "place"])
+    return met.groupBy("id", "ref_no").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
+
+
+def question_records(ranked: DataFrame, golden: DataFrame, chunks: DataFrame, scores: DataFrame, final_k: int = FINAL_K) -> DataFrame:
+    """The record of each question asked: ``query_id, type, lang, split, question, top1_rerank, top_hits, stages,
+    diagnosis``.
+
+    ``ranked``: the pool with final ranks and rerank scores; ``scores``: of each stage (see ``stage_scores``). A question
+    without gold has no stages and no diagnosis, one without hits no score.
+    """
+    kept = ranked.filter(F.col("is_candidate") & (F.col("final_rank") <= final_k)).select("query_id", "chunk_id", "final_rank", "rerank_score")
+    fields = chunks.select(F.col("id").alias("chunk_id"), references.hit_label(F.col("scope"), F.col("sections"), F.col("page_start")).alias("label")).dropDuplicates(["chunk_id"])
+    # at most final_k rows a question
+    named = F.array_sort(F.collect_list(F.struct("final_rank", "label")))
+    tops = kept.join(fields, "chunk_id").groupBy("query_id").agg(F.max(F.when(F.col("final_rank") == 1, F.col("rerank_score"))).alias("top1_rerank"), F.transform(named, lambda h: h["label"]).alias("top_hits"))
+    measures = [c for c in scores.columns if c not in ("query_id", "stage")]
+    stages = scores.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("stage"), F.struct(*measures).alias("score"))))).alias("stages"))
+    items = golden.dropDuplicates(["id"]).select(F.col("id").alias("query_id"), "type", "lang", "split", "question")
+    asked = items.join(ranked.select("query_id").distinct(), "query_id", "left_semi")
+    joined = asked.join(tops, "query_id", "left").join(stages, "query_id", "left").join(question_diagnosis(scores), "query_id", "left")
+    none = F.array().cast("array<string>")
+    return joined.select("query_id", "type", "lang", "split", "question", "top1_rerank", F.coalesce("top_hits", none).alias("top_hits"), "stages", "diagnosis")
+
+
+def gold_evidence(gold_texts: DataFrame, refs: DataFrame) -> DataFrame:
+    """``id, evidence``: the gold texts of each item under their labels, in order; a reference without text has its label."""
+    named = refs.join(gold_texts, ["id", "ref_no"], "left")
+    part = F.concat(F.lit("["), references.gold_label(F.col("scope"), F.col("section"), F.col("page")), F.lit("]\n"), F.coalesce("text", F.lit("")))
+    # the references of one item
+    parts = F.array_sort(F.collect_list(F.struct("ref_no", part.alias("t"))))
+    return named.groupBy("id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("evidence"))
+
+
+def context_recall(context: DataFrame, refs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``id, context_recall``: the share of an item's gold references that any chunk of its context satisfies."""
+    fields = chunks.select(F.col("id").alias("chunk_id"), "doc_id", "scope", "sections", "page_start", "page_end").dropDuplicates(["chunk_id"])
+    met = hit_matches(context.select("query_id", "chunk_id").join(fields, "chunk_id"), refs).select(F.col("query_id").alias("id"), "ref_no").distinct()
+    found = met.groupBy("id").agg(F.count("*").alias("found"))
+    return refs.groupBy("id").agg(F.count("*").alias("n")).join(found, "id", "left").select("id", (F.coalesce("found", F.lit(0)) / F.col("n")).alias("context_recall"))
 
 
 def judge_input(question: Column, reference: Column, evidence: Column, answer: Column, citations: Column) -> Column:

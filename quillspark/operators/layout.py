@@ -62,7 +62,7 @@ def furniture(blocks: DataFrame, pages: DataFrame | None = None, config: LayoutC
     A line whose pattern repeats in its edge band is furniture; the depth that the repeated lines of a document reach
     then takes in what else stands as near to the edge. The learned tables are one row a pattern or document.
     """
-    zoned = edge_zone(with_page_size(blocks, pages, config), config).withColumn("pattern", T.pattern_key(F.col("text")))
+    zoned = edge_zone(with_page_size(blocks, pages, config), config).withColumn("pattern", T.pattern_key(F.when(F.col("edge").isNotNull(), F.col("text"))))
     marks = repeated_patterns(zoned, config).select("doc_id", "edge", "edge_band", "pattern", F.lit(True).alias("repeats"))
     seen = zoned.join(marks, ["doc_id", "edge", "edge_band", "pattern"], "left")
     depth = seen.filter("repeats").groupBy("doc_id").agg(

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 
-MAX_DEPTH = 8
-
 
 @dataclass(frozen=True)
 class ScopeProfile:
@@ -40,11 +38,14 @@ def section_events(blocks: DataFrame, profile: ScopeProfile = ScopeProfile()) ->
     events = events.withColumn("segment", F.when(F.col("annexes") > 0, F.col("annexes") + 1).otherwise(late).cast("int"))
     named = F.last("heads", ignorenulls=True).over(run)
     events = events.withColumn("scope_now", F.when(F.col("annexes") > 0, named).when(F.col("numbers") > 0, profile.main).otherwise(profile.front))
-    rest = T.strip(F.regexp_replace("text", r"^\s*\p{Nd}+(?:\.\p{Nd}+)*\.", ""))
+    # only numbered blocks have a label, so only their texts are looked through
+    rest = T.strip(F.regexp_replace(F.when(F.col("number").isNotNull(), F.col("text")), r"^\s*\p{Nd}+(?:\.\p{Nd}+)*\.", ""))
+    events = events.withColumn("rest", rest)
+    rest = F.col("rest")
     title = (F.coalesce("heading_level", F.lit(0)) > 0) | T.is_label(rest, profile.max_label_chars)
     events = events.withColumn("is_title", F.col("number").isNotNull() & title)
     label = F.when(F.col("is_title"), rest).otherwise(T.short_label(rest))
-    return events.withColumn("label", F.when(F.col("number").isNotNull(), F.concat(F.col("number"), F.lit(" "), label)))
+    return events.withColumn("label", F.when(F.col("number").isNotNull(), F.concat(F.col("number"), F.lit(" "), label))).drop("rest")
 
 
 def scopes(blocks: DataFrame, profile: ScopeProfile = ScopeProfile()) -> DataFrame:
@@ -79,21 +80,24 @@ def breadcrumbs(blocks: DataFrame, profile: ScopeProfile = ScopeProfile()) -> Da
     """``doc_id, id, ordinal, scope, section, crumbs``: the open sections of each body block.
 
     A numbered block is open until one comes that does not lie under it. So the crumb of depth k is the last label of
-    depth k within the run of numbered blocks that share their first k parts.
+    depth k within the run of numbered blocks that share their first k parts. The depths are those found in the blocks,
+    which one small job counts first.
     """
     events = section_events(blocks, profile).withColumn("path", T.number_path(F.col("number")))
+    numbers = T.section_number(F.col("text"))
+    deepest = blocks.filter("role = 'body'").agg(F.max(F.size(F.split(numbers, r"\.")))).first()[0] or 0
     run = _running("doc_id", "segment")
     before = F.last("path", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1))
     events = events.withColumn("earlier", before)
-    for k in range(1, MAX_DEPTH + 1):
+    for k in range(1, deepest + 1):
         cut = F.col("path").isNotNull() & (F.col("earlier").isNull() | (F.size("path") < k) | ~F.slice("path", 1, k).eqNullSafe(F.slice("earlier", 1, k)))
         events = events.withColumn(f"run{k}", F.sum(cut.cast("int")).over(run))
     # the last label of each depth with the run it stands in; all frames share one sort
-    for k in range(1, MAX_DEPTH + 1):
+    for k in range(1, deepest + 1):
         mark = F.when(F.size("path") == k, F.struct(F.col(f"run{k}").alias("run"), F.col("label").alias("label")))
         events = events.withColumn(f"last{k}", F.last(mark, ignorenulls=True).over(run))
     # a label is open while the latest number starts with its own
-    crumbs = F.array_compact(F.array(*[F.when(F.col(f"last{k}.run") == F.col(f"run{k}"), F.col(f"last{k}.label")) for k in range(1, MAX_DEPTH + 1)]))
+    crumbs = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.col(f"last{k}.run") == F.col(f"run{k}"), F.col(f"last{k}.label")) for k in range(1, deepest + 1)]))
     return events.select("doc_id", "id", "ordinal", F.col("scope_now").alias("scope"), "number", "is_title", crumbs.alias("crumbs"))
 
 

@@ -82,7 +82,9 @@ _SCORES = (
     "FROM grid CROSS JOIN (VALUES ('dense'), ('sparse'), ('fused'), ('reranked')) s(stage) LEFT JOIN per USING (query_id, stage))"
 )
 _SWEEP = (
-    _RESULTS + ", x AS (SELECT round(prompt_tokens / 4096.0::DOUBLE, 6) AS t, answerable FROM r WHERE prompt_tokens IS NOT NULL AND answerable IS NOT NULL), "
+    _RESULTS + ", " + _CHUNKS + f", ct AS (SELECT id AS chunk_id, list_distinct({_TOKENS.format('coalesce(embed_text, $p$$p$)')}) AS ws FROM c), "
+    f"cd AS (SELECT run_id, id, list_distinct({_TOKENS.format('question')}) AS q, answerable, unnest(CASE WHEN len(citations) > 0 THEN citations ELSE [NULL] END).chunk_id AS chunk_id FROM r), "
+    "x AS (SELECT run_id, id, answerable, max(len(list_intersect(q, ws)))::DOUBLE AS t FROM cd JOIN ct USING (chunk_id) WHERE answerable IS NOT NULL AND q IS NOT NULL GROUP BY ALL), "
     "k AS (SELECT t AS threshold, count(*) FILTER (WHERE answerable) AS p, count(*) FILTER (WHERE NOT answerable) AS n FROM x GROUP BY t), "
     "sw AS (SELECT threshold, round(((sum(p) OVER () - (sum(p) OVER (ORDER BY threshold) - p)) / sum(p) OVER () + (sum(n) OVER (ORDER BY threshold) - n) / sum(n) OVER ()) / 2, 9) AS accuracy FROM k)"
 )
@@ -239,7 +241,7 @@ ORACLES: dict[str, str] = {
     "not_fully_correct": f"WITH {_RESULTS} SELECT run_id, outcome, count(*) AS n FROM r WHERE score IS NULL OR score < 1 GROUP BY ALL",
     "role_samples": f"WITH {_BLOCKS}, f AS (SELECT doc_id, role, text, min(ordinal) AS first_at FROM b GROUP BY ALL) SELECT doc_id, role, text, row_number() OVER (PARTITION BY doc_id, role ORDER BY first_at, text)::INT AS n FROM f QUALIFY n <= 5",
     "judge_cache_keys": f"WITH {_RESULTS}, k AS (SELECT question, coalesce(answer, '') AS a, count(*) AS uses FROM r GROUP BY ALL) SELECT uses, count(*) AS keys FROM k GROUP BY uses",
-    "parse_replies": f"WITH {_RESULTS}, k AS (SELECT *, answer IS NULL OR covered IS NULL OR coalesce(prompt_tokens % 5 = 0, false) AS bad FROM r) SELECT run_id, id, CASE WHEN bad THEN 'invalid_reply' END AS error, CASE WHEN bad THEN false ELSE covered END AS covered, CASE WHEN bad THEN '' ELSE answer END AS answer, CASE WHEN bad THEN 0 ELSE coalesce(len(citations), 0) END::INT AS cited FROM k",
+    "parse_replies": f"WITH {_RESULTS}, k AS (SELECT *, answer IS NULL OR covered IS NULL OR coalesce(prompt_tokens % 5 = 0, false) AS bad FROM r) SELECT run_id, id, CASE WHEN coalesce(prompt_tokens % 5 = 0, false) THEN 'JSONDecodeError' WHEN bad THEN 'ValidationError' END AS error, CASE WHEN bad THEN false ELSE covered END AS covered, CASE WHEN bad THEN '' ELSE answer END AS answer, CASE WHEN bad THEN 0 ELSE coalesce(len(citations), 0) END::INT AS cited FROM k",
     "verify_citations": f"WITH {_RESULTS}, {_CHUNKS}, t AS (SELECT run_id, id, citations, unnest(range(1, len(citations) + 1)) AS k FROM r), e AS (SELECT run_id, id, (k - 1)::INT AS seq, citations[k].chunk_id AS chunk_id, citations[k].quote AS quote FROM t) "
     f"SELECT e.run_id, e.id, e.seq, coalesce({_match('e.quote')} <> '' AND contains({_match('c.text')}, {_match('e.quote')}), false) AS verified FROM e LEFT JOIN c ON c.id = e.chunk_id",
     "scope_titles": f"WITH {_EVENTS}, t AS (SELECT *, first_value(CASE WHEN heads IS NOT NULL THEN heading_level END IGNORE NULLS) OVER (PARTITION BY doc_id, segment ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS lv FROM ev WHERE segment > 0), "
@@ -253,4 +255,9 @@ ORACLES: dict[str, str] = {
     "prompt_render": f"WITH {_CONTEXT}, tag AS (SELECT query_id, substr(label, 2)::INT AS n, '<chunk id=\"' || label || '\" source=\"' || replace(replace(replace({_SOURCE}, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;') || '\">' || chr(10) || coalesce(header, '') || chr(10) || coalesce(text, '') || chr(10) || '</chunk>' || chr(10) || chr(10) AS t "
     "FROM (SELECT ctx.query_id, ctx.label, c.* FROM ctx JOIN c ON c.id = ctx.chunk_id)), j AS (SELECT query_id, string_agg(t, '' ORDER BY n) AS body FROM tag GROUP BY query_id) "
     "SELECT q.query_id, 'Regulation excerpts:' || chr(10) || chr(10) || coalesce(body, '') || 'Question: ' || q.query || chr(10) || chr(10) || 'Respond with a JSON object: {\"answer\": \"\\u2026\", \"citations\": [{\"chunk\": \"C1\", \"quote\": \"\\u2026\"}], \"covered\": true}' AS prompt FROM q LEFT JOIN j USING (query_id)",
+    "judge_disagreements": f"WITH {_RESULTS} SELECT run_id, id, id || ': human=' || l.v || ' judge=' || judge.verdict || ' (' || substr(coalesce(judge.explanation, ''), 1, 80) || ')' AS disagreement FROM r JOIN (SELECT id, answer_hash, arg_max(CASE WHEN coalesce(prompt_tokens % 3 = 0, false) THEN 'incorrect' ELSE judge.verdict END, run_id) AS v FROM r WHERE judge IS NOT NULL GROUP BY ALL) l USING (id, answer_hash) WHERE judge IS NOT NULL AND judge.verdict IS DISTINCT FROM l.v",
+    "parse_verdicts": f"WITH {_RESULTS}, k AS (SELECT *, coalesce(prompt_tokens % 5 = 0, false) OR judge.verdict IS NULL AS bad FROM r WHERE judge IS NOT NULL) SELECT run_id, id, CASE WHEN NOT bad THEN judge.verdict END AS verdict, CASE WHEN NOT bad THEN coalesce(judge.overstated, false) END AS overstated, bad AS failed FROM k",
+    "question_records": f"WITH {_SCORES}, w AS (SELECT query_id, max(CASE WHEN stage = 'fused' THEN first_rank END) AS f, max(CASE WHEN stage = 'reranked' THEN first_rank END) AS l, max(CASE WHEN stage = 'fused' THEN recall_20 END) AS r20 FROM scores GROUP BY query_id), "
+    "tops AS (SELECT p.query_id, max(CASE WHEN final_rank = 1 THEN rerank_score END) AS top1_rerank, string_agg(coalesce(c.scope, '') || ' / ' || CASE WHEN len(c.sections) > 0 THEN c.sections[1] || '..' || c.sections[-1] ELSE 'p.' || c.page_start END, '; ' ORDER BY final_rank) AS top_hits FROM pool p JOIN c ON c.id = p.chunk_id WHERE is_candidate AND final_rank <= 5 GROUP BY p.query_id) "
+    "SELECT q.query_id, g.type, g.split, top1_rerank, coalesce(top_hits, '') AS top_hits, round(r20, 6) AS fused_recall_20, CASE WHEN w.query_id IS NULL THEN NULL WHEN l <= 5 THEN 'ok' WHEN f IS NULL THEN 'not_retrieved' WHEN f > 20 THEN 'below_cutoff' ELSE 'lost_in_rerank' END AS diagnosis FROM q JOIN g ON g.id = q.query_id LEFT JOIN tops USING (query_id) LEFT JOIN w USING (query_id)",
 }

@@ -445,8 +445,11 @@ def citation_precision(s, d):
 
 
 def _scored_results(s: SparkSession, d: str) -> DataFrame:
-    """Results with a score to divide by: the share of the prompt in a context window."""
-    return _results(s, d).withColumn("top_score", F.round(F.col("prompt_tokens") / 4096, 6))
+    """Results with a score to divide by: the words of its question that the best cited chunk holds."""
+    cited = _results(s, d).select("run_id", "id", "question", "answerable", F.explode_outer("citations.chunk_id").alias("chunk_id"))
+    held = cited.join(_chunks(s, d).select(F.col("id").alias("chunk_id"), F.coalesce("embed_text", F.lit("")).alias("passage")), "chunk_id", "left")
+    score = F.when(F.col("passage").isNotNull(), retrieval.word_overlap(F.col("question"), F.col("passage")))
+    return held.withColumn("score", score).groupBy("run_id", "id", "answerable").agg(F.max("score").alias("top_score"))
 
 
 @query
@@ -468,6 +471,33 @@ def judge_agreement(s, d):
     return evaluation.judge_agreement(r, labels)
 
 
+@query
+def judge_disagreements(s, d):
+    """Against labels that call every third answer incorrect."""
+    r = _results(s, d).filter("judge IS NOT NULL")
+    other = F.when(F.pmod(F.col("prompt_tokens"), F.lit(3)) == 0, "incorrect").otherwise(F.col("judge.verdict"))
+    labels = r.select("id", "answer_hash", F.col("run_id").alias("seq"), other.alias("verdict"), "judge.overstated", "judge.missing_condition")
+    return evaluation.judge_disagreements(r, labels)
+
+
+@query
+def parse_verdicts(s, d):
+    """Judges' replies as they would come in, every fifth cut off."""
+    r = _results(s, d).filter("judge IS NOT NULL")
+    reply = F.to_json("judge")
+    cut = F.when(F.pmod(F.col("prompt_tokens"), F.lit(5)) == 0, F.substring(reply, 1, 15)).otherwise(reply)
+    return answers.parse_verdicts(r.select("run_id", "id", cut.alias("reply"))).select("run_id", "id", "judge.verdict", "judge.overstated", F.col("judge_error").isNotNull().alias("failed"))
+
+
+@query
+def question_records(s, d):
+    pool = cut_lineage(_pool(s, d))
+    golden, chunks = _golden(s, d), _chunks(s, d)
+    refs = evaluation.gold_references(golden).join(_questions(s, d).select(F.col("query_id").alias("id")), "id", "left_semi")
+    found = evaluation.question_records(pool, golden, chunks, evaluation.stage_scores(retrieval.stage_rankings(pool), refs, chunks))
+    return found.select("query_id", "type", "split", "top1_rerank", F.array_join("top_hits", "; ").alias("top_hits"), F.round("stages.fused.recall_20", 6).alias("fused_recall_20"), "diagnosis")
+
+
 @query
 def golden_profile(s, d):
     return evaluation.golden_profile(table(s, d, "golden"))

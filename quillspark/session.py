@@ -26,13 +26,19 @@ def local_session(app: str = "quillspark", cpus: int = 8, partitions: int = 8) -
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only when that is unset (local tests)
-    is a temporary one made.
+    The folder is the cluster's ``spark.checkpoint.dir``. A temporary one is made only where that is unset and the
+    session runs in one process, as in tests; on a cluster a folder of one machine would be lost with it, so that is an
+    error there.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quill-checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder:
+            context.setCheckpointDir(folder)
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="quill-checkpoint-"))
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return df.checkpoint(eager=True)
 
 

@@ -183,8 +183,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, order: str | None = None) -> None:
-    """JSON Lines, text as it is; ordered if asked."""
-    (df if order is None else df.orderBy(order)).write.mode("overwrite").json(path)
+    """JSON Lines, text as it is; ordered if asked.
+
+    Written beside the folder and moved into its place when whole, so a set can be rewritten where it was read from and
+    a reader never sees half of one. The old folder goes only once the new one stands beside it.
+    """
+    jvm = df.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    beside, old = target.suffix(".writing"), target.suffix(".old")
+    (df if order is None else df.orderBy(order)).write.mode("overwrite").json(beside.toString())
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise StoreError(f"{path} could not be moved away")
+    if not fs.rename(beside, target):
+        raise StoreError(f"{path} could not be put in place; the new lines are in {beside.toString()}")
+    fs.delete(old, True)
 
 
 def load_golden(spark: SparkSession, path: str) -> DataFrame:

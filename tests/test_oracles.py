@@ -22,6 +22,10 @@ def canonical(df):
     return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
 
 
+#: Queries whose rows are too rare for the smallest tables; they have some at the next scale.
+FEW = {"resolve_references"}
+
+
 @pytest.fixture(scope="module")
 def duck(data):
     con = duckdb.connect()
@@ -36,11 +40,12 @@ def test_same_as_sql(spark, data, duck, name):
     theirs = duck.execute(ORACLES[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert canonical(mine) == canonical(theirs)
+    assert len(mine) or name in FEW, "a query over no rows proves nothing"
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, data, name):
-    assert QUERIES[name](spark, data).count() >= 0
+    assert QUERIES[name](spark, data).count() > 0
 
 
 def test_entry_points():

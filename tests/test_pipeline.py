@@ -48,9 +48,32 @@ def test_chunks_index_and_answers(spark, annotated):
 
     asked = spark.createDataFrame([("q1", "How wide is the gangway?"), ("q2", "broken hatch?")], "query_id string, question string")
     got = {r["query_id"]: r for r in pipeline.ask(asked, chunks, reply).collect()}
-    assert [c["verified"] for c in got["q1"]["citations"]] == [True, False] and got["q2"]["error"] == "invalid_reply" and not got["q2"]["covered"]
+    assert [c["verified"] for c in got["q1"]["citations"]] == [True, False] and got["q2"]["error"] == "JSONDecodeError" and not got["q2"]["covered"]
 
 
 def test_evaluation(spark, data):
     found = pipeline.evaluate_retrieval(spark.read.parquet(f"{data}/golden.parquet"), spark.read.parquet(f"{data}/chunks.parquet"), split="test")
     assert found["summary"].filter("stage = 'fused' AND type IS NULL AND lang IS NULL").count() >= 1 and found["diagnosis"].count() > 0
+    records = found["records"]
+    assert records.count() > 0 and records.filter("size(top_hits) > 5").count() == 0
+
+
+def test_generation_is_asked_judged_and_scored(spark, annotated):
+    chunks = pipeline.chunk_blocks(annotated).cache()
+    gold = "id string, question string, type string, lang string, split string, gold array<struct<doc_id:string,scope:string,section:string,page:int>>, answer string"
+    golden = spark.createDataFrame(
+        [("g1", "How wide is the gangway number 3?", "numeric", "en", "dev", [("d", "Annex 3", "7.3", None)], "wide"), ("g2", "Who paints it?", "unanswerable", "en", "dev", [], None),
+         ("g3", "broken hatch?", "numeric", "en", "test", [("d", "Annex 3", "7.5", None)], "x"), ("g4", "unread door?", "numeric", "en", "test", [("d", "Annex 3", "7.1", None)], "x")], gold)
+
+    def reply(prompt):
+        asked = prompt.split("Question: ")[1]
+        if "broken" in asked:
+            return "{"
+        return json.dumps({"answer": asked[:12], "citations": [{"chunk": prompt.split('id="')[1].split('"')[0], "quote": "shall be wide"}], "covered": "paints" not in asked})
+
+    judge = lambda prompt: "?" if "unread" in prompt else json.dumps({"verdict": "partial"})
+    results, new = pipeline.evaluate_generation(golden, chunks, annotated, reply, judge)
+    got = {r["id"]: r for r in results.collect()}
+    assert {k: (r["outcome"], r["score"]) for k, r in got.items()} == {"g1": ("answered", 0.5), "g2": ("correct_refusal", 1.0), "g3": ("error", 0.0), "g4": ("judge_error", None)}
+    assert got["g1"]["citations_verified"] == 1 and got["g1"]["context_recall"] is not None and got["g2"]["citation_precision"] is None and got["g4"]["error"].startswith("JudgeError")
+    assert new.count() == 1

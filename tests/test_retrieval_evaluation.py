@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,7 +149,7 @@ def test_citations_and_replies(spark):
     cites = spark.createDataFrame([("c", 'shall be "450 mm"'), ("c", "invented"), ("c", " "), ("none", "gangway"), (None, "x")], "chunk_id string, quote string")
     assert [r["verified"] for r in answers.verify_citations(cites, chunks).orderBy(F.desc("verified"), "quote").collect()] == [True, False, False, False, False]
     raw = spark.createDataFrame([('{"answer":"a","citations":[{"chunk":"C1","quote":"q"}],"covered":true}',), ('{"answer":"a","cit',), (None,)], "reply string")
-    assert [(r["covered"], r["error"], len(r["citations"])) for r in answers.parse_replies(raw).collect()] == [(True, None, 1), (False, "invalid_reply", 0), (False, "invalid_reply", 0)]
+    assert [(r["covered"], r["error"], len(r["citations"])) for r in answers.parse_replies(raw).collect()] == [(True, None, 1), (False, "JSONDecodeError", 0), (False, "JSONDecodeError", 0)]
 
 
 def test_cache_calls_only_for_what_is_missing(spark):
@@ -158,11 +160,56 @@ def test_cache_calls_only_for_what_is_missing(spark):
     assert made.count() == 1
 
 
-def test_judge_consistency(spark):
-    from quillspark.functions import models
+def verdict(name, **flags):
+    return json.dumps({"verdict": name, **flags})
+
+
+def test_verdicts(spark):
+    raw = spark.createDataFrame([(verdict("partial", overstated=True),), (verdict("great"),), ("no json",), (None,)], "reply string")
+    got = [(r["judge"] and (r["judge"]["verdict"], r["judge"]["overstated"], r["judge"]["explanation"]), bool(r["judge_error"])) for r in answers.parse_verdicts(raw).collect()]
+    assert got == [(("partial", True, ""), False), (None, True), (None, True), (None, True)]
 
-    verdicts = spark.createDataFrame([("correct", "correct"), ("correct", "partial"), ("incorrect", "incorrect"), ("partial", "partial")], "first string, second string")
-    assert tuple(models.judge_consistency(verdicts).first()) == (4, 0.75)
+
+def test_judging_asks_once_and_caches_no_error(spark):
+    inputs = spark.createDataFrame([("k1", "p1", "a"), ("k2", "p2", "b"), ("k2", "p2", "c"), ("k3", "bad", "d")], "key string, prompt string, id string")
+    old = spark.createDataFrame([("k1", (("correct", False, False, False, "old")))], f"key string, judge struct<{answers.VERDICT}>")
+    judged, new = answers.judge_answers(inputs, old, lambda p: "nonsense" if p == "bad" else json.dumps({"verdict": "incorrect"}))
+    assert {r["id"]: r["judge"]["verdict"] if r["judge"] else r["judge_error"][:10] for r in judged.collect()} == {"a": "correct", "b": "incorrect", "c": "incorrect", "d": "JudgeError"}
+    assert [r["key"] for r in new.collect()] == ["k2"]
+
+
+def test_judge_consistency(spark):
+    rows = [(f"q{i}", f"p{i}", ("correct", False, False, False, "")) for i in range(5)] + [("q9", "p9", None)]
+    judged = spark.createDataFrame(rows, f"id string, prompt string, judge struct<{answers.VERDICT}>")
+    assert tuple(answers.judge_consistency(judged, lambda p: json.dumps({"verdict": "partial" if p == "p1" else "correct"}), 3).first()) == (3, 0.667)
+    assert tuple(answers.judge_consistency(judged.limit(0), lambda p: p, 3).first()) == (0, None)
+
+
+def test_disagreements(spark):
+    judge = f"judge struct<{answers.VERDICT}>"
+    results = spark.createDataFrame([("r", "q1", "h", ("partial", False, False, False, "too short " * 20)), ("r", "q2", "h", ("correct", False, False, False, ""))], f"run_id string, id string, answer_hash string, {judge}")
+    labels = spark.createDataFrame([("q1", "h", 1, "partial", False, False), ("q1", "h", 2, "correct", False, False), ("q2", "h", 1, "correct", False, False)], "id string, answer_hash string, seq int, verdict string, overstated boolean, missing_condition boolean")
+    got = evaluation.judge_disagreements(results, labels).collect()
+    assert [r["disagreement"] for r in got] == ["q1: human=correct judge=partial (" + ("too short " * 20)[:80] + ")"]
+
+
+def test_blocks_of_queries_rank_alike(spark, monkeypatch):
+    import numpy as np
+
+    from quillspark.operators import retrieval
+
+    chance = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in chance.integers(-2, 3, 6)]) for i in range(300)]
+    rows = spark.createDataFrame([*vectors, (998, None), (999, [0.0] * 6)], "chunk_id int, vector array<double>")
+    asked = spark.createDataFrame([(i, v) for i, v in vectors[:20]], "query_id int, vector array<double>")
+    whole = {tuple(r) for r in retrieval.dense_ranking(asked, rows, 7).collect()}
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 200)
+    monkeypatch.setattr(retrieval, "SCORE_ROWS", 16)
+    assert {tuple(r) for r in retrieval.dense_ranking(asked, rows, 7).collect()} == whole and len(whole) == 140
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, v in [*vectors, (999, [0.0] * 6)]}
+    for q, v in vectors[:20]:
+        best = sorted(((-round(float(unit[q] @ u), 9), i) for i, u in unit.items()))[:7]
+        assert {i for _, i in best} == {c for a, c, *_ in whole if a == q}
 
 
 def test_gold_text_follows_numbers_within_a_scope(spark):

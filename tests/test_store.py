@@ -103,3 +103,61 @@ def test_streamed_index(spark, tmp_path):
     stream = spark.readStream.schema("id string, doc_id string, embed_text string").parquet(source)
     stream_index(stream, "m", lambda: spark.read.parquet(target), apply, str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(seen) == ["insert", "insert"]
+
+
+def test_a_set_is_rewritten_where_it_was_read(spark, tmp_path):
+    path = str(tmp_path / "golden")
+    store.write_jsonl(spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int"), path)
+    store.write_jsonl(spark.read.json(path).filter("id = 'b'"), path, order="id")
+    assert [r["id"] for r in spark.read.json(path).collect()] == ["b"] and sorted(p.name for p in tmp_path.iterdir()) == ["golden"]
+
+
+def test_checkpoints_need_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from quillspark import session
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, getConf=lambda: {})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.cut_lineage(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context)))
+
+
+class FakeTokenizer:
+    def enable_truncation(self, length, strategy="longest_first"):
+        self.cut = (length, strategy)
+
+    def enable_padding(self):
+        pass
+
+    def encode_batch(self, texts):
+        from types import SimpleNamespace
+
+        words = [[0, *(5 + len(w) for w in (t if isinstance(t, str) else " ".join(t)).split()), 2] for t in texts]
+        most = max(map(len, words))
+        return [SimpleNamespace(ids=w + [1] * (most - len(w)), attention_mask=[1] * len(w) + [0] * (most - len(w))) for w in words]
+
+
+class FakeSession:
+    def run(self, names, feed):
+        import numpy as np
+
+        ids = feed["input_ids"]
+        return [np.stack([ids, ids * 0 + 1, feed["attention_mask"]], axis=2).astype(float)] if names is None and ids.shape[1] != 99 else None
+
+
+def test_exported_models():
+    import numpy as np
+
+    from quillspark.functions import models
+
+    assert models.pooled_weights([7, 5, 7, 0, 9], [0.5, 0.2, 0.9, 3.0, -1.0], {0}) == {5: 0.2, 7: 0.9}
+    model = models.OnnxEmbedder(FakeSession(), FakeTokenizer(), "m", (np.array([1.0, 0.0, 0.0]), -7.0))
+    (dense, sparse), (_, other) = model.embed(["abc de abcd", "a"])
+    assert abs(sum(x * x for x in dense) - 1) < 1e-9 and sparse == {8: 1.0, 9: 2.0} and other == {}
+
+    class Scores:
+        def run(self, names, feed):
+            return [feed["attention_mask"].sum(axis=1, keepdims=True)]
+
+    ranker = models.OnnxReranker(Scores(), FakeTokenizer(), "m", max_length=64, batch=2)
+    assert ranker.score("q", ["a b", "a", "a b c"]) == [5.0, 4.0, 6.0] and ranker.tokenizer.cut == (64, "only_second")
