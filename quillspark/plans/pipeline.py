@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import models
@@ -135,3 +136,43 @@ def evaluate_retrieval(golden: DataFrame, chunks: DataFrame, config: retrieval.R
     kinds = items.select(F.col("id").alias("query_id"), "type", "lang")
     return {"scores": scores, "summary": evaluation.stage_summary(scores.join(kinds, "query_id"), by=["type", "lang"]), "diagnosis": evaluation.question_diagnosis(scores),
             "records": evaluation.question_records(pool, items, chunks, scores)}
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a pipeline is made of: the folder of the chunks and the endpoint of the answering model."""
+
+    chunks: str
+    url: str = "http://localhost:8000/v1"
+    model: str = ""
+    key: str | None = None
+    timeout: float = 120.0
+    max_tokens: int = 1024
+    context_k: int = 10
+    retrieval: retrieval.RetrievalConfig = retrieval.RetrievalConfig()
+
+
+class Pipeline:
+    """Batches of questions against one chunk store with one configuration."""
+
+    def __init__(self, chunks: DataFrame, call: Callable[[str], str], settings: Settings):
+        self.chunks, self.call, self.settings = chunks, call, settings
+
+    def search(self, questions: DataFrame) -> DataFrame:
+        """The final hits of ``query_id, question``."""
+        corpus = self.chunks.select(F.col("id").alias("chunk_id"), F.coalesce("embed_text", F.lit("")).alias("text"), F.coalesce("embed_text", F.lit("")).alias("passage")).dropDuplicates(["chunk_id"])
+        ranked = retrieval.hybrid_search(questions.select("query_id", F.col("question").alias("query")), corpus, self.settings.retrieval)
+        return retrieval.final_hits(ranked, self.settings.retrieval)
+
+    def ask(self, questions: DataFrame) -> DataFrame:
+        """The answers to ``query_id, question`` (see ``ask``)."""
+        return ask(questions, self.chunks, self.call, self.settings.retrieval, self.settings.context_k)
+
+
+def build_pipeline(spark: SparkSession, settings: Settings, call: Callable[[str], str] | None = None) -> Pipeline:
+    """The pipeline of the settings; ``call`` stands in for the endpoint. A store without chunks is an error at once."""
+    chunks = spark.read.parquet(settings.chunks)
+    if chunks.isEmpty():
+        raise ValueError(f"{settings.chunks} holds no chunks")
+    endpoint = models.ChatEndpoint(settings.url, settings.model, settings.timeout, settings.max_tokens, settings.key)
+    return Pipeline(chunks, call or endpoint, settings)

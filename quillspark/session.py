@@ -17,6 +17,7 @@ def local_session(app: str = "quillspark", cpus: int = 8, partitions: int = 8) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("QUILL_DRIVER_MEMORY", "6g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -77,3 +77,15 @@ def test_generation_is_asked_judged_and_scored(spark, annotated):
     assert {k: (r["outcome"], r["score"]) for k, r in got.items()} == {"g1": ("answered", 0.5), "g2": ("correct_refusal", 1.0), "g3": ("error", 0.0), "g4": ("judge_error", None)}
     assert got["g1"]["citations_verified"] == 1 and got["g1"]["context_recall"] is not None and got["g2"]["citation_precision"] is None and got["g4"]["error"].startswith("JudgeError")
     assert new.count() == 1
+
+
+def test_a_pipeline_is_built_from_settings(spark, annotated, tmp_path):
+    path = str(tmp_path / "chunks")
+    pipeline.chunk_blocks(annotated).write.parquet(path)
+    made = pipeline.build_pipeline(spark, pipeline.Settings(path, context_k=2), lambda prompt: json.dumps({"answer": str(prompt.count("<chunk")), "citations": [], "covered": False}))
+    asked = spark.createDataFrame([("q", "How wide is the gangway number 3?")], "query_id string, question string")
+    assert made.search(asked).count() == made.settings.retrieval.top_k or made.chunks.count() < 5
+    assert int(made.ask(asked).first()["answer"]) >= 2
+    spark.read.parquet(path).limit(0).write.parquet(path + "-empty")
+    with pytest.raises(ValueError, match="no chunks"):
+        pipeline.build_pipeline(spark, pipeline.Settings(path + "-empty"))
