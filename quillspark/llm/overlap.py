@@ -87,6 +87,11 @@ def _plain(text: str) -> str:
     return _INVISIBLE.sub("", text)
 
 
+def flat_text(text: str) -> str:
+    """A text in lower case, compatibility forms and letters by their shape, as terms are made from it."""
+    return _plain(text).translate(_SKELETON)
+
+
 _FRAME = re.compile(rf"(?<!\w)(?:{FRAMES})(?!\w)|(?:请问|谢谢|您好|你好|麻烦问一下|请告诉我|请简要回答)")
 _FRAME_SKELETON = re.compile(_FRAME.pattern.translate(_SKELETON))
 _CLASS_NAMES = ("class", "klasse", "classe", "kлacca", "kлacc", "kлacce")
@@ -176,19 +181,21 @@ def _may_slip(word: str) -> bool:
 def slips_of(words: DataFrame) -> DataFrame:
     """``t, v``: rare words ``t`` with the word ``v`` that they are a slip or two away from, of ``t, n`` with counts.
 
+    Where ``words`` says so (``named``), words that are written as names are slips of nothing, as most rare words are names.
     ``v`` is ``SLIP_RATIO`` times as frequent at least, so no share of the table's size decides; words that shape a
     question or replace others count as frequent. Both sides meet on what is left of them when a letter or two are
     dropped, by an equality join, so no vocabulary is broadcast; each pair is then measured exactly.
     """
     always = words.sparkSession.createDataFrame([(w, SLIP_RATIO) for w in sorted({*_SHAPE_WORDS, *_EVEN_WORDS})], "t string, n long")
-    frequent = words.filter(F.col("n") >= SLIP_RATIO).unionByName(always).groupBy("t").agg(F.max("n").alias("n"))
+    frequent = words.select("t", "n").filter(F.col("n") >= SLIP_RATIO).unionByName(always).groupBy("t").agg(F.max("n").alias("n"))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(d, t, n) for t, n in zip(batch["t"], batch["n"]) if _may_slip(t) for d in _drops(t, _slip_depth(t + "x"))]
             yield pd.DataFrame(rows, columns=["d", "t", "n"])
 
-    left = words.join(F.broadcast(always.select("t")), "t", "left_anti").mapInPandas(keys, "d string, t string, n long").select(F.xxhash64("d").alias("d"), "t", "n")
+    plain = words.filter("NOT named") if "named" in words.columns else words
+    left = plain.select("t", "n").join(F.broadcast(always.select("t")), "t", "left_anti").mapInPandas(keys, "d string, t string, n long").select(F.xxhash64("d").alias("d"), "t", "n")
     right = frequent.filter("length(t) >= 4").mapInPandas(keys, "d string, t string, n long").select(F.xxhash64("d").alias("d"), F.col("t").alias("v"), F.col("n").alias("m"))
     pairs = left.join(right, "d").filter(F.col("m") >= SLIP_RATIO * F.col("n")).select("t", "v", "m").distinct()
 
@@ -320,7 +327,8 @@ def question_classes(golden: DataFrame, question: str = "question", item: str =
             yield batch[["id", "split", "source"]].assign(terms=read_all(all_terms), names=read_all(written_names), turns=read_all(turns))
 
     raw = cut_lineage(items.mapInPandas(read, fields).filter("size(terms) > 0"))
-    spread = cut_lineage(raw.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("n")))
+    spread = raw.select(F.explode(F.array_distinct("terms")).alias("t"), "names").groupBy("t").agg(F.count("*").alias("n"), F.max(F.array_contains("names", F.col("t"))).alias("named"))
+    spread = cut_lineage(spread)
     # each rare word is looked up once, with the true number of items that use it
     slips = slips_of(spread)
     slipped = raw.select("id", F.explode(F.array_distinct("terms")).alias("t")).join(slips, "t").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("slips"))
