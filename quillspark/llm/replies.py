@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.graph import components
-from quillspark.llm.overlap import evened, question_classes, question_terms, without_frames
+from quillspark.llm.overlap import evened, flat_text, question_classes, question_terms, without_frames
 from quillspark.llm.quality import COMMON
 from quillspark.session import cut_lineage
 
@@ -84,6 +84,7 @@ _LANGUAGES = {w: tuple(k for k, known in _COMMON.items() if w in known) for w in
 _CYRILLIC_MARKS = {"ru": "ыэёъ", "uk": "іїєґ", "be": "ўі", "sr": "ђјљњћџ"}
 
 
+@lru_cache(maxsize=256)
 def _clean(text: str | None) -> str:
     return _INVISIBLE.sub("", unicodedata.normalize("NFKC", text or "")).strip()
 
@@ -108,10 +109,15 @@ def is_copy(question: str | None, answer: str | None) -> bool:
     asked = _asked(question)
     if len(asked) < 3:
         return False
+    have = set(asked)
+    # most terms must be there as they are; figures, classes and words that replace one another may be written otherwise
+    plain = flat_text(answer)
+    if sum(w not in plain for w in have) > 2 + 0.3 * len(have):
+        return False
     said = evened(question_terms(answer))
     if not said:
         return False
-    have, given = set(asked), set(said)
+    given = set(said)
     if len(have & given) < 0.9 * len(have):
         return False
     extra = given - have
