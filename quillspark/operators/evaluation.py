@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import references
+from quillspark.operators import references, structure
 
 KS = (5, 10, 20)
 FINAL_K = 5
@@ -218,14 +218,11 @@ def gold_text(blocks: DataFrame, refs: DataFrame) -> DataFrame:
     """``id, ref_no, text``: the body text that each gold reference names.
 
     Unnumbered blocks go with the number before them while the scope lasts; page references take the page's blocks of
-    the scope. One running frame a document; then each block stands for the numbers over it and for its page, so that an
+    the scope. One frame a scope run; then each block stands for the numbers over it and for its page, so that an
     equality join on document, scope and place makes a pair only where it is wanted.
     """
-    body = blocks.filter("role = 'body'").dropDuplicates(["id"])
-    order = Window.partitionBy("doc_id").orderBy("ordinal")
-    moved = (~F.col("scope").eqNullSafe(F.lag("scope").over(order))).cast("int")
-    run = body.withColumn("moved", moved).withColumn("stay", F.sum("moved").over(order))
-    carried = run.withColumn("under", F.last("section_number", ignorenulls=True).over(Window.partitionBy("doc_id", "stay").orderBy("ordinal")))
+    body = structure.with_scope_runs(blocks.filter("role = 'body'").dropDuplicates(["id"]))
+    carried = body.withColumn("under", F.last("section_number", ignorenulls=True).over(Window.partitionBy("doc_id", "run").orderBy("ordinal")))
     # a numbered block stands under its own number and those over it; a block of any kind on its page
     own = carried.select("doc_id", F.coalesce("scope", F.lit("")).alias("scope_key"), "ordinal", "text", "under", F.concat(F.lit("p"), F.col("page_number").cast("string")).alias("page_key"))
     parts = F.split("under", r"\.")

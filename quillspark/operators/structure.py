@@ -26,18 +26,21 @@ def _running(*keys: str):
 def section_events(blocks: DataFrame, profile: ScopeProfile = ScopeProfile()) -> DataFrame:
     """Body blocks with ``segment`` (a run under one scope heading), ``scope_now``, ``number``, ``is_title`` and ``label``.
 
-    A scope heading starts a segment; before the first one, the first numbered block leaves the front matter. Frames
-    run over one document and spill; no document is collected.
+    A scope heading starts a segment; before the first one, the first numbered block leaves the front matter. What
+    starts where is counted first, one row a document with its few headings, so no document is sorted or passes through
+    one task; frames over a segment come later.
     """
-    body = blocks.filter("role = 'body'").dropDuplicates(["id"])
+    body = blocks.filter("role = 'body'")
     scope = F.when(F.coalesce("heading_level", F.lit(0)) > 0, T.scope_name(F.col("text")))
-    events = body.withColumn("heads", scope).withColumn("number", F.when(F.col("heads").isNull(), T.section_number(F.col("text"))))
-    run = _running("doc_id")
-    events = events.withColumn("annexes", F.count("heads").over(run)).withColumn("numbers", F.count("number").over(run))
-    late = F.when((F.col("annexes") == 0) & (F.col("numbers") > 0), 1).otherwise(0)
-    events = events.withColumn("segment", F.when(F.col("annexes") > 0, F.col("annexes") + 1).otherwise(late).cast("int"))
-    named = F.last("heads", ignorenulls=True).over(run)
-    events = events.withColumn("scope_now", F.when(F.col("annexes") > 0, named).when(F.col("numbers") > 0, profile.main).otherwise(profile.front))
+    read = body.withColumn("heads", scope).withColumn("number", F.when(F.col("heads").isNull(), T.section_number(F.col("text"))))
+    headings = F.array_sort(F.collect_set(F.when(F.col("heads").isNotNull(), F.struct("ordinal", "heads"))))
+    marks = read.groupBy("doc_id").agg(headings.alias("headings"), F.min(F.when(F.col("number").isNotNull(), F.col("ordinal"))).alias("numbered"))
+    marks = marks.filter("size(headings) > 0 OR numbered IS NOT NULL")
+    events = read.dropDuplicates(["id"]).join(marks, "doc_id", "left")
+    events = events.withColumn("open", F.filter("headings", lambda h: h["ordinal"] <= F.col("ordinal")))
+    annexes, late = F.greatest(F.coalesce(F.size("open"), F.lit(0)), F.lit(0)), F.coalesce(F.col("numbered") <= F.col("ordinal"), F.lit(False))
+    events = events.withColumn("segment", F.when(annexes > 0, annexes + 1).when(late, 1).otherwise(0).cast("int"))
+    events = events.withColumn("scope_now", F.when(annexes > 0, F.element_at("open", -1)["heads"]).when(late, profile.main).otherwise(profile.front)).drop("headings", "numbered", "open")
     # only numbered blocks have a label, so only their texts are looked through
     rest = T.strip(F.regexp_replace(F.when(F.col("number").isNotNull(), F.col("text")), r"^\s*\p{Nd}+(?:\.\p{Nd}+)*\.", ""))
     events = events.withColumn("rest", rest)
@@ -48,6 +51,23 @@ def section_events(blocks: DataFrame, profile: ScopeProfile = ScopeProfile()) ->
     return events.withColumn("label", F.when(F.col("number").isNotNull(), F.concat(F.col("number"), F.lit(" "), label))).drop("rest")
 
 
+def scope_run_starts(body: DataFrame) -> DataFrame:
+    """``doc_id, starts``: the ordinals at which a block's scope differs from the one before it, the first block's too.
+
+    Only numbers and scopes pass through a document's frame, no texts; what comes out is one row a document.
+    """
+    light = body.select("doc_id", "ordinal", "scope", F.lit(True).alias("seen")).distinct()
+    order = Window.partitionBy("doc_id").orderBy("ordinal")
+    moved = light.withColumn("moves", ~F.col("scope").eqNullSafe(F.lag("scope").over(order)) | F.lag("seen").over(order).isNull())
+    return moved.filter("moves").groupBy("doc_id").agg(F.array_sort(F.collect_list("ordinal")).alias("starts"))
+
+
+def with_scope_runs(body: DataFrame) -> DataFrame:
+    """Adds ``run``: the number of the run of blocks under one scope that a block stands in, from 1 by document."""
+    joined = body.join(scope_run_starts(body), "doc_id")
+    return joined.withColumn("run", F.size(F.filter("starts", lambda x: x <= F.col("ordinal")))).drop("starts")
+
+
 def scopes(blocks: DataFrame, profile: ScopeProfile = ScopeProfile()) -> DataFrame:
     """``doc_id, segment, scope, title, first_ordinal``: one row per scope entered, with its collected title.
 
