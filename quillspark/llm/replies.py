@@ -325,7 +325,7 @@ def template_openings(replies: DataFrame) -> DataFrame:
     asked = uses.select("question", F.lit(None).cast("string").alias("split"), F.lit(None).cast("string").alias("source")).distinct()
     classes = question_classes(asked, item="question")[0].select(F.col("id").alias("question"), "class")
     # a question without words is a class of its own, and so is the null one
-    classed = uses.join(classes, "question", "left").withColumn("class", F.coalesce("class", F.concat(F.lit("?"), "question"), F.lit("?")))
+    classed = uses.join(classes, "question", "left").withColumn("class", F.coalesce("class", F.xxhash64(F.lit("?"), "question")))
     recurring = (
         classed.select(F.array_join("opening", " ").alias("key"), "class").join(label, "key").select("root", "class").distinct()
         .groupBy("root").agg(F.count("*").alias("q")).filter(F.col("q") >= MIN_QUESTIONS)
