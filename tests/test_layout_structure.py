@@ -1,3 +1,5 @@
+import functools
+import math
 import random
 import re
 
@@ -125,20 +127,22 @@ def plain_chunks(doc, texts, paths, config, count):
         depth = next((k for k in range(len(common)) if len({paths[b][k] for b, _ in unit}) > 1), min(len(paths[b]) for b, _ in unit))
         return count(head(paths[unit[0][0]][:depth]) + "\n\n" + "\n".join(t for _, t in unit))
 
+    fits = lambda b, text: size([(b, text)]) <= config.max_tokens
+
+    def windows(b, words):
+        if not words:
+            return []
+        k = max([1, *(j for j in range(1, len(words) + 1) if fits(b, " ".join(words[:j])))])
+        return [[(b, " ".join(words[:k]))], *windows(b, words[k:])]
+
     def split(b):
-        out = []
-        for sentence in re.split(r"(?<=[.;:])\s+", texts[b]):
-            if size([(b, sentence)]) <= config.max_tokens:
-                out.append([(b, sentence)])
-                continue
-            taken = []
-            for word in sentence.split():
-                if taken and size([(b, " ".join([*taken, word]))]) > config.max_tokens:
-                    out.append([(b, " ".join(taken))])
-                    taken = []
-                taken.append(word)
-            out += [[(b, " ".join(taken))]] if taken else []
-        return out
+        sentences = re.split(r"(?<=[.;:])\s+", texts[b])
+        return [u for x in sentences for u in ([[(b, x)]] if fits(b, x) else windows(b, x.split()))]
+
+    def joined(packed, unit):
+        both = size(packed[-1] + unit) if packed else math.inf
+        small = packed and min(size(packed[-1]), size(unit)) < config.min_tokens
+        return [*packed[:-1], packed[-1] + unit] if both <= (config.max_tokens if small else config.target_tokens) else [*packed, unit]
 
     def tree(blocks, depth):
         own, parts = [], []
@@ -154,15 +158,7 @@ def plain_chunks(doc, texts, paths, config, count):
         if size(flat) <= config.max_tokens:
             return [flat], flat
         units = [u for b in own for u in ([[(b, texts[b])]] if size([(b, texts[b])]) <= config.max_tokens else split(b))] + [u for t in ordered for u in t[0]]
-        out = []
-        for u in units:
-            if out:
-                both = size(out[-1] + u)
-                if both <= config.target_tokens or both <= config.max_tokens and min(size(out[-1]), size(u)) < config.min_tokens:
-                    out[-1] = out[-1] + u
-                    continue
-            out.append(u)
-        return out, flat
+        return functools.reduce(joined, units, []), flat
 
     return tree(list(range(len(texts))), 1)[0]
 
