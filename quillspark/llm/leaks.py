@@ -191,8 +191,8 @@ def distinctive_words(items: DataFrame, item_id: str = "item_id", text: str = "t
     passages = keyed.join(roots, "node", "left").withColumn("passage", F.coalesce("passage", "node"))
     placed = passages.select(item_id, "passage", F.posexplode("words").alias("at", "w"))
     spread = placed.select("passage", "w").distinct().groupBy("w").agg(F.count("*").alias("n"))
-    total = passages.agg(F.countDistinct("passage").alias("total"))  # one row
-    rare = spread.join(F.broadcast(total)).filter((F.col("n") <= F.greatest(F.lit(1.0), F.lit(share) * F.col("total"))) | F.col("w").rlike(r"^\p{Nd}"))
+    total = passages.agg(F.countDistinct("passage")).first()[0]
+    rare = spread.filter((F.col("n") <= max(1.0, share * total)) | F.col("w").rlike(r"^\p{Nd}"))
     names = placed.join(rare.select("w"), "w").groupBy(item_id).agg(F.collect_list("at").alias("names"))
     return rows.join(names, item_id, "left").select(item_id, "words", F.coalesce("names", F.array().cast("array<int>")).alias("names"))
 
