@@ -221,7 +221,8 @@ def gold_text(blocks: DataFrame, refs: DataFrame) -> DataFrame:
     the scope. One frame a scope run; then each block stands for the numbers over it and for its page, so that an
     equality join on document, scope and place makes a pair only where it is wanted.
     """
-    body = structure.with_scope_runs(blocks.filter("role = 'body'").dropDuplicates(["id"]))
+    delivered = blocks.filter("role = 'body'")
+    body = structure.with_scope_runs(delivered.dropDuplicates(["id"]), delivered)
     carried = body.withColumn("under", F.last("section_number", ignorenulls=True).over(Window.partitionBy("doc_id", "run").orderBy("ordinal")))
     # a numbered block stands under its own number and those over it; a block of any kind on its page
     own = carried.select("doc_id", F.coalesce("scope", F.lit("")).alias("scope_key"), "ordinal", "text", "under", F.concat(F.lit("p"), F.col("page_number").cast("string")).alias("page_key"))

@@ -62,9 +62,12 @@ def scope_run_starts(body: DataFrame) -> DataFrame:
     return moved.filter("moves").groupBy("doc_id").agg(F.array_sort(F.collect_list("ordinal")).alias("starts"))
 
 
-def with_scope_runs(body: DataFrame) -> DataFrame:
-    """Adds ``run``: the number of the run of blocks under one scope that a block stands in, from 1 by document."""
-    joined = body.join(scope_run_starts(body), "doc_id")
+def with_scope_runs(body: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
+    """Adds ``run``: the number of the run of blocks under one scope that a block stands in, from 1 by document.
+
+    ``delivered`` may hold the same blocks with repeated rows, which make no difference to where runs start.
+    """
+    joined = body.join(scope_run_starts(body if delivered is None else delivered), "doc_id")
     return joined.withColumn("run", F.size(F.filter("starts", lambda x: x <= F.col("ordinal")))).drop("starts")
 
 
