@@ -233,3 +233,40 @@ def test_references_to_other_scopes_are_walked_first(spark):
     hits = spark.createDataFrame([("q", "a", 1), ("q", "c", 2)], "query_id string, chunk_id string, final_rank int")
     got = {r["chunk_id"] for r in references.build_context(hits, chunks, max_expansions=1).filter("origin = 'reference'").collect()}
     assert got == {"e"}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_word_counts_rank_as_counted(spark, monkeypatch):
+    import numpy as np
+
+    chance = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(f"c{i:03}", " ".join(chance.choice(words, chance.integers(0, 25)))) for i in range(400)]
+    asked = {f"q{i}": set(chance.choice(words, chance.integers(1, 20))) | {f"only{i}"} for i in range(70)}
+    corpus = spark.createDataFrame([*texts, ("c999", None)], "chunk_id string, text string").repartition(3)
+    terms = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query_id string, term string")
+    want = set()
+    for q, ts in asked.items():
+        counted = sorted((-len(ts & set(x.split())), c) for c, x in texts if ts & set(x.split()))
+        want |= {(q, c, float(-n), r + 1) for r, (n, c) in enumerate(counted[:7])}
+    rank = lambda: {tuple(r) for r in retrieval.overlap_ranking(terms, corpus, 7).collect()}
+    assert rank() == want
+    joined = retrieval.sparse_ranking(terms, retrieval.postings(corpus, "chunk_id", "text"), 7)
+    assert {tuple(r) for r in joined.collect()} == want
+    for name, few in (("QUERY_TERMS", 200), ("COUNT_ROWS", 70), ("LAID_QUERIES", 16), ("COUNT_QUERIES", 5)):
+        monkeypatch.setattr(retrieval, name, few)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        assert rank() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert retrieval.overlap_ranking(terms.limit(0), corpus, 7).count() == 0 == retrieval.overlap_ranking(terms, corpus.limit(0), 7).count()
+
+
+def test_sparse_topk_lists_no_pairs(spark, data):
+    from quillspark.plans.queries import QUERIES
+
+    assert "Join" not in plan(QUERIES["sparse_topk"](spark, data)), "a row a shared word of a query and a chunk"
