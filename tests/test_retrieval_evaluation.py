@@ -270,3 +270,25 @@ def test_sparse_topk_lists_no_pairs(spark, data):
     from quillspark.plans.queries import QUERIES
 
     assert "Join" not in plan(QUERIES["sparse_topk"](spark, data)), "a row a shared word of a query and a chunk"
+
+
+def test_equal_vectors_are_cut_by_key(spark, monkeypatch):
+    seen, ranked = [], retrieval.top_ranked
+    monkeypatch.setattr(retrieval, "top_ranked", lambda scored, *a: seen.append(scored) or ranked(scored, *a))
+    rows = spark.range(3000).select(F.format_string("c%04d", "id").alias("chunk_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector")).repartition(1)
+    asked = spark.createDataFrame([("q", [2.0, 1.0])], "query_id string, vector array<double>")
+    got = retrieval.dense_ranking(asked, rows, 3).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in got] == ["c0000", "c0001", "c0002"]
+    assert seen[0].count() <= 6, "three of each batch, not all that equal them"
+
+
+#: Queries over the pool of the hybrid search.
+POOLED = ["rrf_fusion"]
+
+
+@pytest.mark.parametrize("name", POOLED)
+def test_pool_lists_no_pairs(spark, data, monkeypatch, name):
+    from quillspark.plans.queries import QUERIES
+
+    monkeypatch.setattr(retrieval, "postings", lambda *a: pytest.fail("a row a shared word of a query and a chunk"))
+    QUERIES[name](spark, data).collect()
