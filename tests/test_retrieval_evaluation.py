@@ -282,8 +282,15 @@ def test_equal_vectors_are_cut_by_key(spark, monkeypatch):
     assert seen[0].count() <= 6, "three of each batch, not all that equal them"
 
 
+def test_only_candidates_meet_their_texts(spark, corpus):
+    fused = spark.createDataFrame([("q", "c1", 1, True, "gangway"), ("q", "c2", 2, False, "gangway")], "query_id string, chunk_id string, fused_rank int, is_candidate boolean, query string")
+    ranked = retrieval.rerank(fused, corpus)
+    assert any("Join" in x and "is_candidate" in x for x in plan(ranked).splitlines())
+    assert {(r["chunk_id"], r["rerank_score"], r["final_rank"]) for r in ranked.collect()} == {("c1", 1.0, 1), ("c2", None, 2)}
+
+
 #: Queries over the pool of the hybrid search.
-POOLED = ["rrf_fusion"]
+POOLED = ["rrf_fusion", "hybrid_search"]
 
 
 @pytest.mark.parametrize("name", POOLED)
