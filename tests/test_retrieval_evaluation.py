@@ -290,7 +290,7 @@ def test_only_candidates_meet_their_texts(spark, corpus):
 
 
 #: Queries over the pool of the hybrid search.
-POOLED = ["rrf_fusion", "hybrid_search"]
+POOLED = ["rrf_fusion", "hybrid_search", "expand_context"]
 
 
 @pytest.mark.parametrize("name", POOLED)
