@@ -290,7 +290,7 @@ def test_only_candidates_meet_their_texts(spark, corpus):
 
 
 #: Queries over the pool of the hybrid search.
-POOLED = ["rrf_fusion", "hybrid_search", "expand_context", "question_records", "recall_and_mrr", "stage_summary", "question_diagnosis", "stage_rankings"]
+POOLED = ["rrf_fusion", "hybrid_search", "expand_context", "question_records", "recall_and_mrr", "stage_summary", "question_diagnosis", "stage_rankings", "prompt_render"]
 
 
 @pytest.mark.parametrize("name", POOLED)
