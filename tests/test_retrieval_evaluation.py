@@ -299,3 +299,52 @@ def test_pool_lists_no_pairs(spark, data, monkeypatch, name):
 
     monkeypatch.setattr(retrieval, "postings", lambda *a: pytest.fail("a row a shared word of a query and a chunk"))
     QUERIES[name](spark, data).collect()
+
+
+def test_words_are_those_of_the_column_function(spark):
+    odd = ["İstanbul ΣΑΣ ΑΣ. ﬁn", "été ① Ⅷ ½ x_1", "𝒳𝒴 𝟙 😀a😀b", "مُحَرِّك الباب", "№5 ªb c‍d e­f\x85g", "ѫѫ҇ \U0001f1e9x \U00010400 \U00010428", "", None]
+    corpus = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "chunk_id int, text string")
+    asked = retrieval.postings(corpus.withColumnRenamed("chunk_id", "query_id"), "query_id", "text")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    want = rows(retrieval.sparse_ranking(asked, retrieval.postings(corpus, "chunk_id", "text"), 5))
+    assert rows(retrieval.overlap_ranking(asked, corpus, 5)) == want and len(want) >= 6
+
+
+def test_counts_are_the_rerank_scores(spark, monkeypatch):
+    import numpy as np
+
+    chance = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(30)]
+    said = lambda n: " ".join(chance.choice(words, n))
+    corpus = spark.createDataFrame([(f"c{i:03}", said(i % 9)) for i in range(200)], "chunk_id string, text string").repartition(3)
+    queries = spark.createDataFrame([*[(f"q{i}", said(i)) for i in range(9)], ("q9", "none of these")], "query_id string, query string")
+    config = retrieval.RetrievalConfig(dense_k=7, sparse_k=5, rerank_candidates=6)
+    rows = lambda c: {tuple(r[k] for k in ("query_id", "chunk_id", "query", "dense_rank", "dense_score", "sparse_rank", "sparse_score", "fused_rank", "rerank_score", "final_rank")) for r in retrieval.hybrid_search(queries, c, config).collect()}
+    got = rows(corpus)
+    assert got == rows(corpus.withColumn("passage", F.col("text"))) and len({r[0] for r in got}) == 10
+    apart = retrieval.fuse(
+        retrieval.dense_ranking(queries.withColumn("vector", retrieval.hashed_vector(F.col("query"))), corpus.withColumn("vector", retrieval.hashed_vector(F.col("text"))), 7),
+        retrieval.sparse_ranking(retrieval.postings(queries, "query_id", "query"), retrieval.postings(corpus, "chunk_id", "text"), 5), config)
+    assert {r[:2] + r[3:8] for r in got} == {tuple(r[k] for k in ("query_id", "chunk_id", "dense_rank", "dense_score", "sparse_rank", "sparse_score", "fused_rank")) for r in apart.collect()}
+    for name, few in (("QUERY_BYTES", 200), ("SCORE_ROWS", 40), ("LAID_QUERIES", 4), ("COUNT_QUERIES", 3), ("SCORE_QUERIES", 3)):
+        monkeypatch.setattr(retrieval, name, few)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        assert rows(corpus) == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+#: Queries over the pool that read each text once for it.
+READ_ONCE = ["stage_rankings"]
+
+
+@pytest.mark.parametrize("name", READ_ONCE)
+def test_pool_reads_texts_once(spark, data, monkeypatch, name):
+    from quillspark.plans.queries import QUERIES
+
+    passes, best = [], getattr(retrieval, "_best", None)
+    monkeypatch.setattr(retrieval, "_best", lambda *a: passes.append(a) or best(*a), raising=False)
+    monkeypatch.setattr(retrieval, "rerank", lambda *a: pytest.fail("passages are read again for their words"))
+    QUERIES[name](spark, data).collect()
+    assert len(passes) == 1, "one pass for both rankings and the rerank score"
