@@ -336,7 +336,7 @@ def test_counts_are_the_rerank_scores(spark, monkeypatch):
 
 
 #: Queries over the pool that read each text once for it.
-READ_ONCE = ["stage_rankings"]
+READ_ONCE = ["stage_rankings", "expand_context"]
 
 
 @pytest.mark.parametrize("name", READ_ONCE)
@@ -348,3 +348,19 @@ def test_pool_reads_texts_once(spark, data, monkeypatch, name):
     monkeypatch.setattr(retrieval, "rerank", lambda *a: pytest.fail("passages are read again for their words"))
     QUERIES[name](spark, data).collect()
     assert len(passes) == 1, "one pass for both rankings and the rerank score"
+
+
+def test_captions_in_any_writing(spark):
+    texts = ["Figure 1 and fIGURE 12a, figure 1", "F\u0131gure 3, f\u0130gure 4", "figures 5", "Figure  6, Figure 7ab, Figure 8b", "", None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", references.captions(F.col("t")).alias("c")).orderBy("i").collect()
+    assert [r["c"] or [] for r in got][:4] == [["figure 1", "figure 12a"], ["f\u0131gure 3", "fi\u0307gure 4"], [], ["figure 8b"]]
+
+
+def test_context_writes_no_texts(spark, monkeypatch):
+    chunks = spark.createDataFrame([("a", "d", 0, "A", ["1"], "see paragraph 2."), ("b", "d", 1, "A", ["2"], "x"), ("b", "d", 1, "A", ["2"], "x")], "id string, doc_id string, chunk_index int, scope string, sections array<string>, text string")
+    written, cut = [], references.cut_lineage
+    monkeypatch.setattr(references, "cut_lineage", lambda d: written.append(d.columns) or cut(d))
+    hits = spark.createDataFrame([("q", "a", 1)], "query_id string, chunk_id string, final_rank int")
+    got = references.build_context(hits, chunks)
+    assert [tuple(r)[1:3] for r in got.orderBy("label").collect()] == [("C1", "a"), ("C2", "b")]
+    assert written and not any("text" in c for c in written), "texts are read once and not written"
