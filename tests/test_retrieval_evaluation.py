@@ -336,7 +336,7 @@ def test_counts_are_the_rerank_scores(spark, monkeypatch):
 
 
 #: Queries over the pool that read each text once for it.
-READ_ONCE = ["stage_rankings", "expand_context"]
+READ_ONCE = ["stage_rankings", "expand_context", "prompt_render"]
 
 
 @pytest.mark.parametrize("name", READ_ONCE)
