@@ -336,7 +336,7 @@ def test_counts_are_the_rerank_scores(spark, monkeypatch):
 
 
 #: Queries over the pool that read each text once for it.
-READ_ONCE = ["stage_rankings", "expand_context", "prompt_render", "question_records", "recall_and_mrr", "stage_summary"]
+READ_ONCE = ["stage_rankings", "expand_context", "prompt_render", "question_records", "recall_and_mrr", "stage_summary", "question_diagnosis"]
 
 
 @pytest.mark.parametrize("name", READ_ONCE)
