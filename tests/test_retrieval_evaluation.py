@@ -310,6 +310,27 @@ def test_words_are_those_of_the_column_function(spark):
     assert rows(retrieval.overlap_ranking(asked, corpus, 5)) == want and len(want) >= 6
 
 
+def test_words_of_pieces_are_those_of_texts(spark):
+    import pyarrow as pa
+
+    odd = ["Foo, (bar) foo-BAR\nbar_1 3.5\tA\u00a0b", "İX ÀÉ! 'École' x\u200dy 𝒳😀b", "ДВЕРЬ дверь; Ǆ ﬁ", "the-word", "", None]
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "id int, text string")
+    want = {(r["term"], r["id"]) for r in retrieval.postings(texts, "id", "text").collect()}
+    # terms that are no words are held by no text
+    words = [*sorted({w for w, _ in want}), "the-word", "", "absent"]
+    word, row = retrieval._words_of(pa.array(words), retrieval._word_class(spark), retrieval._lower_signs(spark))(pa.array(odd))
+    assert {(words[w], r) for w, r in zip(word, row)} == want and len(want) > 15
+
+
+def test_whole_texts_are_not_lowered(spark):
+    corpus = spark.createDataFrame([(1, "ΑΣ ΑΣΑ"), (2, "Door door"), (3, "ας"), (4, "ασα")], "chunk_id int, text string")
+    asked = spark.createDataFrame([("q", "ας"), ("q", "ασα"), ("q", "door")], "query_id string, term string")
+    ranked = retrieval.overlap_ranking(asked, corpus)
+    assert {r["chunk_id"]: r["score"] for r in ranked.collect()} == {1: 2.0, 2: 1.0, 3: 1.0, 4: 1.0}
+    lowered = [line for line in plan(ranked).splitlines() if "lower(" in line]
+    assert all("CASE WHEN Contains" in line for line in lowered), "only those with a sign that goes by its place"
+
+
 def test_counts_are_the_rerank_scores(spark, monkeypatch):
     import numpy as np
 
