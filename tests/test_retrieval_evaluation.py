@@ -385,3 +385,29 @@ def test_context_writes_no_texts(spark, monkeypatch):
     got = references.build_context(hits, chunks)
     assert [tuple(r)[1:3] for r in got.orderBy("label").collect()] == [("C1", "a"), ("C2", "b")]
     assert written and not any("text" in c for c in written), "texts are read once and not written"
+
+
+def test_scores_of_a_pool_are_those_of_its_stages(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "d", "Annex 1" if i % 2 else None, [f"7.{i}"], i, i) for i in range(6)], "id string, doc_id string, scope string, sections array<string>, page_start int, page_end int")
+    pool = spark.createDataFrame(
+        [("q1", f"c{i}", i + 1, 6 - i if i > 2 else None, i + 1, i < 4, 4 - i if i < 4 else i + 1) for i in range(6)] + [("q2", "c5", 1, None, 1, True, 1), ("q3", "c1", None, 1, 1, True, 1)],
+        "query_id string, chunk_id string, dense_rank int, sparse_rank int, fused_rank int, is_candidate boolean, final_rank int",
+    )
+    refs = spark.createDataFrame([("q1", 0, "d", "Annex 1", "7.3", None), ("q1", 1, "d", None, None, 4), ("q1", 2, "e", None, "7", None), ("q2", 0, "d", "Annex 1", "7", None), ("q4", 0, "d", None, "7", None)], "id string, ref_no int, doc_id string, scope string, section string, page int")
+    rows = lambda d: sorted(map(str, d.collect()))
+    got = rows(evaluation.pool_scores(pool, refs, chunks))
+    assert got == rows(evaluation.stage_scores(retrieval.stage_rankings(pool), refs, chunks)) and len(got) == 12 and {"first_rank=4" in r for r in got} == {True, False}
+
+
+#: Queries whose pool meets chunks and references before it is parted by stage.
+MATCHED_FIRST = ["stage_summary"]
+
+
+@pytest.mark.parametrize("name", MATCHED_FIRST)
+def test_only_matches_go_by_stage(spark, data, monkeypatch, name):
+    from quillspark.plans.queries import QUERIES
+
+    parted, stages = [], retrieval.stage_rankings
+    monkeypatch.setattr(retrieval, "stage_rankings", lambda ranked, *a, **k: parted.append(ranked.columns) or stages(ranked, *a, **k))
+    QUERIES[name](spark, data).collect()
+    assert len(parted) == 1 and "ref_no" in parted[0]
