@@ -400,7 +400,7 @@ def test_scores_of_a_pool_are_those_of_its_stages(spark):
 
 
 #: Queries whose pool meets chunks and references before it is parted by stage.
-MATCHED_FIRST = ["stage_summary"]
+MATCHED_FIRST = ["stage_summary", "question_records"]
 
 
 @pytest.mark.parametrize("name", MATCHED_FIRST)
@@ -411,3 +411,9 @@ def test_only_matches_go_by_stage(spark, data, monkeypatch, name):
     monkeypatch.setattr(retrieval, "stage_rankings", lambda ranked, *a, **k: parted.append(ranked.columns) or stages(ranked, *a, **k))
     QUERIES[name](spark, data).collect()
     assert len(parted) == 1 and "ref_no" in parted[0]
+
+
+def test_records_match_references_once(spark, data):
+    from quillspark.plans.queries import QUERIES
+
+    assert plan(QUERIES["question_records"](spark, data)).count("exists(sections") == 1
