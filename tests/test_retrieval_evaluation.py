@@ -417,3 +417,9 @@ def test_records_match_references_once(spark, data):
     from quillspark.plans.queries import QUERIES
 
     assert plan(QUERIES["question_records"](spark, data)).count("exists(sections") == 1
+
+
+def test_captions_lower_no_texts(spark):
+    texts = spark.createDataFrame([(1, "see FIGURE 3a"), (2, "gure"), (3, None)], "id int, text string")
+    found = texts.select("id", references.captions(F.col("text")).alias("c"))
+    assert {r["id"]: r["c"] for r in found.collect()} == {1: ["figure 3a"], 2: None, 3: None} and "lower(text" not in plan(found)
