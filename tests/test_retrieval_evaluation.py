@@ -400,7 +400,7 @@ def test_scores_of_a_pool_are_those_of_its_stages(spark):
 
 
 #: Queries whose pool meets chunks and references before it is parted by stage.
-MATCHED_FIRST = ["stage_summary", "question_records"]
+MATCHED_FIRST = ["stage_summary", "question_records", "question_diagnosis"]
 
 
 @pytest.mark.parametrize("name", MATCHED_FIRST)
