@@ -423,3 +423,42 @@ def test_captions_lower_no_texts(spark):
     texts = spark.createDataFrame([(1, "see FIGURE 3a"), (2, "gure"), (3, None)], "id int, text string")
     found = texts.select("id", references.captions(F.col("text")).alias("c"))
     assert {r["id"]: r["c"] for r in found.collect()} == {1: ["figure 3a"], 2: None, 3: None} and "lower(text" not in plan(found)
+
+
+def test_copies_of_chunks_count_once(spark, monkeypatch):
+    import numpy as np
+
+    chance = np.random.default_rng(11)
+    said = lambda n: " ".join(chance.choice([f"w{i}" for i in range(30)], n))
+    made = [(f"c{i:03}", said(i % 9 + 1)) for i in range(150)]
+    once = spark.createDataFrame(made, "chunk_id string, text string").repartition(3)
+    # some in a row, some in another batch, some in another task
+    often = spark.createDataFrame([*made, *made[::-1], *[x for x in made[::7] for _ in range(3)]], "chunk_id string, text string").coalesce(2)
+    queries = spark.createDataFrame([*[(f"q{i}", said(i + 1)) for i in range(8)], ("q8", None), ("q9", "")], "query_id string, query string")
+    config = retrieval.RetrievalConfig(dense_k=7, sparse_k=5, rerank_candidates=6)
+    rows = lambda c: sorted(map(str, retrieval.hybrid_search(queries, c, config).collect()))
+    want = rows(once)
+    assert rows(often) == want and len(want) > 80
+    for name, few in (("SCORE_ROWS", 40), ("POOL_ROWS", 9), ("SEEN_ROWS", 64)):
+        monkeypatch.setattr(retrieval, name, few)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")
+    try:
+        assert rows(often) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_equal_questions_are_searched_once(spark, tmp_path, monkeypatch):
+    from quillspark.plans.queries import QUERIES
+
+    gold = [("d", "A", "1", None)]
+    golden = [("q0000050", "wide doors", gold), ("q0000100", "wide doors", [("d", "A", "9", None)]), ("q0000150", "high seats", []), ("q0000200", "high seats", gold), ("q0000200", "high seats", gold), ("q0000250", "no gold", None), ("q0000051", "other", gold)]
+    spark.createDataFrame(golden, "id string, question string, gold array<struct<doc_id string, scope string, section string, page int>>").write.parquet(str(tmp_path / "golden.parquet"))
+    chunks = [("d:0", "d", "A", "wide doors", ["1.1"]), ("d:0", "d", "A", "wide doors", ["1.1"]), ("d:1", "d", "A", "high seats", ["2"])]
+    chunks = spark.createDataFrame(chunks, "id string, doc_id string, scope string, embed_text string, sections array<string>").withColumn("page_start", F.lit(1)).withColumn("page_end", F.lit(1))
+    chunks.write.parquet(str(tmp_path / "chunks.parquet"))
+    asked, search = [], retrieval.hybrid_search
+    monkeypatch.setattr(retrieval, "hybrid_search", lambda q, *a: asked.extend(r["query"] for r in q.collect()) or search(q, *a))
+    got = {r["query_id"]: r["diagnosis"] for r in QUERIES["question_diagnosis"](spark, str(tmp_path)).collect()}
+    assert got == {"q0000050": "ok", "q0000100": "not_retrieved", "q0000200": "ok"}
+    assert sorted(asked) == ["high seats", "wide doors"], "equal questions once, and none without gold"
